@@ -1,6 +1,6 @@
 """Builders for line events: what one source line contributes to the symbol table.
 
-A rule set turns a line into an array of event structs. Decisions that need other
+A rule set turns a line into arrays of event structs. Decisions that need other
 lines (block ends, nesting, visibility) are left to window functions over the
 events of one file, see ``symbols.py``.
 """
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import split_lines, strip
-
 EVENT = ("struct<kind:string,name:string,a:string,b:string,own:string,"
          "n:int,pos:int>")
 EVENTS = f"array<{EVENT}>"
@@ -35,6 +33,16 @@ def ev(kind: str, name=None, a=None, b=None, own=None, n=None, pos=AT_LINE) -> C
     )
 
 
+class Checked:
+    """Import and variable events: the file's text is searched for other uses of the name.
+
+    They are built on whole files (inside ``transform``), so the search needs no join.
+    """
+
+    def __init__(self, column: Column):
+        self.column = column
+
+
 def none() -> Column:
     return F.array().cast(EVENTS)
 

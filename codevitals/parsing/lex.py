@@ -166,6 +166,18 @@ def mark_region(text: Column, start: str, stays: str, mark: str) -> Column:
     return F.when(text.rlike("(?m)^" + start), marked).otherwise(text)
 
 
+DECORATED = "\u0003"
+
+
+def mark_decorated(text: Column) -> Column:
+    """Mark the first code line after an @ line; blank and # lines may stand between."""
+    token = (r"(?m)^[ \t]*@[^\n]*+\n(?:[ \t]*+(?:#[^\n]*+)?\n)*+(?![ \t]*[@#])[^\n]++"
+             r"|[^\n]*+\n|[^\n]++")
+    marked = retoken(text, token, lambda t: F.when(
+        t.rlike(r"\n[^\n]"), F.regexp_replace(t, r"\n([^\n]+)\z", "\n" + DECORATED + "$1")).otherwise(t))
+    return F.when(F.contains(text, F.lit("@")), marked).otherwise(text)
+
+
 JS_FOLD = (r"^[ \t]*(?:import|export)\b[^;'\"()=]*?\bfrom\s*['\"][^'\"]*['\"]"
            r"|^[ \t]*export\s*\{[^}]*\}")
 

@@ -1,6 +1,7 @@
 """Line rules of the regex-parsed languages.
 
-Each rule set is a function ``(line columns) -> [event array, ...]``. The patterns
+Each rule set is a function ``(line columns) -> [event array, ...]``;
+``Checked`` arrays hold imports and variables. The patterns
 and word lists are fixed values: results depend on them literally.
 """
 
@@ -14,7 +15,7 @@ from ..functions.text import (
 )
 from . import lex
 from .events import (
-    AT_CLASS, AT_DECL, AT_EOL, AT_LINE, brackets, calls, ev, export, first_of, flag,
+    AT_CLASS, AT_DECL, AT_EOL, AT_LINE, Checked, brackets, calls, ev, export, first_of, flag,
     function, grab, grab_all, grab_opt, has, hit, hits, klass, last_dotted, none,
 )
 
@@ -22,10 +23,9 @@ from .events import (
 class Line:
     """Columns of one source line: cleaned, stripped, raw, and two aligned variants."""
 
-    def __init__(self, text="t", raw="r", decl="d", extra="v", names="names"):
-        self.t, self.r, self.d, self.v = (F.col(c) for c in (text, raw, decl, extra))
-        self.names = F.col(names)
-        self.s = strip(self.t)
+    def __init__(self, t: Column, r: Column, d: Column, v: Column, names: Column):
+        self.t, self.r, self.d, self.v, self.names = t, r, d, v, names
+        self.s = strip(t)
 
 
 def _not_in(words):
@@ -71,21 +71,21 @@ def go(x: Line) -> list[Column]:
         return F.when(first_is_upper(shown), F.array(event, export(name, kind))).otherwise(F.array(event))
 
     return [
-        first_of(
+        Checked(first_of(
             (in_import & has(x.s, GO_IMPORT_ITEM),
              F.array(ev("import", last_part(item, "/"), item, grab_opt(x.s, GO_IMPORT_ITEM, 1)))),
             (in_import, none()),
             (has(x.s, GO_IMPORT), F.array(ev("import", last_part(one, "/"), one))),
-        ),
+        )),
         hits(has(x.s, GO_FUNC), with_export(
             function(name, comma_count(grab(x.s, GO_FUNC, 4)),
                      own=F.when(receiver != "", receiver)), name, "function", short)),
         hits(has(x.s, GO_STRUCT), with_export(klass(struct, own=struct), struct, "class")),
-        first_of(
+        Checked(first_of(
             (in_vars & has(x.s, GO_BLOCK_NAME), with_export(ev("variable", block_var, "module"), block_var, "variable")),
             (in_vars | has(x.s, GO_VAR_BLOCK), none()),
             (has(x.s, GO_VAR), with_export(ev("variable", var, "module"), var, "variable")),
-        ),
+        )),
         calls(grab_all(x.t, GO_CALL), _not_in(GO_NOT_CALLS)),
         brackets(x.t),
     ]
@@ -134,17 +134,17 @@ def rust(x: Line) -> list[Column]:
     params = F.regexp_replace(grab(x.s, RUST_FN, 2), "<[^>]*>", "")
     impl_line = has(x.s, RUST_IMPL) & F.contains(x.s, F.lit("{"))
     return [
-        hits(has(x.t, RUST_USE),
-             F.when(path.rlike(RUST_GROUP), F.transform(items, item_event)).otherwise(F.array(single))),
+        Checked(hits(has(x.t, RUST_USE),
+             F.when(path.rlike(RUST_GROUP), F.transform(items, item_event)).otherwise(F.array(single)))),
         first_of(
             (impl_line, F.array(ev("impl", grab(x.s, RUST_IMPL), "block", pos=AT_CLASS))),
             (has(x.s, RUST_FN), F.array(function(fn_name, comma_count(params)))),
         ),
         hit(has(x.s, RUST_TYPE), klass(type_name)),
-        first_of(
+        Checked(first_of(
             (has(x.t, RUST_STATIC), F.array(ev("variable", grab(x.t, RUST_STATIC), "module"))),
             (has(x.t, RUST_CONST), F.array(ev("variable", grab(x.t, RUST_CONST), "module"))),
-        ),
+        )),
         hit(has(x.t, RUST_PUB_FN), ev("public", grab(x.t, RUST_PUB_FN), "function")),
         hit(has(x.t, RUST_PUB_TYPE), ev("public", grab(x.t, RUST_PUB_TYPE), "class")),
         hit(has(x.t, RUST_PUB_VAR), ev("public", grab(x.t, RUST_PUB_VAR), "variable")),
@@ -190,9 +190,9 @@ def java(x: Line) -> list[Column]:
         return ~base.isin(*JAVA_NOT_CALLS) & (~first_is_upper(base) | F.contains(c, F.lit(".")))
 
     return [
-        hit(has(x.r, JAVA_IMPORT),
+        Checked(hit(has(x.r, JAVA_IMPORT),
             ev("import", last_dotted(path), path,
-               F.when(grab(x.r, JAVA_IMPORT, 1) != "", "static"))),
+               F.when(grab(x.r, JAVA_IMPORT, 1) != "", "static")))),
         hit(has(x.t, JAVA_CLASS), klass(name, flag(counted | is_ctor)), export(name, "class")),
         first_of(
             (is_method & ~counted, none()),
@@ -200,7 +200,7 @@ def java(x: Line) -> list[Column]:
                               export(method, "function"))),
             (is_ctor, F.array(function(ctor, comma_count(grab(x.t, JAVA_CTOR, 2))), export(ctor, "function"))),
         ),
-        hit(has(x.t, JAVA_FIELD), ev("variable", grab(x.t, JAVA_FIELD), "class")),
+        Checked(hit(has(x.t, JAVA_FIELD), ev("variable", grab(x.t, JAVA_FIELD), "class"))),
         F.transform(grab_all(x.t, JAVA_NEW), lambda c: ev("call", F.concat(F.lit("new "), c))),
         calls(grab_all(x.t, JAVA_CALL), callable_),
         brackets(x.t),
@@ -258,15 +258,15 @@ def cpp(x: Line) -> list[Column]:
         return F.when(visible, F.array(event, export(name, kind))).otherwise(F.array(event))
 
     return [
-        first_of(
+        Checked(first_of(
             (has(x.r, CPP_INCLUDE), F.array(ev("import", include, include))),
             (has(x.r, CPP_USING_NS), F.array(ev("import", ns, ns))),
             (has(x.r, CPP_USING), F.array(ev("import", using, using))),
-        ),
+        )),
         hit(has(x.t, CPP_CLASS), klass(class_name, flag(is_func), own=class_name),
             export(class_name, "class")),
         hits(is_func, shown(function(name, count, own=owner), name, "function")),
-        hits(is_var, shown(ev("variable", var, "module"), var, "variable")),
+        Checked(hits(is_var, shown(ev("variable", var, "module"), var, "variable"))),
         calls(grab_all(x.t, CPP_CALL),
               lambda c: ~F.regexp_replace(c, r"^.*(::|\.|->)", "").isin(*CPP_NOT_CALLS)),
         brackets(x.t),
@@ -305,19 +305,19 @@ def ruby(x: Line) -> list[Column]:
     opener = has(x.t, RUBY_OPENER)
     class_name = grab(x.t, RUBY_CLASS)
     return [
-        first_of(
+        Checked(first_of(
             (has(x.s, RUBY_REQUIRE), F.array(ev("import", last_part(source, "/"), source))),
             (has(x.s, RUBY_INCLUDE), F.array(ev("import", mixed))),
-        ),
+        )),
         hit(has(x.t, RUBY_CLASS), klass(class_name), export(class_name, "class")),
         hit(has(x.t, RUBY_DEF), function(name, comma_count(inner), own=bare)),
         hit(has(x.t, RUBY_METHOD), ev("method", pos=AT_EOL)),
-        first_of(
+        Checked(first_of(
             (has(x.s, RUBY_CONSTANT), F.array(ev("variable", grab(x.s, RUBY_CONSTANT), "module"))),
             (has(x.s, RUBY_CLASS_VAR), F.array(ev("variable", grab(x.s, RUBY_CLASS_VAR), "class"))),
             (has(x.s, RUBY_INSTANCE_VAR),
              F.array(ev("variable", grab(x.s, RUBY_INSTANCE_VAR), "class", own="outside method"))),
-        ),
+        )),
         hit(opener | has(x.t, RUBY_DO), ev("{", pos=1)),
         hit(has(x.t, RUBY_END), ev("}", pos=2)),
         # running counters that never go below zero: open classes, open methods
@@ -362,19 +362,19 @@ def php(x: Line) -> list[Column]:
     name, class_name = grab(x.t, PHP_FUNC), grab(x.s, PHP_CLASS)
     is_method = has(x.t, PHP_METHOD)
     return [
-        first_of(
+        Checked(first_of(
             (has(x.s, PHP_USE), F.array(ev("import", last_part(used, "\\"), used, grab_opt(x.s, PHP_USE, 2)))),
             (has(x.s, PHP_REQUIRE), F.array(ev("import", last_part(required, "/"), required))),
-        ),
+        )),
         hit(has(x.s, PHP_CLASS), klass(class_name, flag(is_method)), export(class_name, "class")),
         hit(has(x.t, PHP_FUNC), function(name, comma_count(grab(x.t, PHP_FUNC, 2))), export(name, "function")),
         hit(is_method, ev("method", pos=AT_EOL)),
-        first_of(
+        Checked(first_of(
             (has(x.s, r"\bfunction\b"), none()),
             (has(x.s, PHP_PROPERTY),
              F.array(ev("variable", F.concat(F.lit("$"), grab(x.s, PHP_PROPERTY)), "class"))),
             (has(x.s, PHP_CONST), F.array(ev("variable", grab(x.s, PHP_CONST), "class"))),
-        ),
+        )),
         calls(grab_all(x.t, PHP_STATIC_CALL)),
         calls(grab_all(x.t, PHP_METHOD_CALL)),
         calls(grab_all(x.t, PHP_CALL), _not_in(PHP_NOT_CALLS)),
@@ -414,7 +414,7 @@ def swift(x: Line) -> list[Column]:
     imported, class_name, prop = grab(x.s, SWIFT_IMPORT), grab(x.s, SWIFT_CLASS), grab(x.s, SWIFT_PROPERTY)
     is_method = has(x.t, SWIFT_METHOD)
     return [
-        hit(has(x.s, SWIFT_IMPORT), ev("import", imported, imported)),
+        Checked(hit(has(x.s, SWIFT_IMPORT), ev("import", imported, imported))),
         hits(has(x.s, SWIFT_CLASS),
              _shown_unless(private, klass(class_name, flag(is_method)), class_name, "class")),
         first_of(
@@ -426,12 +426,12 @@ def swift(x: Line) -> list[Column]:
              _shown_unless(private, function("deinit", 0), F.lit("deinit"), "function")),
         ),
         hit(is_method, ev("method", pos=AT_EOL)),
-        first_of(
+        Checked(first_of(
             (has(x.s, r"^(?:func|init|deinit)\b"), none()),
             (has(x.s, SWIFT_PROPERTY), _shown_unless(
                 private, ev("variable", prop, F.when(indent(x.t) > 0, "class").otherwise("module")),
                 prop, "variable")),
-        ),
+        )),
         calls(grab_all(x.t, DOTTED_CALL), _base_not_in(SWIFT_NOT_CALLS)),
         brackets(x.t),
     ]
@@ -463,18 +463,18 @@ def kotlin(x: Line) -> list[Column]:
     class_name, prop = grab(x.s, KOTLIN_CLASS), grab(x.s, KOTLIN_PROPERTY)
     is_method = has(x.t, KOTLIN_METHOD)
     return [
-        hit(has(x.s, KOTLIN_IMPORT), ev("import", last_dotted(path), path, grab_opt(x.s, KOTLIN_IMPORT, 2))),
+        Checked(hit(has(x.s, KOTLIN_IMPORT), ev("import", last_dotted(path), path, grab_opt(x.s, KOTLIN_IMPORT, 2)))),
         hits(has(x.s, KOTLIN_CLASS),
              _shown_unless(private, klass(class_name, flag(is_method)), class_name, "class")),
         hits(has(x.t, KOTLIN_FUN),
              _shown_unless(private, function(name, comma_count(grab(x.t, KOTLIN_FUN, 2))), name, "function")),
         hit(is_method, ev("method", pos=AT_EOL)),
-        first_of(
+        Checked(first_of(
             (has(x.s, r"\bfun\b"), none()),
             (has(x.s, KOTLIN_PROPERTY), _shown_unless(
                 private, ev("variable", prop, F.when(indent(x.t) > 0, "class").otherwise("module")),
                 prop, "variable")),
-        ),
+        )),
         calls(grab_all(x.t, DOTTED_CALL), _base_not_in(KOTLIN_NOT_CALLS)),
         brackets(x.t),
     ]
@@ -533,10 +533,10 @@ def dart(x: Line) -> list[Column]:
         return _shown_unless(F.startswith(name, F.lit("_")), event, name, kind)
 
     return [
-        hits(has(x.s, DART_IMPORT), F.when(
+        Checked(hits(has(x.s, DART_IMPORT), F.when(
             F.startswith(x.s, F.lit("export ")),
             F.array(ev("import", short, source, grab_opt(x.s, DART_IMPORT, 2)), export(short, "default")),
-        ).otherwise(F.array(ev("import", short, source, grab_opt(x.s, DART_IMPORT, 2))))),
+        ).otherwise(F.array(ev("import", short, source, grab_opt(x.s, DART_IMPORT, 2)))))),
         hits(has(x.s, DART_CLASS), public(klass(class_name), class_name, "class")),
         first_of(
             (is_getter & ~getter.isin(*DART_NOT_FUNCS),
@@ -545,11 +545,11 @@ def dart(x: Line) -> list[Column]:
             (is_func, public(function(name, comma_count(params), end), name, "function")),
         ),
         hit((is_getter & ~getter.isin(*DART_NOT_FUNCS)) | is_func, ev("method", pos=AT_LINE)),
-        first_of(
+        Checked(first_of(
             (code & has(x.s, DART_VAR) & ~var.isin(*DART_NOT_VARS), F.array(ev("variable", var, "nesting"))),
             (code & has(x.s, DART_TYPED_VAR) & ~type_name.isin(*DART_NOT_TYPES) & ~typed.isin(*DART_NOT_VARS),
              F.array(ev("variable", typed, "nesting"))),
-        ),
+        )),
         hit(F.contains(x.t, F.lit(";")), ev("stop", pos=AT_LINE)),
         calls(grab_all(x.t, DART_CALL),
               lambda c: (F.regexp_replace(c, r"^\.\.", "") != "")
@@ -615,12 +615,12 @@ def lua(x: Line) -> list[Column]:
     code = x.s != ""
     is_definition = has(x.s, r"^(?:local\s+)?function\b") | has(x.s, r"^(?:local\s+)?\w+\s*=\s*function\b")
     return [
-        F.transform(found, require),
+        Checked(F.transform(found, require)),
         first_of(
             (has(x.s, LUA_FUNC), declared(grab(x.s, LUA_FUNC), grab(x.s, LUA_FUNC, 2))),
             (has(x.s, LUA_FUNC_ASSIGN), declared(grab(x.s, LUA_FUNC_ASSIGN), grab(x.s, LUA_FUNC_ASSIGN, 2))),
         ),
-        first_of(
+        Checked(first_of(
             (~code | is_definition, none()),
             (has(x.s, LUA_LOCAL) & ~local.isin(*LUA_NOT_VARS), F.array(ev("variable", local, "module", own="outside block"))),
             (has(x.s, LUA_TABLE), F.when(
@@ -629,7 +629,7 @@ def lua(x: Line) -> list[Column]:
                         export(last_dotted(table), "variable", own="outside block")),
             ).otherwise(F.array(ev("variable", table, "module", own="outside block")))),
             (has(x.s, LUA_GLOBAL) & ~glob.isin(*LUA_NOT_VARS), F.array(ev("variable", glob, "module", own="outside block"))),
-        ),
+        )),
         hit(delta != 0, ev("depth2", n=delta, pos=AT_EOL)),
         F.transform(F.array_repeat(F.lit("{"), opens), lambda b, i: ev("{", pos=i + 1)),
         F.transform(F.array_repeat(F.lit("}"), ends), lambda b, i: ev("}", pos=i + 1000)),
@@ -667,19 +667,19 @@ def elixir(x: Line) -> list[Column]:
     one_line = has(x.t, ELIXIR_ONE_LINE)
     opener = has(x.t, ELIXIR_OPENER)
     return [
-        first_of(
+        Checked(first_of(
             (has(x.s, r"^\s*import\s+[\w.]+"), F.array(ev("import", mod, mod))),
             (has(x.s, ELIXIR_ALIAS_MANY), F.transform(
                 many, lambda n: ev("import", F.concat(base, F.lit("."), n), base, n))),
             (has(x.s, ELIXIR_ALIAS), F.array(ev("import", full, full, last_dotted(full)))),
             (has(x.s, ELIXIR_IMPORT), F.array(ev("import", mod, mod))),
-        ),
+        )),
         hit(has(x.t, ELIXIR_MODULE), klass(module), export(module, "class")),
         hits(has(x.t, ELIXIR_DEF), _shown_unless(
             has(x.t, ELIXIR_PRIVATE),
             function(name, comma_count(inner), F.when(one_line, "line").otherwise("block")), name, "function")),
         hit(has(x.t, ELIXIR_METHOD), ev("method", pos=AT_EOL)),
-        hit(has(x.t, ELIXIR_ATTR), ev("variable", F.concat(F.lit("@"), grab(x.t, ELIXIR_ATTR)), "module")),
+        Checked(hit(has(x.t, ELIXIR_ATTR), ev("variable", F.concat(F.lit("@"), grab(x.t, ELIXIR_ATTR)), "module"))),
         first_of(
             (opener & one_line, none()),
             (opener | has(x.t, r"\bdo\s*$"), F.array(ev("{", pos=1))),
@@ -720,17 +720,17 @@ def zig(x: Line) -> list[Column]:
     closes = F.regexp_count(x.t, F.lit(r"\}"))
     region = F.when(opens == 0, "next").when(opens <= closes, "line").otherwise("block")
     return [
-        first_of(
+        Checked(first_of(
             (has(x.t, ZIG_IMPORT),
              F.array(ev("import", F.regexp_replace(source, "[.zig]+$", ""), source, grab(x.t, ZIG_IMPORT)))),
             (has(x.t, ZIG_USING), F.array(ev("import", ns, ns))),
-        ),
+        )),
         hit(has(x.t, ZIG_STRUCT), klass(struct, flag(has(x.t, ZIG_METHOD)))),
         hit(has(x.t, ZIG_FN), function(name, comma_count(grab(x.t, ZIG_FN, 2)))),
         hit(has(x.t, ZIG_METHOD), ev("method", pos=AT_EOL)),
         hit(has(x.t, ZIG_FN_START), ev("region", a=region, pos=AT_DECL)),
-        hit((x.s != "") & has(x.t, ZIG_VAR) & ~x.t.rlike(ZIG_NOT_VAR),
-            ev("variable", grab(x.t, ZIG_VAR, 2), "module", own="outside function")),
+        Checked(hit((x.s != "") & has(x.t, ZIG_VAR) & ~x.t.rlike(ZIG_NOT_VAR),
+            ev("variable", grab(x.t, ZIG_VAR, 2), "module", own="outside function"))),
         first_of(
             (has(x.t, ZIG_PUB_FN), F.array(export(grab(x.t, ZIG_PUB_FN), "function", own="first"))),
             (has(x.t, ZIG_PUB_STRUCT), F.array(export(grab(x.t, ZIG_PUB_STRUCT), "class", own="first"))),
@@ -775,13 +775,13 @@ def shell(x: Line) -> list[Column]:
     words = F.concat(F.lit("(?U)\\b("), F.array_join(x.names, "|"), F.lit(")\\b"))
     unknown = lambda c: ~F.array_contains(x.names, c)
     return [
-        hit(has(x.s, SHELL_SOURCE),
-            ev("import", last_part(F.regexp_replace(path, "/+$", ""), "/"), path)),
+        Checked(hit(has(x.s, SHELL_SOURCE),
+            ev("import", last_part(F.regexp_replace(path, "/+$", ""), "/"), path))),
         hit(has(x.s, SHELL_FUNC), function(name, 0), export(name, "function")),
         hit(has(x.s, SHELL_FUNC), ev("region", a="function", pos=AT_DECL)),
-        hit(has(x.s, SHELL_LOCAL), ev("variable", local, "function", own="inside function")),
-        hit(has(x.s, SHELL_ASSIGN), ev("variable", var, "module", own="outside function"),
-            export(var, "variable", own="outside function")),
+        Checked(hit(has(x.s, SHELL_LOCAL), ev("variable", local, "function", own="inside function"))),
+        Checked(hit(has(x.s, SHELL_ASSIGN), ev("variable", var, "module", own="outside function"),
+            export(var, "variable", own="outside function"))),
         F.when(F.size(x.names) > 0,
                calls(F.regexp_extract_all(x.t, words, F.lit(1)))).otherwise(none()),
         calls(grab_all(x.t, SHELL_SUBSTITUTION), unknown),
@@ -859,11 +859,11 @@ def nim(x: Line) -> list[Column]:
         return F.when(star == "*", F.array(event, export(name, "variable", own="last outside function"))).otherwise(F.array(event))
 
     return [
-        first_of(
+        Checked(first_of(
             (has(s, NIM_FROM), F.transform(from_names, lambda n: ev("import", n, grab(s, NIM_FROM)))),
             (has(s, NIM_IMPORT), F.array(ev("import", last_part(module, "/"), module))),
             (has(s, NIM_INCLUDE), F.array(ev("import", last_part(included, "/"), included))),
-        ),
+        )),
         hits(is_type, starred(klass(type_name, end="indent", own=type_name, b=depth),
                               grab(body, "^" + NIM_TYPE, 2), type_name, "class")),
         hits(has(s, NIM_PROC), starred(
@@ -871,13 +871,13 @@ def nim(x: Line) -> list[Column]:
             grab(s, NIM_PROC, 3), name, "function")),
         hit(has(s, NIM_PROC), ev("region", a="function", b=depth, pos=AT_DECL)),
         hit(has(s, NIM_METHOD), ev("member", own=grab(s, NIM_METHOD))),
-        first_of(
+        Checked(first_of(
             (has(s, NIM_VAR_BLOCK), none()),
             (in_var & (s == ""), none()),
             (in_var & has(x.t, NIM_BLOCK_ITEM), starred_var(item, grab(x.t, NIM_BLOCK_ITEM, 2))),
             (in_var, none()),
             (has(s, NIM_VAR), starred_var(var, grab(s, NIM_VAR, 3))),
-        ),
+        )),
         hit(nonblank, ev("nonblank", pos=AT_EOL)),
         hits(nonblank, F.transform(
             F.filter(x.names, lambda b: b.cast("int") >= depth),
@@ -922,18 +922,18 @@ def scala(x: Line) -> list[Column]:
     end = F.when(~brace & F.contains(x.s, F.lit("=")), "line").otherwise("block")
     shallow = indent(x.t) <= 2
     return [
-        first_of(
+        Checked(first_of(
             (has(x.s, SCALA_IMPORT) & F.startswith(imported, F.lit("{")), F.transform(parts, part)),
             (has(x.s, SCALA_IMPORT), F.array(ev("import", imported, base))),
-        ),
+        )),
         hit(has(x.s, SCALA_CLASS), ev("class", class_name, "block", n=0, pos=AT_LINE), export(class_name, "class")),
         hit(has(x.s, SCALA_DEF),
             function(name, nested_comma_count(grab(x.s, SCALA_DEF, 2), "([{", ")]}"), end),
             export(name, "function")),
         hit(has(x.t, SCALA_METHOD), ev("method", pos=AT_DECL)),
-        hits(has(x.s, SCALA_VAR), F.when(
+        Checked(hits(has(x.s, SCALA_VAR), F.when(
             shallow, F.array(ev("variable", var, "module"), export(var, "variable"))
-        ).otherwise(F.array(ev("variable", var, "class")))),
+        ).otherwise(F.array(ev("variable", var, "class"))))),
         calls(grab_all(x.t, SCALA_CALL), _base_not_in(SCALA_NOT_CALLS)),
         calls(grab_all(x.t, SCALA_INFIX)),
         brackets(x.t),
@@ -985,11 +985,11 @@ def objc(x: Line) -> list[Column]:
     class_name = F.when(is_interface & (category != ""), F.concat(base, F.lit("("), category, F.lit(")"))).otherwise(base)
     hidden = lambda n: F.startswith(strip(F.regexp_replace(n, "^[+-]+", "")), F.lit("_"))
     return [
-        first_of(
+        Checked(first_of(
             (has(x.s, OBJC_ANGLE), F.array(ev("import", last_part(angle, "/"), angle))),
             (has(x.s, OBJC_QUOTE), F.array(ev("import", last_part(quote, "/"), quote))),
             (has(x.s, OBJC_AT), F.array(ev("import", at, at))),
-        ),
+        )),
         hit(is_interface | has(x.s, OBJC_PROTOCOL), klass(class_name, end="stop")),
         first_of(
             (is_method, _shown_unless(
@@ -1000,11 +1000,11 @@ def objc(x: Line) -> list[Column]:
              _shown_unless(hidden(c_name), function(c_name, c_count), c_name, "function")),
         ),
         hit(has(x.t, OBJC_SIGNATURE), ev("method", pos=AT_EOL)),
-        first_of(
+        Checked(first_of(
             (has(x.s, OBJC_PROPERTY), F.array(ev("variable", grab(x.s, OBJC_PROPERTY), "class"))),
             (has(x.s, OBJC_STATIC), F.array(ev("variable", grab(x.s, OBJC_STATIC), "module"),
                                             export(grab(x.s, OBJC_STATIC), "variable"))),
-        ),
+        )),
         hit(has(x.s, r"^@end\b"), ev("stop", pos=AT_LINE)),
         calls(grab_all(x.t, OBJC_SEND, 0), None, lambda c: F.concat(
             F.lit("["), grab(c, OBJC_SEND, 1), F.lit(" "), grab(c, OBJC_SEND, 2), F.lit("]"))),
@@ -1039,17 +1039,17 @@ def erlang(x: Line) -> list[Column]:
     directive = F.startswith(x.s, F.lit("-"))
     name = grab(x.s, ERLANG_FUNC)
     return [
-        first_of(
+        Checked(first_of(
             (has(x.s, ERLANG_MODULE), F.array(ev("import", grab(x.s, ERLANG_MODULE)))),
             (has(x.s, ERLANG_INCLUDE), F.array(ev("import", last_part(path, "/"), path))),
             (has(x.s, ERLANG_IMPORT), F.transform(
                 grab_all(grab(x.s, ERLANG_IMPORT, 2), ERLANG_ARITY),
                 lambda n: ev("import", n, grab(x.s, ERLANG_IMPORT)))),
-        ),
+        )),
         hit(~directive & has(x.s, ERLANG_FUNC) & ~name.isin(*ERLANG_NOT_FUNCS),
             function(name, nested_comma_count(grab(x.s, ERLANG_FUNC, 2), "([{<", ")]}>"), "stop", own="clauses")),
         hit(x.t.rlike("[.;]\\s*$"), ev("stop", pos=AT_LINE)),
-        hit(has(x.s, ERLANG_DEFINE), ev("variable", grab(x.s, ERLANG_DEFINE), "module")),
+        Checked(hit(has(x.s, ERLANG_DEFINE), ev("variable", grab(x.s, ERLANG_DEFINE), "module"))),
         first_of(
             (has(x.s, ERLANG_EXPORT_ALL), F.array(export("__export_all__", "function", own="once at line 0"))),
             (has(x.s, ERLANG_EXPORT), F.transform(
@@ -1098,14 +1098,14 @@ def solidity(x: Line) -> list[Column]:
     var = grab(x.v, SOL_VAR)
     raw_method = has(x.r, r"^\s*function\s+\w+\s*\(") | has(x.r, r"^\s*(?:constructor|fallback|receive)\s*\(")
     return [
-        first_of(
+        Checked(first_of(
             (has(x.t, SOL_IMPORT_STAR),
              F.array(ev("import", "*", grab(x.t, SOL_IMPORT_STAR, 2), grab(x.t, SOL_IMPORT_STAR)))),
             (has(x.d, SOL_IMPORT_NAMED), F.transform(names, named)),
             (has(x.t, SOL_IMPORT_ALIAS),
              F.array(ev("import", "*", grab(x.t, SOL_IMPORT_ALIAS), grab(x.t, SOL_IMPORT_ALIAS, 2)))),
             (has(x.t, SOL_IMPORT_PLAIN), F.array(ev("import", "*", grab(x.t, SOL_IMPORT_PLAIN)))),
-        ),
+        )),
         hit(has(x.t, SOL_CONTRACT), klass(contract, flag(raw_method), end="block or eof"), export(contract, "class")),
         first_of(
             (has(x.d, SOL_FUNCTION),
@@ -1114,7 +1114,7 @@ def solidity(x: Line) -> list[Column]:
              F.array(function(special, comma_count(grab(x.d, SOL_SPECIAL, 2)), "block or eof"))),
         ),
         hit(raw_method, ev("method", pos=AT_DECL)),
-        hit(has(x.v, SOL_VAR) & ~var.isin(*SOL_NOT_VARS), ev("variable", var, "module")),
+        Checked(hit(has(x.v, SOL_VAR) & ~var.isin(*SOL_NOT_VARS), ev("variable", var, "module"))),
         calls(grab_all(x.t, SOL_CALL), _base_not_in(SOL_NOT_CALLS)),
         brackets(x.r),
     ]
@@ -1199,18 +1199,18 @@ def javascript(x: Line) -> list[Column]:
         return F.regexp_replace(F.replace(c, F.lit("?."), F.lit(".")), r"^(this|super)\.", "")
 
     return [
-        first_of(
+        Checked(first_of(
             (has(s, JS_IMPORT_BARE), F.array(ev("import", "*", grab(s, JS_IMPORT_BARE), own="top"))),
             (has(s, JS_IMPORT), imported),
             (has(s, JS_REQUIRE), F.array(ev("import", grab(s, JS_REQUIRE), grab(s, JS_REQUIRE, 2), own="top"))),
-        ),
+        )),
         hit(has(s, JS_CLASS), klass(klass_name, flag(F.lit(False)), own="top"),),
         first_of(
             (has(s, JS_FUNCTION), F.array(function(fn, params, own="top"))),
             (is_bound, F.array(function(bound, arrow_params, bound_end, own="top"))),
             (is_method, F.array(function(method, params, own="member"))),
         ),
-        hit(has(s, JS_VARIABLE) & ~is_bound & ~has(s, r"=\s*class\b"), ev("variable", var, "module", own="top")),
+        Checked(hit(has(s, JS_VARIABLE) & ~is_bound & ~has(s, r"=\s*class\b"), ev("variable", var, "module", own="top"))),
         first_of(
             (has(s, r"^export\b") & has(s, JS_FUNCTION),
              F.array(ev("export", fn, F.coalesce(kind, F.lit("function")), own="top"))),

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import split_lines
+from ..functions.names import local_name
+from ..functions.text import name_in_other_line, split_lines
 from ..schema import LANGUAGE_SUFFIXES, SYMBOLS
 from . import lex, rules
-from .events import none
+from .events import Checked, none
 from .pyast import python_symbols
 
 KINDS = ["import", "export", "function", "class", "variable", "call"]
@@ -37,8 +38,9 @@ def language(suffix: Column) -> Column:
     return out
 
 
-def _by_language(lang: Column, branches: dict[str, Column], default: Column) -> Column:
-    if len(branches) == 1:
+def _by_language(lang: Column, branches: dict[str, Column], default: Column, whole: bool) -> Column:
+    """A CASE over the language; ``whole`` when all rows are of one language."""
+    if whole and branches:
         return next(iter(branches.values()))
     out = None
     for name, column in branches.items():
@@ -48,52 +50,88 @@ def _by_language(lang: Column, branches: dict[str, Column], default: Column) ->
 
 def line_events(files: DataFrame, langs: list[str]) -> DataFrame:
     """One row per event of every line."""
-    lang, text = F.col("lang"), F.col("text")
+    lang, text, t, raw = F.col("lang"), F.col("text"), F.col("t"), F.col("raw")
     no_lines = F.array().cast("array<string>")
 
     def pick(branches):
         chosen = {k: v for k, v in branches.items() if k in langs}
-        if not chosen:
-            return no_lines
-        if len(langs) == 1:
-            return next(iter(chosen.values()))
-        out = None
-        for name, column in chosen.items():
-            out = F.when(lang == name, column) if out is None else out.when(lang == name, column)
-        return out.otherwise(no_lines)
+        return _by_language(lang, chosen, no_lines, whole=len(langs) == 1)
+
+    def rule_branches(line: rules.Line, checked: bool) -> Column:
+        branches = {}
+        for name in langs:
+            arrays = [a for a in rules.RULES[name](line) if isinstance(a, Checked) == checked]
+            branches[name] = F.concat(*[a.column if checked else a for a in arrays])
+        return _by_language(lang, branches, none(), whole=len(langs) == 1)
+
+    def finished(e: Column, line: Column) -> Column:
+        """A checked event with its line, the text search and its snippet."""
+        name = F.when(e["kind"] == "import", local_name(e["name"], e["b"])).otherwise(e["name"])
+        looked_up = e["kind"].isin("import", "variable")
+        length = F.when(e["kind"] == "import", 1).when(e["kind"] == "variable", 2).otherwise(4)
+        return F.struct(
+            *[e[f].alias(f) for f in ("kind", "name", "a", "b", "own", "n", "pos")],
+            line.cast("int").alias("at"),
+            F.when(looked_up & F.col("utf8_ok"), name_in_other_line(raw, name, line)).alias("in_text"),
+            F.lit(None).cast("boolean").alias("decorated"),
+            F.when(F.col("utf8_ok"), F.array_join(F.slice(raw, line, length), "\n")).alias("snippet"),
+        )
+
+    def file_events() -> Column:
+        zipped = F.arrays_zip("t", "r", "d", "v")
+
+        def on_line(z: Column, i: Column) -> Column:
+            fields = [F.coalesce(z[f], F.lit("")) for f in ("t", "r", "d", "v")]
+            found = rule_branches(rules.Line(*fields, F.col("names")), checked=True)
+            return F.transform(found, lambda e: finished(e, i + 1))
+
+        return F.flatten(F.transform(zipped, on_line))
 
     clean = {name: lex.clean_lines(name, text) for name in langs}
-    t = F.col("t")
-    prepared = (
+    arrays = (
         files.filter(lang.isin(*langs)).where(text.isNotNull())
-        .select("repo_id", "file", "lang", "text", pick(clean).alias("t"))
+        .select("repo_id", "file", "lang", "text", "utf8_ok", pick(clean).alias("t"),
+                split_lines(text).alias("raw"),
+                split_lines(lex.mark_decorated(text)).alias("m"))
         .select(
-            "repo_id", "file", "lang", "t",
-            pick({"java": split_lines(text), "cpp": split_lines(text),
-                  "solidity": F.split(text, "\n", -1)}).alias("r"),
+            "repo_id", "file", "lang", "utf8_ok", "t", "raw", "m",
+            pick({"java": raw, "cpp": raw, "solidity": F.split(text, "\n", -1)}).alias("r"),
             pick({"go": split_lines(rules.go_marked(text)),
                   "nim": split_lines(rules.nim_marked(lex.nim_blocks(text))),
                   "solidity": F.split(lex.fold(lex.solidity(text), rules.SOL_FOLD_DECL), "\n", -1)}).alias("d"),
             pick({"solidity": F.split(lex.fold(lex.solidity(text), rules.SOL_FOLD_VAR), "\n", -1)}).alias("v"),
             pick({"shell": rules.shell_functions(t), "lua": rules.lua_module(t),
                   "nim": rules.nim_decl_indents(t)}).alias("names"),
-            F.size(t).alias("n_lines"),
         )
+        # events of whole files travel with the first line
+        .withColumn("whole", F.array(file_events()))
+        .withColumns({f"raw{k}": F.slice(raw, k + 1, F.greatest(F.size(raw) - k, F.lit(0))) for k in (1, 2, 3)})
     )
-    lines = prepared.select(
-        "repo_id", "file", "lang", "names", "n_lines",
-        F.posexplode(F.arrays_zip("t", "r", "d", "v")).alias("i", "l"),
+    lines = arrays.select(
+        "repo_id", "file", "lang", "utf8_ok", "names", F.size("t").alias("n_lines"),
+        F.posexplode(F.arrays_zip("t", "r", "d", "v", "whole", "m", "raw", "raw1", "raw2", "raw3")).alias("i", "l"),
     ).select(
-        "repo_id", "file", "lang", "names", "n_lines", (F.col("i") + 1).alias("line"),
-        F.coalesce("l.t", F.lit("")).alias("t"), F.coalesce("l.r", F.lit("")).alias("r"),
-        F.coalesce("l.d", F.lit("")).alias("d"), F.coalesce("l.v", F.lit("")).alias("v"),
+        "repo_id", "file", "lang", "names", "n_lines", (F.col("i") + 1).alias("line"), "l.whole",
+        *[F.coalesce(f"l.{f}", F.lit("")).alias(f) for f in ("t", "r", "d", "v")],
+        (F.startswith(F.coalesce("l.m", F.lit("")), F.lit(lex.DECORATED)) & F.col("utf8_ok")).alias("decorated"),
+        F.when(F.col("utf8_ok"), F.concat_ws("\n", "l.raw", "l.raw1", "l.raw2", "l.raw3")).alias("snippet"),
     )
-    x = rules.Line()
-    branches = {name: F.concat(*rules.RULES[name](x)) for name in langs}
+    here = rules.Line(*[F.col(c) for c in ("t", "r", "d", "v", "names")])
+
+    def on_line(e: Column) -> Column:
+        shown = e["kind"].isin("function", "class", "export")
+        return F.struct(
+            *[e[f].alias(f) for f in ("kind", "name", "a", "b", "own", "n", "pos")],
+            F.col("line").alias("at"), F.lit(None).cast("boolean").alias("in_text"),
+            F.when(e["kind"] == "function", F.col("decorated")).alias("decorated"),
+            F.when(shown, F.col("snippet")).alias("snippet"),
+        )
+
+    events = F.transform(rule_branches(here, checked=False), on_line)
     return lines.select(
-        "repo_id", "file", "lang", "n_lines", "line",
-        F.posexplode(_by_language(lang, branches, none())).alias("idx", "e"),
-    ).select("repo_id", "file", "lang", "n_lines", "line", "idx", "e.*")
+        "repo_id", "file", "lang", "n_lines",
+        F.posexplode(F.when(F.col("whole").isNull(), events).otherwise(F.concat("whole", events))).alias("idx", "e"),
+    ).select("repo_id", "file", "lang", "n_lines", "idx", "e.*").withColumnRenamed("at", "line")
 
 
 def _is(kind: str) -> Column:
@@ -285,7 +323,7 @@ def resolve(events: DataFrame, langs: list[str]) -> DataFrame:
         F.when(place == "once at line 0", 0).otherwise(line).cast("int").alias("line"), "end_line",
         F.when(_is("class"), method_count).when(_is("function"), F.col("n")).cast("int").alias("n"),
         F.when(_is("import"), a).alias("source"), F.when(_is("import"), F.col("b")).alias("alias"),
-        tag.alias("tag"), F.col("idx").cast("int").alias("ord"),
+        tag.alias("tag"), F.col("idx").cast("int").alias("ord"), "in_text", "decorated", "snippet",
         (
             ((lang == "rust") & kind.isin("function", "class", "variable") & F.col("is_public"))
             | ((lang == "objc") & _is("class"))
@@ -299,7 +337,8 @@ def resolve(events: DataFrame, langs: list[str]) -> DataFrame:
     nothing = F.lit(None)
     own_row = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SYMBOLS])
     as_export = F.struct(*[
-        {"kind": F.lit("export"), "tag": F.col("kind"), "end_line": nothing, "n": nothing}
+        {"kind": F.lit("export"), "tag": F.col("kind"), "end_line": nothing, "n": nothing,
+         "in_text": nothing}
         .get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in SYMBOLS])
     return row.select(F.inline(
         F.when(F.col("exported"), F.array(own_row, as_export)).otherwise(F.array(own_row))))

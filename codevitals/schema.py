@@ -18,6 +18,9 @@ FILES = T.StructType([
 #   class    name, line, end_line, n = method count
 #   variable name, line, tag = module | class | function
 #   call     name, line
+# ``in_text`` tells for imports and variables whether another line of the file
+# contains the name (NULL when the file is not valid UTF-8); ``decorated`` tells for
+# functions whether an @ line stands above; ``snippet`` holds up to four source lines from ``line`` on.
 SYMBOLS = T.StructType([
     T.StructField("repo_id", T.StringType()),
     T.StructField("file", T.StringType()),
@@ -31,11 +34,14 @@ SYMBOLS = T.StructType([
     T.StructField("alias", T.StringType()),
     T.StructField("tag", T.StringType()),
     T.StructField("ord", T.IntegerType()),
+    T.StructField("in_text", T.BooleanType()),
+    T.StructField("decorated", T.BooleanType()),
+    T.StructField("snippet", T.StringType()),
 ])
 
 FINDING_COLUMNS = [
     "repo_id", "detector", "category", "message", "file", "line", "snippet",
-    "related", "group_id", "confidence", "ord",
+    "related", "group_id", "confidence", "kind_ord", "ord",
 ]
 
 LANGUAGE_SUFFIXES = {
