@@ -29,19 +29,21 @@ def report_order() -> list[Column]:
 
 
 def with_seq(findings: DataFrame) -> DataFrame:
-    """Adds ``seq``: the position in a repository's report.
+    """Adds ``seq``: the 1-based position in the report of all repositories.
 
-    Ranks are counted per repository and detector, so no task sees a whole
-    repository; the detectors' totals (six numbers per repository) shift them.
+    The report is sorted by range over all tasks and stored once; the number of rows in
+    each sorted part (one number per part) turns positions within parts into ``seq``.
     """
-    rank = F.array_position(F.array(*map(F.lit, DETECTORS)), F.col("detector"))
-    ordered = findings.withColumn("rank", rank)
-    totals = ordered.groupBy("repo_id", "rank").count()
-    before = Window.partitionBy("repo_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("repo_id", "rank", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("repo_id", "rank").orderBy(*report_order())
-    return (ordered.withColumn("nth", F.row_number().over(within)).join(offsets, ["repo_id", "rank"])
-            .withColumn("seq", F.col("offset") + F.col("nth")).drop("rank", "nth", "offset"))
+    from .session import stored
+    at = F.monotonically_increasing_id()
+    ordered = stored(findings.orderBy(*report_order()).withColumn("at", at), "report")
+    part = F.shiftright("at", 33)
+    sizes = ordered.groupBy(part.alias("part")).count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    return (ordered.withColumn("part", part).join(F.broadcast(offsets), "part")
+            .withColumn("seq", F.col("offset") + F.col("at") - F.shiftleft("part", 33) + 1)
+            .drop("part", "offset", "at"))
 
 
 def glob_to_regex(pattern: str) -> str:

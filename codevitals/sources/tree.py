@@ -93,5 +93,5 @@ def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None,
     path = F.col("file")
     return listed.filter(is_source_file(path, ignore)).select(
         F.lit(repo_id or os.path.basename(os.path.realpath(root))).alias("repo_id"), "file",
-        suffix(path).alias("suffix"), unify_newlines(F.decode("raw", "UTF-8")).alias("text"),
+        suffix(path).alias("suffix"), unify_newlines(F.make_valid_utf8(F.col("raw").cast("string"))).alias("text"),
         F.is_valid_utf8(F.col("raw").cast("string")).alias("utf8_ok"), "mtime")
