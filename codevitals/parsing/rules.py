@@ -832,7 +832,7 @@ def rx_any(pattern: str) -> str:
 
 
 def nim(x: Line) -> list[Column]:
-    line = lex.nim_line(x.t)
+    line = x.r  # without its line comment
     s = strip(line)
     in_type = F.startswith(x.d, F.lit(NIM_REGION_TYPE))
     in_var = F.startswith(x.d, F.lit(NIM_REGION_VAR))

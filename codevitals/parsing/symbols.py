@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import local_name
 from ..functions.text import name_in_other_line, split_lines
 from ..schema import LANGUAGE_SUFFIXES, SYMBOLS
+from ..session import spread
 from . import lex, rules
 from .events import Checked, none
 from .pyast import python_symbols
@@ -95,7 +96,7 @@ def line_events(files: DataFrame, langs: list[str]) -> DataFrame:
                 split_lines(lex.mark_decorated(text)).alias("m"))
         .select(
             "repo_id", "file", "lang", "utf8_ok", "t", "raw", "m",
-            pick({"java": raw, "cpp": raw, "solidity": F.split(text, "\n", -1)}).alias("r"),
+            pick({"java": raw, "cpp": raw, "nim": F.transform(t, lex.nim_line), "solidity": F.split(text, "\n", -1)}).alias("r"),
             pick({"go": split_lines(rules.go_marked(text)),
                   "nim": split_lines(rules.nim_marked(lex.nim_blocks(text))),
                   "solidity": F.split(lex.fold(lex.solidity(text), rules.SOL_FOLD_DECL), "\n", -1)}).alias("d"),
@@ -344,12 +345,19 @@ def resolve(events: DataFrame, langs: list[str]) -> DataFrame:
         F.when(F.col("exported"), F.array(own_row, as_export)).otherwise(F.array(own_row))))
 
 
+def present_languages(files: DataFrame) -> list[str]:
+    """Languages with at least one file: the plan then holds no rules for the others."""
+    seen = {r[0] for r in files.filter(language(F.col("suffix")).isNotNull())
+            .select("suffix").distinct().collect()}  # at most one row per supported suffix
+    return [name for name, suffixes in LANGUAGE_SUFFIXES.items() if seen & set(suffixes)]
+
+
 def symbols(files: DataFrame, langs: list[str] | None = None,
             kinds: list[str] | None = None) -> DataFrame:
     """Symbol rows of ``files``; ``langs`` and ``kinds`` restrict the work, not just the output."""
     langs = list(LANGUAGE_SUFFIXES) if langs is None else langs
     kinds = KINDS if kinds is None else kinds
-    files = files.withColumn("lang", language(F.col("suffix")))
+    files = spread(files, *FILE).withColumn("lang", language(F.col("suffix")))
     ruled = [name for name in langs if name in rules.RULES]
     parts = []
     if ruled:

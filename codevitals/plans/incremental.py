@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..parsing.symbols import symbols
+from ..parsing.symbols import present_languages, symbols
 
 KEY = ["repo_id", "file"]
 
@@ -35,5 +35,6 @@ def refresh(files: DataFrame, cached_files: DataFrame, cached_symbols: DataFrame
     listing = files.select(*KEY, "mtime")
     same = hits(listing, cached_files)
     changed = files.join(misses(listing, cached_files), [*KEY, "mtime"], "left_semi")
+    langs = present_languages(changed) if langs is None else langs
     kept = cached_symbols.join(same.select(*KEY), KEY, "left_semi")
-    return listing, kept.unionByName(symbols(changed, langs))
+    return listing, kept.unionByName(symbols(changed, langs)) if langs else kept
