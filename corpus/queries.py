@@ -303,7 +303,7 @@ def god_class(spark, sf_dir):
 
 @query
 def duplicated_function(spark, sf_dir):
-    files = _python(spark, sf_dir)
+    files = stored(_python(spark, sf_dir), "files")
     table = stored(symbols(files, ["python"], ["function"]), "symbols")
     members = duplicate_members(files, table, 3).filter("name = 'dup'")
     return members.select("file", "line", "copies")
@@ -334,7 +334,7 @@ def import_cycle_components(spark, sf_dir):
 
 def _scan(spark, sf_dir):
     """All detectors over the Python tree."""
-    files = _python(spark, sf_dir)
+    files = stored(_python(spark, sf_dir), "files")
     return stored(detect(files, parse(files, ["python"]), Config()), "findings")
 
 
@@ -457,7 +457,7 @@ def fix_preview(spark, sf_dir):
 
 @query
 def fix_rewrite(spark, sf_dir):
-    files = _python(spark, sf_dir)
+    files = stored(_python(spark, sf_dir), "files")
     found = with_hash(unused_imports(symbols(files, ["python"])))
     out = fix.rewritten(files, found)
     return out.select("file", F.col("removed").cast("int").alias("removed"),
