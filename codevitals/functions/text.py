@@ -11,6 +11,11 @@ LINE_BREAKS = "[\\n\\u000b\\u000c\\u001c\\u001d\\u001e\\u0085\\u2028\\u2029]"
 BLANKS = " \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085 "
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside lambda functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unify_newlines(text: Column) -> Column:
     """``\\r\\n`` and ``\\r`` become ``\\n``, as a text-mode reader does."""
     return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)

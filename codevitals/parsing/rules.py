@@ -23,9 +23,8 @@ from .events import (
 class Line:
     """Columns of one source line: cleaned, stripped, raw, and two aligned variants."""
 
-    def __init__(self, t: Column, r: Column, d: Column, v: Column, names: Column):
-        self.t, self.r, self.d, self.v, self.names = t, r, d, v, names
-        self.s = strip(t)
+    def __init__(self, t: Column, s: Column, r: Column, d: Column, v: Column, names: Column):
+        self.t, self.s, self.r, self.d, self.v, self.names = t, s, r, d, v, names
 
 
 def _not_in(words):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import local_name
-from ..functions.text import name_in_other_line, split_lines
+from ..functions.text import name_in_other_line, split_lines, strip
 from ..schema import LANGUAGE_SUFFIXES, SYMBOLS
 from ..session import spread
 from . import lex, rules
@@ -79,10 +79,10 @@ def line_events(files: DataFrame, langs: list[str]) -> DataFrame:
         )
 
     def file_events() -> Column:
-        zipped = F.arrays_zip("t", "r", "d", "v")
+        zipped = F.arrays_zip("t", "s", "r", "d", "v")
 
         def on_line(z: Column, i: Column) -> Column:
-            fields = [F.coalesce(z[f], F.lit("")) for f in ("t", "r", "d", "v")]
+            fields = [F.coalesce(z[f], F.lit("")) for f in ("t", "s", "r", "d", "v")]
             found = rule_branches(rules.Line(*fields, F.col("names")), checked=True)
             return F.transform(found, lambda e: finished(e, i + 1))
 
@@ -95,7 +95,7 @@ def line_events(files: DataFrame, langs: list[str]) -> DataFrame:
                 split_lines(text).alias("raw"),
                 split_lines(lex.mark_decorated(text)).alias("m"))
         .select(
-            "repo_id", "file", "lang", "utf8_ok", "t", "raw", "m",
+            "repo_id", "file", "lang", "utf8_ok", "t", "raw", "m", F.transform(t, strip).alias("s"),
             pick({"java": raw, "cpp": raw, "nim": F.transform(t, lex.nim_line), "solidity": F.split(text, "\n", -1)}).alias("r"),
             pick({"go": split_lines(rules.go_marked(text)),
                   "nim": split_lines(rules.nim_marked(lex.nim_blocks(text))),
@@ -110,14 +110,14 @@ def line_events(files: DataFrame, langs: list[str]) -> DataFrame:
     )
     lines = arrays.select(
         "repo_id", "file", "lang", "utf8_ok", "names", F.size("t").alias("n_lines"),
-        F.posexplode(F.arrays_zip("t", "r", "d", "v", "whole", "m", "raw", "raw1", "raw2", "raw3")).alias("i", "l"),
+        F.posexplode(F.arrays_zip("t", "s", "r", "d", "v", "whole", "m", "raw", "raw1", "raw2", "raw3")).alias("i", "l"),
     ).select(
         "repo_id", "file", "lang", "names", "n_lines", (F.col("i") + 1).alias("line"), "l.whole",
-        *[F.coalesce(f"l.{f}", F.lit("")).alias(f) for f in ("t", "r", "d", "v")],
+        *[F.coalesce(f"l.{f}", F.lit("")).alias(f) for f in ("t", "s", "r", "d", "v")],
         (F.startswith(F.coalesce("l.m", F.lit("")), F.lit(lex.DECORATED)) & F.col("utf8_ok")).alias("decorated"),
         F.when(F.col("utf8_ok"), F.concat_ws("\n", "l.raw", "l.raw1", "l.raw2", "l.raw3")).alias("snippet"),
     )
-    here = rules.Line(*[F.col(c) for c in ("t", "r", "d", "v", "names")])
+    here = rules.Line(*[F.col(c) for c in ("t", "s", "r", "d", "v", "names")])
 
     def on_line(e: Column) -> Column:
         shown = e["kind"].isin("function", "class", "export")
