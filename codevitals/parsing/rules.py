@@ -950,6 +950,9 @@ OBJC_C_FUNC = (
     r"^(?:(?:static|inline|extern|void|int|float|double|char|long|short|unsigned|signed|NSInteger|"
     r"NSUInteger|CGFloat|BOOL|id|instancetype|NSString|NSArray|NSDictionary|__attribute__\([^)]*\))\s+)*"
     r"(?:\w+\s*\*?\s+)*(\w+)\s*\(([^)]*)\)\s*\{")
+# the same shape without nested repetition, for lines long enough to exhaust the matcher's stack
+OBJC_C_FUNC_LONG = r"^(?:\w[\w\s*]*\s\*?\s*)?(\w+)\s*\(([^)]*)\)\s*\{"
+OBJC_LONG_LINE = 4000
 OBJC_NOT_FUNCS = ["if", "for", "while", "switch", "return", "sizeof"]
 OBJC_INTERFACE = r"^@(?:interface|implementation)\s+(\w+)\s*(?:\((\w*)\))?"
 OBJC_PROTOCOL = r"^@protocol\s+(\w+)"
@@ -976,7 +979,11 @@ def objc(x: Line) -> list[Column]:
         .when(i == 0, w).otherwise(F.lit("")))), "")
     colons = F.length(selector) - F.length(F.replace(selector, F.lit(":"), F.lit("")))
     is_method = has(x.s, OBJC_METHOD)
-    c_name, c_params = grab(x.s, OBJC_C_FUNC), grab(x.s, OBJC_C_FUNC, 2)
+    long = F.length(x.s) > OBJC_LONG_LINE
+    by_length = lambda use: F.when(long, use(x.s, OBJC_C_FUNC_LONG)).otherwise(use(x.s, OBJC_C_FUNC))
+    c_name = by_length(grab)
+    c_params = by_length(lambda text, pattern: grab(text, pattern, 2))
+    is_c = F.contains(x.s, F.lit("(")) & F.contains(x.s, F.lit("{")) & by_length(has)
     c_count = F.when(strip(c_params) == "void", 0).otherwise(comma_count(c_params))
     is_interface = has(x.s, OBJC_INTERFACE)
     category = grab(x.s, OBJC_INTERFACE, 2)
@@ -995,7 +1002,7 @@ def objc(x: Line) -> list[Column]:
                 hidden(selector),
                 function(selector, colons, F.when(F.contains(x.t, F.lit("{")), "block").otherwise("near block")),
                 selector, "function")),
-            (F.contains(x.s, F.lit("(")) & has(x.s, OBJC_C_FUNC) & ~c_name.isin(*OBJC_NOT_FUNCS),
+            (is_c & ~c_name.isin(*OBJC_NOT_FUNCS),
              _shown_unless(hidden(c_name), function(c_name, c_count), c_name, "function")),
         ),
         hit(has(x.t, OBJC_SIGNATURE), ev("method", pos=AT_EOL)),

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..parsing.symbols import symbols
 from ..schema import FILES
@@ -27,13 +26,6 @@ def latest(batch: DataFrame) -> DataFrame:
     return batch.withColumn("nth", F.row_number().over(newest)).filter("nth = 1").drop("nth")
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
-        return like.limit(0)
-
-
 def merge_batch(store: str, langs: list[str] | None = None,
                 on_update: Callable[[DataFrame, DataFrame, int], None] | None = None):
     """A ``foreachBatch`` function. Tables are written per batch id, so a replay is harmless."""
@@ -45,7 +37,9 @@ def merge_batch(store: str, langs: list[str] | None = None,
         keys = files.select("repo_id", "file")
         merged = {}
         for label, new in (("files", files), ("symbols", fresh)):
-            old = _read(spark, f"{store}/{label}/{batch_id - 1}", new)
+            # batch ids follow each other; a missing predecessor must not pass for an empty one
+            old = (spark.read.schema(new.schema).parquet(f"{store}/{label}/{batch_id - 1}")
+                   if batch_id else new.limit(0))
             path = f"{store}/{label}/{batch_id}"
             (old.join(keys, ["repo_id", "file"], "left_anti").unionByName(new)
              .write.mode("overwrite").parquet(path))

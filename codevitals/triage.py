@@ -46,15 +46,13 @@ def next_finding(findings: DataFrame, decisions: DataFrame, cursor: str | None =
     open_ = pending(findings, decisions)
     if detector:
         open_ = open_.filter(F.col("detector") == detector)
-    at_cursor = F.col("hash") == F.lit(cursor)
-    facts = open_.agg(
-        F.min(F.when(at_cursor, F.col("seq"))).alias("cursor_seq"),
-        F.count(F.when(~F.coalesce(at_cursor, F.lit(False)), 1)).alias("remaining"))
-    # facts is a single row whatever the size of the findings
-    after = open_.join(F.broadcast(facts)).filter(
-        F.col("cursor_seq").isNull()
-        | ((F.col("seq") > F.col("cursor_seq")) & (F.col("hash") != F.lit(cursor))))
-    return after.orderBy("seq").limit(1).drop("cursor_seq")
+    at_cursor = F.coalesce(F.col("hash") == F.lit(cursor), F.lit(False))
+    # two numbers, whatever the size of the findings
+    cursor_seq, remaining = open_.agg(
+        F.min(F.when(at_cursor, F.col("seq"))), F.count(F.when(~at_cursor, 1))).first()
+    if cursor_seq is not None:
+        open_ = open_.filter((F.col("seq") > cursor_seq) & ~at_cursor)
+    return open_.orderBy("seq").limit(1).withColumn("remaining", F.lit(remaining).cast("bigint"))
 
 
 def status_matrix(findings: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from codevitals.plans.scan import detect, parse, review
 from codevitals.session import stored
 from codevitals.sources import filters, from_documents
 
-from .render import documents, template_files
+from .render import documents, mixed_files, template_files
 from .templates import TEMPLATES
 from .trees import python_tree, typescript_tree
 
@@ -70,12 +70,7 @@ for _lang in TEMPLATES:
 @query
 def symbol_profile(spark, sf_dir):
     """All twenty languages in one plan: document i is a file of language i mod 20."""
-    docs = documents(spark, sf_dir)
-    langs = sorted(TEMPLATES)
-    files = None
-    for k, lang in enumerate(langs):
-        part = template_files(docs.filter(F.col("doc_id") % len(langs) == k), lang)
-        files = part if files is None else files.unionByName(part)
+    files = mixed_files(documents(spark, sf_dir))
     return symbols(files).groupBy("lang", "kind").agg(F.count("*").alias("symbols"))
 
 

@@ -37,6 +37,18 @@ def template_files(docs: DataFrame, lang: str) -> DataFrame:
     return source_file(docs, "documents", F.concat(F.col("doc_id").cast("string"), F.lit(suffix)), suffix, text)
 
 
+def mixed_files(docs: DataFrame) -> DataFrame:
+    """Document i as a file of language i mod 20, in one pass."""
+    langs = sorted(TEMPLATES)
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(langs) + 1).cast("int"))
+    suffix = pick([LANGUAGE_SUFFIXES[lang][0] for lang in langs])
+    code = F.replace(pick([TEMPLATES[lang][0] for lang in langs]), F.lit("{i}"), F.col("doc_id").cast("string"))
+    plain = F.regexp_replace(F.concat(F.lit("\n"), F.col("text")), "[^A-Za-z0-9 \n]", "_")
+    header = F.replace(plain, F.lit("\n"), F.concat(F.lit("\n"), pick([COMMENT[lang] for lang in langs])))
+    text = F.concat(F.substring(header, 2, 2_000_000_000), F.lit("\n"), code)
+    return source_file(docs, "documents", F.concat(F.col("doc_id").cast("string"), suffix), suffix, text)
+
+
 def template_oracle(lang: str) -> str:
     """DuckDB SQL for the symbols of ``template_files``: arithmetic on doc_id and line counts."""
     def text(v):

@@ -76,9 +76,7 @@ def _when(test: Column, a, b) -> Column:
 def python_tree(docs: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     s = i.cast("string")
-    # {n} is the number of documents, one value
-    n = docs.agg(F.count("*").alias("n_docs"))
-    rows = docs.join(F.broadcast(n))
+    rows = docs.withColumn("n_docs", F.lit(docs.count()))
     t = F.pmod(i * 7 + 3, F.col("n_docs")).cast("string")
     code = _fill(
         PY_CODE,
@@ -99,8 +97,7 @@ def python_tree(docs: DataFrame) -> DataFrame:
 def typescript_tree(docs: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     s = i.cast("string")
-    n = docs.agg(F.count("*").alias("n_docs"))
-    rows = docs.join(F.broadcast(n))
+    rows = docs.withColumn("n_docs", F.lit(docs.count()))
     pair = F.floor(i / 2) % 7 == 0
     t = F.when(pair, F.when(i % 2 == 0, i + 1).otherwise(i - 1)).otherwise(i + 1)
     u = F.pmod(i * 3 + 1, F.col("n_docs")).cast("string")

@@ -44,6 +44,7 @@ IMPORTS = [
      [("*", "y", "C"), ("A", "x", None), ("B", "y", None)]),
     ("scala", "import a.b.{C => D, E}\nimport f._\n", [("C", "a.b", "D"), ("E", "a.b", None), ("_", "f", None)]),
 ]
+LONG_OBJC = "static " + "word " * 30000 + "run(int a) {\n}\n"
 JS = ("class A {\n  m() {\n    this.a.b();\n    new Foo();\n    x?.y();\n  }\n}\n"
       "const s = 'call(no)'; // other(no)\nexport { p as q };\n")
 CPP = "int a = 1; /* open\nint b = 2;\n"
@@ -54,7 +55,7 @@ def parsed(spark, make_files):
     """All odd cases as files of one plan: {file stem: rows}."""
     cases = [(f"block{i}", lang, text) for i, (lang, text, _) in enumerate(BLOCKS)]
     cases += [(f"import{i}", lang, text) for i, (lang, text, _) in enumerate(IMPORTS)]
-    cases += [("js", "javascript", JS), ("cpp", "cpp", CPP)]
+    cases += [("js", "javascript", JS), ("cpp", "cpp", CPP), ("long", "objc", LONG_OBJC)]
     fill = lambda v: v.replace("{i}", "7")
     cases += [(f"template-{lang}", lang, fill(text)) for lang, (text, _) in TEMPLATES.items()]
     files = make_files({stem + LANGUAGE_SUFFIXES[lang][0]: text for stem, lang, text in cases})
@@ -85,6 +86,10 @@ def test_imports(parsed, i):
     assert sorted(rows, key=str) == sorted(IMPORTS[i][2], key=str)
 
 
+def test_very_long_line(parsed):
+    assert short(only(parsed["long"], "function"), "name", "line", "end_line", "n") == [("run", 1, 2, 1)]
+
+
 def test_unfinished_comment(parsed):
     assert short(only(parsed["cpp"], "variable"), "name") == [("a",)]
 
