@@ -16,11 +16,14 @@ def from_documents(docs: DataFrame, path: Column, text: Column, repo_id="documen
         unify_newlines(text).alias("text"), F.lit(True).alias("utf8_ok"), F.lit(0.0).alias("mtime"))
 
 
-def write_bucketed(files: DataFrame, table: str, buckets: int) -> None:
+def write_bucketed(files: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """Store files bucketed by (repo_id, file), the key of every per-file step.
 
     Reading such a table, parsing, the per-file windows and the join of functions with
     their text all keep the bucketing: texts are not shuffled again.
     """
-    (files.write.mode("overwrite").format("parquet")
-     .bucketBy(buckets, "repo_id", "file").sortBy("repo_id", "file").saveAsTable(table))
+    writer = (files.write.mode("overwrite").format("parquet")
+              .bucketBy(buckets, "repo_id", "file").sortBy("repo_id", "file"))
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
