@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,13 @@ _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SLICE_CHARS = 4_000_000
 
 
+#: Rows that a Python worker is given at a time.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Python workers get ``BATCH_ROWS`` rows at a time, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,22 +46,45 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-# Unicode White_Space, as the tokenizers' own pattern takes it.
-_SPACE = "\t-\r \x85\xa0  -     　"
-# A letter run before a full stop or comma ends there in that pattern, and so does anything before white space.
-_chunks = re.compile(
-    rf"[{_SPACE}]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,])|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
+# White space of the tokenizers' own pattern: Unicode White_Space. Most texts have none of it beyond ASCII.
+_WIDE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_has_wide = re.compile(rf"[{_WIDE[6:]}]").search
+# The letters of Latin-1.
+_LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+# That pattern always splits before white space, after a line feed that stands alone, and between letters and marks.
+_chunks = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
+_wide_chunks = re.compile(rf"[{_WIDE}]*[^{_WIDE}]+|[{_WIDE}]+").findall
+_word_marks = re.compile(rf"( ?[{_LETTER}]+)([!-&(-/:-@\[-`{{-~]*)").fullmatch
+_line_feed = re.compile(rf"\n[^{_WIDE}]").match
 # Characters on which libraries differ whether they are white space: such texts are encoded in one piece.
-_odd = re.compile("[\x1c-\x1f᠎​⁠﻿]").search
-_CACHE_ENTRIES, _CACHE_CHARS = 250_000, 40
+_odd = re.compile("[\x1c-\x1f\u180e\u200b\u2060\ufeff]").search
+_CACHE_ENTRIES, _CACHE_CHARS = 300_000, 40
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Memo(dict):
+    """Ids of chunks, made when first asked for; two generations of a bounded size keep the frequent ones."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        self.make, self.older = make, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = found = self.older.get(chunk) or self.make(chunk)
+        return found
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Byte-pair merges never cross the boundaries of the tokenizer's pattern, so pieces between
-    such boundaries are encoded once and looked up afterwards.
+    Merges never cross the boundaries of the tokenizer's pattern, so chunks between such boundaries are encoded once
+    and looked up afterwards.
     """
 
     def __init__(self, path: str):
@@ -63,24 +93,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.known = _Memo(self._chunk, {})
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _line_feed(chunk):
+            return self.known["\n"] + self.known[chunk[1:]]
+        parts = _word_marks(chunk)
+        if not parts:
+            return self.whole(chunk)
+        if parts[2]:
+            return self.known[parts[1]] + self.known[parts[2]]
+        word = chunk.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _odd(text):
-            return self._ids([text])[0]
-        pieces, known = _chunks(text), self.known
-        new = [x for x in dict.fromkeys(pieces) if x not in known]
-        if not new:
-            return b"".join(map(known.__getitem__, pieces))
-        fresh = dict(zip(new, self._ids(new), strict=True))
-        out = b"".join([fresh[x] if x in fresh else known[x] for x in pieces])
-        if len(known) > _CACHE_ENTRIES:
-            known.clear()
-        known.update((k, v) for k, v in fresh.items() if len(k) <= _CACHE_CHARS)
+            return self.whole(text)
+        chunks = _wide_chunks(text) if _has_wide(text) else _chunks(text)
+        out = b"".join(map(self.known.__getitem__, chunks))
+        if len(self.known) > _CACHE_ENTRIES:
+            self.known = _Memo(self._chunk, {k: v for k, v in self.known.items() if len(k) <= _CACHE_CHARS})
         return out
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codevitals.llm import quality, secret_scan
 from codevitals.llm.common import table
+from codevitals.llm.mixing import mix, n_words, with_pattern
 from codevitals.llm.packing import pack
 from codevitals.llm.token_files import token_file_digests
+from codevitals.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,9 +21,32 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", n_words(F.col("text")).alias("size"), "source")
+    docs = stored(with_pattern(docs, F.array("source")), "sizes")
+    choice, sizes, targets = mix(docs)
+    rows = [(s, n, targets[s]) for s, n in sizes.items()]  # a row for each source
+    sources = F.broadcast(spark.createDataFrame(rows, "name string, source_size long, target double"))
+    return (choice.times(docs).join(sources, F.col("source").eqNullSafe(F.col("name")))
+            .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op4_token_files": op4_token_files}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.verdicts(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing, "op3_mixing": op3_mixing, "op4_token_files": op4_token_files, "op7_quality": op7_quality,
+    "op10_secrets": op10_secrets,
+}
 ORACLE: dict[str, str] = {}

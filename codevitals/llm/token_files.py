@@ -71,11 +71,9 @@ class Code:
         self.code = np.zeros(size, dtype=np.uint64)
         self.length[symbols] = lengths
         self.code[symbols] = (first >> (limit - lengths)).astype(np.uint64)
-        self.table_symbol = np.zeros(1 << limit, dtype=np.int32)
-        self.table_length = np.ones(1 << limit, dtype=np.int64)
-        used = int(span.sum())
-        self.table_symbol[:used] = np.repeat(symbols, span)
-        self.table_length[:used] = np.repeat(lengths, span)
+        # Length (high bits) and symbol of the code that any ``limit`` bits begin with.
+        self.table = np.full(1 << limit, 1 << 24, dtype=np.int32)
+        self.table[: int(span.sum())] = np.repeat((lengths << 24 | symbols).astype(np.int32), span)
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bit offset of each block, and the bits as 32-bit words (with two spare words)."""
@@ -99,9 +97,10 @@ class Code:
         mask, shift = np.uint64((1 << self.limit) - 1), 64 - self.limit
         for step in range(len(out)):
             window = wide[np.minimum(at >> 5, last)] >> (shift - (at & 31)).astype(np.uint64)
-            entry = (window & mask).astype(np.int64)
-            out[step] = self.table_symbol[entry]
-            at += self.table_length[entry]
+            found = self.table[(window & mask).astype(np.int64)]
+            out[step] = found
+            at += found >> 24
+        out &= (1 << 24) - 1
         if len(at) <= 1:
             return out.T.reshape(-1)[:n_ids]
         full = out[:, :-1].T.reshape(-1)
@@ -163,8 +162,8 @@ def count_ids(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype="<u2"), minlength=1 << 16)
+            for part in np.array_split(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2"), 8):
+                total += np.bincount(part, minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
