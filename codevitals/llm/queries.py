@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codevitals.llm import quality, secret_scan
+from codevitals.llm import language, lm_score, near_dedup, quality, secret_scan
 from codevitals.llm.common import table
 from codevitals.llm.mixing import mix, n_words, with_pattern
 from codevitals.llm.packing import pack
@@ -21,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.learn(docs))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", n_words(F.col("text")).alias("size"), "source")
     docs = stored(with_pattern(docs, F.array("source")), "sizes")
@@ -35,18 +40,24 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.verdicts(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.train(docs))
 
 
-QUERIES: dict[str, Query] = {
-    "op1_packing": op1_packing, "op3_mixing": op3_mixing, "op4_token_files": op4_token_files, "op7_quality": op7_quality,
-    "op10_secrets": op10_secrets,
-}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_packing, op2_language, op3_mixing, op4_token_files, op6_lm_score, op7_quality, op9_near_dedup, op10_secrets)}
 ORACLE: dict[str, str] = {}
