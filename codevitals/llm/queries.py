@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codevitals.llm import language, lm_score, near_dedup, quality, secret_scan
+from codevitals.llm import language, lm_score, near_dedup, quality, secret_scan, vector_links, warc
 from codevitals.llm.common import table
 from codevitals.llm.mixing import mix, n_words, with_pattern
 from codevitals.llm.packing import pack
@@ -40,6 +40,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.links(table(spark, sf_dir, "embeddings"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -59,5 +67,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_packing, op2_language, op3_mixing, op4_token_files, op6_lm_score, op7_quality, op9_near_dedup, op10_secrets)}
+    op1_packing, op2_language, op3_mixing, op4_token_files, op5_vector_links, op6_lm_score, op7_quality,
+    op8_warc, op9_near_dedup, op10_secrets)}
 ORACLE: dict[str, str] = {}

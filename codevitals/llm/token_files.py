@@ -29,7 +29,7 @@ from codevitals.session import scratch_dir, stored
 MAGIC = b"HUF1"
 BLOCK = 1024
 SEGMENT_IDS = 1 << 20
-LIMIT = 18
+LIMIT = 16
 _HEAD = "<4sIQIQ"  # magic, documents, ids, blocks, 32-bit words
 
 
@@ -190,7 +190,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append((k, np.frombuffer(x.as_buffer(), dtype="<u2")))
+                docs.append((k, np.frombuffer(x.as_py(), dtype="<u2")))
                 size += len(docs[-1][1])
                 if size >= SEGMENT_IDS:
                     yield flush()
@@ -204,8 +204,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     segments.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{folder}/segments")
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (32-bit little-endian, with the end id)."""
+def read_token_files(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), ids (32-bit little-endian, with the end id).
+
+    With ``digests``: doc_id, start, n_tokens, ids_crc32 (of those bytes) instead.
+    """
     book = spark.read.schema("id int, bits int").parquet(f"{folder}/codebook").toPandas()
     shared = spark.sparkContext.broadcast((book["id"].to_numpy(np.int64), book["bits"].to_numpy(np.int64)))
     segments = spark.read.schema("part int, seg int, start long, n_ids long, data binary").parquet(f"{folder}/segments")
@@ -221,27 +224,17 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             for part, start, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 keys, counts, ids = unpack_segment(code, blob)
                 ends = np.cumsum(counts, dtype=np.int64)
-                raw = ids.astype("<u4")
-                pieces = [raw[e - n:e].tobytes() for e, n in zip(ends, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(before[part] + start + ends - counts),
-                     pa.array(pieces, pa.binary())], ["doc_id", "start", "ids"])
-
-    return segments.select("part", "start", "data").mapInArrow(run, "doc_id long, start long, ids binary")
-
-
-def token_digests(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of what was read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column(2)]
-            n = [len(x.as_buffer()) // 4 for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                pieces = [raw[4 * (e - n): 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                columns = [pa.array(keys, pa.int64()), pa.array(before[part] + start + ends - counts)]
+                if digests:
+                    columns += [pa.array(counts, pa.int64()), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
+                else:
+                    columns.append(pa.array([bytes(p) for p in pieces], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return read.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    schema = f"doc_id long, start long, {'n_tokens long, ids_crc32 long' if digests else 'ids binary'}"
+    return segments.select("part", "start", "data").mapInArrow(run, schema)
 
 
 def token_file_digests(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -249,4 +242,4 @@ def token_file_digests(docs: DataFrame, folder: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = folder or f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(docs, folder)
-    return token_digests(read_token_files(spark, folder))
+    return read_token_files(spark, folder, digests=True)
