@@ -133,7 +133,7 @@ class Choice:
         docs = docs.withColumns(_hashed(self.seed)).join(F.broadcast(cuts), "pattern")
         docs = docs.join(F.broadcast(fills), ["pattern", "_hash"], "left")
         first = (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & (F.col("_hash") <= F.col("_last")))
-        more = F.when(first, 1).otherwise(F.coalesce("_fill", F.lit(0)))
+        more = F.when(first & (F.col("size") > 0), 1).otherwise(F.coalesce("_fill", F.lit(0)))
         return docs.withColumn("times", F.col("_times") + more).drop("_times", "_edge", "_last", "_hash", "_bucket", "_fill")
 
 

@@ -40,7 +40,7 @@ def _matrix(rows: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
