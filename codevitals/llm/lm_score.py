@@ -41,9 +41,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _keys(words: list[str]) -> np.ndarray:
-    """Signed 64-bit hashes of words; 0 is kept for the end."""
-    keys = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words)).view(np.int64)
-    return np.where(keys == _END_KEY, 1, keys)
+    """Signed 64-bit hashes of words; the end, written as an empty word, has the key 0."""
+    keys = np.fromiter((xxhash.xxh64_intdigest(w.encode()) if w else 0 for w in words), np.uint64, len(words)).view(np.int64)
+    return np.where((keys == _END_KEY) & np.fromiter(map(bool, words), bool, len(words)), 1, keys)
+
+
+class _Index(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -51,8 +59,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(counts: Counter, ends: int) -> pa.RecordBatch:
-            keys = np.append(_keys(list(counts)), _END_KEY)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([*counts.values(), ends], pa.int64())], ["key", "c"])
+            counts[""] = ends
+            return pa.RecordBatch.from_arrays([pa.array(_keys(list(counts))), pa.array([*counts.values()], pa.int64())], ["key", "c"])
 
         counts, ends = Counter(), 0
         for batch in batches:
@@ -92,16 +100,15 @@ class Head:
 
 
 def _tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words, the words of all texts as places among them (the end as one more), tokens of each text."""
-    index: dict[str, int] = {}
-    code, lengths = [], []
+    """Distinct tokens, the tokens of all texts as places among them, tokens of each text."""
+    index, tokens, lengths = _Index(), [], []
     for text in texts:
-        words = find_words(lower_ascii(text or ""))
-        code += [index.setdefault(w, len(index)) for w in words]
-        code.append(-1)
-        lengths.append(len(words) + 1)
-    code = np.array(code, dtype=np.int64)
-    return list(index), np.where(code < 0, len(index), code), np.array(lengths, dtype=np.int64)
+        before = len(tokens)
+        tokens += find_words(lower_ascii(text or ""))
+        tokens.append("")
+        lengths.append(len(tokens) - before)
+    code = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+    return list(index), code, np.array(lengths, dtype=np.int64)
 
 
 def train(docs: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> recurrent.Weights:
@@ -119,7 +126,7 @@ def train(docs: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> recur
             symbols = []
             for batch in batches:
                 words, code, _ = _tokens(batch.column(0).to_pylist())
-                symbols.append(head.symbol[np.append(head.find(_keys(words)), head.find(np.array([_END_KEY])))][code])
+                symbols.append(head.symbol[head.find(_keys(words))][code])
             if symbols:
                 stream = np.concatenate(symbols)
                 out = recurrent.train(recurrent.initial(counts).unpack(data), stream)
@@ -184,7 +191,7 @@ def score(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             words, code, lengths = _tokens(batch.column(1).to_pylist())
-            keys = np.append(_keys(words), _END_KEY)
+            keys = _keys(words)
             at = head.find(keys)[code]
             doc = np.repeat(np.arange(len(lengths)), lengths)
             in_head = at < len(head.keys)

@@ -73,12 +73,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at ``chosen``; logits above 60 count as 60, so that sums stay finite."""
+    np.minimum(logits, 60, out=logits)
+    picked = logits[np.arange(len(chosen)), chosen]
+    np.exp(logits, out=logits)
+    return picked - np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
+
+
 def log_probabilities(w: Weights, states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural logarithms of the probabilities of the symbols ``y`` after ``states``."""
     kind, place = y // CLASS, y % CLASS
-    logits = states @ w.to_class + w.class_bias
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(y)), kind] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    out = _log_share(states @ w.to_class + w.class_bias, kind)
     order = np.argsort(kind, kind="stable")
     ends = np.cumsum(np.bincount(kind, minlength=len(w.class_bias)))
     begin = 0
@@ -86,9 +92,7 @@ def log_probabilities(w: Weights, states: np.ndarray, y: np.ndarray) -> np.ndarr
         rows = order[begin:end]
         begin = end
         if len(rows):
-            logits = states[rows] @ w.to_symbol[c] + w.symbol_bias[c]
-            top = logits.max(axis=1)
-            out[rows] += logits[np.arange(len(rows)), place[rows]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            out[rows] += _log_share(states[rows] @ w.to_symbol[c] + w.symbol_bias[c], place[rows])
     return out
 
 
@@ -179,7 +183,7 @@ class Trainer:
         return d
 
 
-def train(weights: Weights, symbols: np.ndarray, least_updates: int = 300) -> Weights:
+def train(weights: Weights, symbols: np.ndarray, least_updates: int = 30) -> Weights:
     """Learn from ``symbols``, documents one after the other each with its end, once or until ``least_updates``."""
     lanes = max(1, min(LANES, len(symbols) // WINDOW))
     steps = len(symbols) // lanes
