@@ -59,7 +59,7 @@ _line_feed = re.compile(rf"\n[^{_WIDE}]").match
 # Characters on which libraries differ whether they are white space: such texts are encoded in one piece.
 _odd = re.compile("[\x1c-\x1f\u180e\u200b\u2060\ufeff]").search
 _CACHE_ENTRIES, _CACHE_CHARS = 600_000, 40
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -81,16 +81,17 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts as little-endian unsigned bytes: 32-bit ("I") or 16-bit ("H").
 
     Merges never cross the boundaries of the tokenizer's pattern, so chunks between such boundaries are encoded once
     and looked up afterwards.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "I"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
@@ -98,7 +99,7 @@ class Encoder:
         self.known = _Memo(self._chunk, {})
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return array(self.kind, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if _line_feed(chunk):
@@ -109,7 +110,7 @@ class Encoder:
         if parts[2]:
             return self.known[parts[1]] + self.known[parts[2]]
         word = chunk.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        return array(self.kind, [t.id for t in self.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _odd(text):
@@ -121,11 +122,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, kind: str = "I") -> Encoder:
+    """One encoder for each worker process, file and kind."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = Encoder(path, kind)
+    return _encoders[path, kind]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -140,13 +140,10 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, ids (16-bit little-endian while the vocabulary allows, with the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(path, "H")
+        end = end_id.to_bytes(2, "little")
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(enc.encode(text or "") + end, dtype="<u4")
-                out.append(ids.astype("<u2").tobytes())
+            out = [enc.encode(text or "") + end for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     from tokenizers import Tokenizer
@@ -199,7 +196,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             yield flush()
 
     schema = pa.schema([("seg", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
-    ranged = encoded.repartitionByRange("doc_id", F.crc32("ids")).sortWithinPartitions("doc_id", F.crc32("ids"))
+    ranged = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
     segments = ranged.mapInArrow(run, "seg int, start long, n_ids long, data binary")
     segments.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{folder}/segments")
 
