@@ -51,7 +51,10 @@ _WIDE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 _has_wide = re.compile(rf"[{_WIDE[6:]}]").search
 # The letters of Latin-1.
 _LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-# That pattern always splits before white space, after a line feed that stands alone, and between letters and marks.
+# That pattern always splits before white space, after a line feed that stands alone, and between letters or digits and marks.
+_plain_chunks = re.compile(r"[\t-\r ]*[^\t-\r !-&(-/:-@\[-`{-~]+|[\t-\r ]*[!-&(-/:-@\[-`{-~]+|[\t-\r ]+").findall
+# Texts with other characters than white space, marks, digits and Latin-1 letters; the apostrophe is not among the marks.
+_not_plain = re.compile(rf"[^\t-\r -&(-~{_LETTER[6:]}]").search
 _chunks = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
 _wide_chunks = re.compile(rf"[{_WIDE}]*[^{_WIDE}]+|[{_WIDE}]+").findall
 _word_marks = re.compile(rf"( ?[{_LETTER}]+)([!-&(-/:-@\[-`{{-~]*)").fullmatch
@@ -102,20 +105,21 @@ class Encoder:
         return array(self.kind, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if _line_feed(chunk):
-            return self.known["\n"] + self.known[chunk[1:]]
         parts = _word_marks(chunk)
         if not parts:
-            return self.whole(chunk)
+            return self.known["\n"] + self.known[chunk[1:]] if _line_feed(chunk) else self.whole(chunk)
         if parts[2]:
             return self.known[parts[1]] + self.known[parts[2]]
         word = chunk.encode().decode("latin-1").translate(self.letters)
         return array(self.kind, [t.id for t in self.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _odd(text):
+        if not _not_plain(text):
+            chunks = _plain_chunks(text)
+        elif _odd(text):
             return self.whole(text)
-        chunks = _wide_chunks(text) if _has_wide(text) else _chunks(text)
+        else:
+            chunks = _wide_chunks(text) if _has_wide(text) else _chunks(text)
         out = b"".join(map(self.known.__getitem__, chunks))
         if len(self.known) > _CACHE_ENTRIES:
             self.known = _Memo(self._chunk, {k: v for k, v in self.known.items() if len(k) <= _CACHE_CHARS})
