@@ -2,11 +2,10 @@
 
 Documents are aggregated by membership pattern (the set of sources a document belongs to). Each pattern can send its words once
 at no cost, and again at a cost that grows with each repetition; sources take what their quotas ask. The flow that meets
-the quotas at the least cost says how many words each pattern gives to each source; then every pattern's documents are chosen
-in a seeded order of hashes until their words reach the flow, whole documents at a time. What is left open is narrowed with the
-largest document that still fits.
+the quotas at the least cost says how many words each pattern gives to each source; then whole documents of every pattern are chosen by a
+seeded hash, the same share of each size class, until their words come nearest to the flow.
 
-Only totals by pattern and by (pattern, hash bucket) leave the executors. A null text has size 0 and is taken
+Only totals by pattern and by (pattern, size class, hash bucket) leave the executors. A null text has size 0 and is taken
 0 words; a null source is a source of its own, last in order; rows with equal doc_id and size have the same hash and share their fate
 as far as the quota allows. Other columns are not looked at. An empty table has no quotas and gives no rows.
 """
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codevitals.llm.common import WORD
 
-BUCKETS = 1024
+BUCKETS = 256
 EPOCHS = 2
 SEED = 7
 
@@ -121,71 +120,46 @@ def route(patterns: list[tuple[tuple, int]], targets: dict[str | None, float], e
 class Choice:
     """How often the documents of each pattern are used; ``times`` applies it to any frame of theirs."""
 
-    cuts: list[tuple]  # pattern, uses of all, first bucket that isn't used once more, last hash of it that is
-    fills: list[tuple]  # pattern, hash of single documents that are used once more
+    cuts: list[tuple]  # pattern, size class, uses of all its documents, first bucket that isn't used once more
     seed: int = SEED
 
     def times(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (with doc_id, size, pattern) with ``times``; both tables have a few rows for each pattern."""
-        spark = docs.sparkSession
-        cuts = spark.createDataFrame(self.cuts, "pattern string, _times int, _edge int, _last long")
-        fills = spark.createDataFrame([(*x, 1) for x in self.fills], "pattern string, _hash long, _fill int")
-        docs = docs.withColumns(_hashed(self.seed)).join(F.broadcast(cuts), "pattern")
-        docs = docs.join(F.broadcast(fills), ["pattern", "_hash"], "left")
-        first = (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & (F.col("_hash") <= F.col("_last")))
-        more = F.when(first & (F.col("size") > 0), 1).otherwise(F.coalesce("_fill", F.lit(0)))
-        return docs.withColumn("times", F.col("_times") + more).drop("_times", "_edge", "_last", "_hash", "_bucket", "_fill")
+        """``docs`` (with doc_id, size, pattern) with ``times``."""
+        # A row for each pattern and size class.
+        cuts = docs.sparkSession.createDataFrame(self.cuts, "pattern string, _class int, _times int, _edge int")
+        docs = docs.withColumns(_placed(self.seed)).join(F.broadcast(cuts), ["pattern", "_class"])
+        more = F.when((F.col("_bucket") < F.col("_edge")) & (F.col("size") > 0), 1).otherwise(0)
+        return docs.withColumn("times", F.col("_times") + more).drop("_class", "_bucket", "_times", "_edge")
 
 
-def _hashed(seed: int) -> dict[str, Column]:
-    value = F.xxhash64(F.lit(seed), "doc_id", "size")
-    return {"_hash": value, "_bucket": F.shiftrightunsigned(value, 54).cast("int")}
+def _placed(seed: int) -> dict[str, Column]:
+    """The size class (binary digits of the size) and the hash bucket of a document."""
+    return {"_class": F.length(F.bin("size")).cast("int"),
+            "_bucket": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(BUCKETS)).cast("int")}
 
 
-def choose(docs: DataFrame, flows: dict[str, tuple[int, float]], seed: int = SEED, rounds: int = 3) -> Choice:
-    """Documents of ``docs`` (doc_id, size, pattern; read several times) whose words reach the flows.
+def choose(docs: DataFrame, flows: dict[str, tuple[int, float]], seed: int = SEED) -> Choice:
+    """Documents of ``docs`` (doc_id, size, pattern) whose words come near the flows.
 
-    ``flows``: for each pattern its size and the words it gives. All documents are used ``flow // size`` times, and a
-    seeded choice once more: hash buckets in order while they fit, then documents of the next bucket in hash order,
-    then ``rounds`` times the largest other document that fits.
+    ``flows``: for each pattern its size and the words it gives. All documents are used ``flow // size`` times, and the same
+    share of every size class once more: hash buckets in order, as many as come nearest. What a class misses or exceeds is
+    made up for by the next smaller one, so the last error is a part of the smallest documents.
     """
-    spark = docs.sparkSession
-    docs = docs.withColumns(_hashed(seed))
-    sums: dict[str, dict[int, int]] = {}
-    for r in docs.groupBy("pattern", "_bucket").agg(F.sum("size").alias("n")).collect():  # BUCKETS rows for each pattern
-        sums.setdefault(r[0], {})[r[1]] = r.n
-    edges, reached, times = [], {}, {}
-    for p, (size, flow) in flows.items():
-        times[p], more = divmod(round(flow), size) if size else (0, 0)
-        edge, below = BUCKETS, 0
-        for b, n in sorted(sums.get(p, {}).items()):
-            if below + n > more:
-                edge = b
-                break
-            below += n
-        edges.append((p, edge, more, below))
-        reached[p] = below
-    table = spark.createDataFrame(edges, "pattern string, _edge int, more long, below long")
-    # Within the bucket at the edge, 1/1024 of a pattern's documents: in hash order while the words fit.
-    at_edge = (docs.join(F.broadcast(table), "pattern").where("_bucket = _edge")
-               .groupBy("pattern", "more", "below", "_hash").agg(F.sum("size").alias("n")))
-    reach = F.expr("below + sum(n) over (partition by pattern, below order by _hash)")
-    last = (at_edge.withColumn("reach", reach).where("reach <= more").groupBy("pattern")
-            .agg(F.max("_hash").alias("last"), F.max("reach").alias("reach")).collect())
-    lasts = {r.pattern: r.last for r in last}
-    reached |= {r.pattern: r.reach for r in last}
-    cuts = [(p, times[p], edge, lasts.get(p, -(1 << 63))) for p, edge, _, _ in edges]
-    gaps, fills = {p: more - reached[p] for p, _, more, _ in edges}, []
-    for _ in range(rounds):
-        gap = spark.createDataFrame(list(gaps.items()), "pattern string, gap long")
-        free = Choice(cuts, fills, seed).times(docs.drop("_hash", "_bucket"))
-        base = spark.createDataFrame(list(times.items()), "pattern string, all_times int")
-        free = free.join(F.broadcast(gap), "pattern").join(F.broadcast(base), "pattern").where("times = all_times and size > 0")
-        groups = free.withColumns(_hashed(seed)).groupBy("pattern", "gap", "_hash").agg(F.sum("size").alias("n")).where("n <= gap")
-        for r in groups.groupBy("pattern").agg(F.max(F.struct("n", "_hash")).alias("best")).collect():
-            fills.append((r.pattern, r.best._hash))
-            gaps[r.pattern] -= r.best.n
-    return Choice(cuts, fills, seed)
+    sums = docs.withColumns(_placed(seed)).groupBy("pattern", "_class", "_bucket").agg(F.sum("size").alias("n"))
+    cuts = []
+    # At most BUCKETS rows for each pattern and size class.
+    for pattern, rows in sums.toPandas().groupby("pattern", sort=True):
+        size, flow = flows[pattern]
+        times, more = divmod(round(flow), size) if size else (0, 0)
+        carried = 0.0
+        for kind in sorted(rows["_class"].unique(), reverse=True):
+            part = rows[rows["_class"] == kind].sort_values("_bucket")
+            wanted = carried + (part["n"].sum() * more / size if size else 0)
+            reached = np.concatenate([[0], part["n"].cumsum().to_numpy()])
+            k = int(np.abs(reached - wanted).argmin())
+            carried = wanted - reached[k]
+            cuts.append((pattern, int(kind), times, int(part["_bucket"].iloc[k]) if k < len(part) else BUCKETS))
+    return Choice(cuts, seed)
 
 
 def with_pattern(docs: DataFrame, members: Column) -> DataFrame:
