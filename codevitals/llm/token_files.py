@@ -38,6 +38,8 @@ def code_lengths(weights: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     n = len(weights)
     if n <= 1:
         return np.ones(n, dtype=np.uint8)
+    if limit > 16:
+        raise ValueError("codes have 16 bits at most")
     if n > 1 << limit:
         raise ValueError(f"{n} ids don't fit into codes of {limit} bits")
     order = np.argsort(weights, kind="stable")
@@ -67,26 +69,31 @@ class Code:
         span = np.int64(1) << (limit - lengths)  # table entries of a code
         first = np.cumsum(span) - span
         size = int(symbols.max()) + 1 if len(symbols) else 0
-        self.length = np.zeros(size, dtype=np.int64)
-        self.code = np.zeros(size, dtype=np.uint64)
-        self.length[symbols] = lengths
-        self.code[symbols] = (first >> (limit - lengths)).astype(np.uint64)
+        # Code (high bits) and length of each symbol.
+        self.codes = np.zeros(size, dtype=np.int64)
+        self.codes[symbols] = first >> (limit - lengths) << 8 | lengths
         # Length (high bits) and symbol of the code that any ``limit`` bits begin with.
         self.table = np.full(1 << limit, 1 << 24, dtype=np.int32)
         self.table[: int(span.sum())] = np.repeat((lengths << 24 | symbols).astype(np.int32), span)
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bit offset of each block, and the bits as 32-bit words (with two spare words)."""
-        length = self.length[ids]
+        found = self.codes[ids]
+        if len(found) % 2:
+            found = np.append(found, 0)
+        # Two codes at a time: 32 bits at most, wherever they begin in a word.
+        length, code = (x.reshape(-1, 2) for x in (found & 255, found >> 8))
+        code = (code[:, 0] << length[:, 1] | code[:, 1]).astype(np.uint64)
+        length = length.sum(axis=1)
         end = np.cumsum(length)
         begin = end - length
         total = int(end[-1]) if len(end) else 0
-        window = self.code[ids] << (64 - (begin & 31) - length).astype(np.uint64)
+        window = code << (64 - (begin & 31) - length).astype(np.uint64)
         word, n_words = begin >> 5, total // 32 + 3
         # Codes don't overlap, so the sums stay under 2^32 and are exact in doubles.
         bits = np.bincount(word, weights=(window >> np.uint64(32)).astype(np.float64), minlength=n_words)
         bits += np.bincount(word + 1, weights=(window & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n_words)
-        return begin[::BLOCK].astype("<u8"), bits.astype("<u4")
+        return begin[:: BLOCK // 2].astype("<u8"), bits.astype("<u4")
 
     def decode(self, offsets: np.ndarray, words: np.ndarray, n_ids: int) -> np.ndarray:
         """The ids of the blocks that begin at ``offsets``, ``n_ids`` in all."""
