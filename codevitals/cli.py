@@ -167,10 +167,13 @@ def cmd_fix(args) -> int:
         return 0
     config = Config.load(args.path)
     files = stored(read_tree(spark, args.path, config.ignore), "files")
-    found = stored(with_hash(unused_imports(symbols(files))), "findings")
-    rewrites = stored(fixes.rewritten(files, found), "rewrites")
+    table = stored(symbols(files), "symbols")
+    found = stored(with_hash(unused_imports(table)), "findings")
+    rewrites = stored(fixes.rewritten(files, found, table), "rewrites")
     lines, count = 0, 0
-    for row in rewrites.toLocalIterator():
+    # Texts come to the driver only where it writes them, one file at a time.
+    wanted = rewrites.drop("text") if args.dry_run else rewrites
+    for row in wanted.toLocalIterator():
         lines, count = lines + row["removed"], count + 1
         print(f"  {row['file']}: {row['removed']} line(s)")
         if not args.dry_run:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    comma_count, first_is_upper, indent, last_part, nested_comma_count, strip,
+    comma_count, first_is_upper, indent, last_part, let, nested_comma_count, strip,
 )
 from . import lex
 from .events import (
@@ -157,16 +157,17 @@ def rust(x: Line) -> list[Column]:
 JAVA_IMPORT = r"^\s*import\s+(static\s+)?([\w.*]+)\s*;"
 JAVA_METHOD = (
     r"^\s*(?:(?:public|private|protected|static|final|abstract|native|synchronized|strictfp|default|"
-    r"transient|volatile)\s+)*(?:<[^>]+>\s+)?(?:[\w\[\]<>,\s?]+)\s+(\w+)\s*\(([^)]*)\)"
+    r"transient|volatile)\s+){0,40}(?:<[^>]+>\s+)?(?:[\w\[\]<>,\s?]+)\s+(\w+)\s*\(([^)]*)\)"
     r"\s*(?:throws\s+[\w,\s]+)?\s*[{;]")
 JAVA_CTOR = (r"^\s*(?:(?:public|private|protected)\s+)?([A-Z]\w*)\s*\(([^)]*)\)\s*"
              r"(?:throws\s+[\w,\s]+)?\s*\{")
 JAVA_NOT_METHODS = ["if", "for", "while", "switch", "catch", "return", "new", "class"]
-JAVA_CLASS = (r"^\s*(?:(?:public|private|protected|static|final|abstract|strictfp)\s+)*"
+JAVA_CLASS = (r"^\s*(?:(?:public|private|protected|static|final|abstract|strictfp)\s+){0,40}"
               r"(?:class|interface|enum|record|@interface)\s+(\w+)")
 JAVA_FIELD = (r"^\s*(?:(?:public|private|protected|static|final|transient|volatile)\s+)+"
               r"(?:[\w\[\]<>,\s?]+)\s+(\w+)\s*[;=]")
-JAVA_CALL = r"((?:[\w]+\.)*[\w]+)\s*\("
+# Chains of names are matched possessively and from their first name only: one pass, whatever their length.
+JAVA_CALL = r"(?<!\w)(?<!\w\.)((?:\w++\.)*+\w++)\s*+\("
 JAVA_NEW = r"\bnew\s+([\w.]+)\s*\("
 JAVA_NOT_CALLS = [
     "if", "for", "while", "switch", "catch", "return", "class", "interface", "enum", "record",
@@ -212,8 +213,8 @@ CPP_INCLUDE = r'^\s*#\s*include\s+([<"])([^>"]+)[>"]'
 CPP_USING_NS = r"^\s*using\s+namespace\s+([\w:]+)\s*;"
 CPP_USING = r"^\s*using\s+([\w:]+)\s*;"
 CPP_FUNC = (
-    r"^\s*(?:(?:static|inline|virtual|explicit|constexpr|extern|friend)\s+)*(?:[\w:*&<>,\s]+?)\s+"
-    r"(~?(?:\w+::)*\w+)\s*\(([^)]*)\)(?:\s*(?:const|override|final|noexcept|->[\w\s:&*<>]+))*\s*\{")
+    r"^\s*(?:(?:static|inline|virtual|explicit|constexpr|extern|friend)\s+){0,40}(?:[\w:*&<>,\s]+?)\s+"
+    r"(~?(?:\w++::)*+\w++)\s*\(([^)]*)\)(?:\s*(?:const|override|final|noexcept|->[\w\s:&*<>]+))*\s*\{")
 CPP_NOT_FUNCS = [
     "if", "for", "while", "switch", "catch", "return", "else", "do", "sizeof", "typeof", "alignof",
     "decltype", "static_assert",
@@ -221,13 +222,13 @@ CPP_NOT_FUNCS = [
 CPP_CLASS = (
     r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(?:__\w+\s+)?(\w+)"
     r"(?:\s*(?:final\s*)?(?::\s*(?:public|private|protected)?\s*[\w:<>,\s]+)?)?\s*\{")
-CPP_VAR = (r"^\s*(?:(?:static|extern|const|constexpr|volatile|thread_local|mutable)\s+)*"
+CPP_VAR = (r"^\s*(?:(?:static|extern|const|constexpr|volatile|thread_local|mutable)\s+){0,40}"
            r"(?:[\w:*&<>,\s]+?)\s+(\w+)\s*[;=]")
 CPP_NOT_VARS = [
     "if", "for", "while", "switch", "catch", "return", "else", "do", "class", "struct", "enum",
     "union", "namespace", "template", "typedef", "using", "include", "define", "pragma",
 ]
-CPP_CALL = r"((?:[\w]+(?:::|\.|->))*[\w]+)\s*\("
+CPP_CALL = r"(?<!\w)(?<!\w(?:::|\.|->))((?:\w++(?:::|\.|->))*+\w++)\s*+\("
 CPP_NOT_CALLS = [
     "if", "for", "while", "switch", "catch", "return", "else", "do", "sizeof", "typeof", "alignof",
     "decltype", "static_assert", "class", "struct", "enum", "union", "namespace", "template",
@@ -287,7 +288,7 @@ RUBY_METHOD = r"^\s*def\s+"
 RUBY_CONSTANT = r"^\s*([A-Z][A-Z0-9_]*)\s*="
 RUBY_CLASS_VAR = r"^\s*(@@\w+)\s*="
 RUBY_INSTANCE_VAR = r"^\s*(@\w+)\s*="
-RUBY_CALL = r"([\w.:]+(?:\.\w+)*)\s*[\(]"
+RUBY_CALL = r"(?<![\w.:])([\w.:]++)\s*+\("
 RUBY_NEW = r"(\w[\w:]*)\.(new)\b"
 RUBY_NOT_CALLS = [
     "def", "class", "module", "if", "unless", "while", "until", "for", "case", "when", "begin",
@@ -340,11 +341,11 @@ def ruby(x: Line) -> list[Column]:
 # Fixed values
 PHP_USE = r"use\s+([\w\\]+)(?:\s+as\s+(\w+))?\s*;"
 PHP_REQUIRE = r"""(?:require|require_once|include|include_once)\s*[\(]?\s*['"]([^'"]+)['"]\s*[\)]?\s*;"""
-PHP_FUNC = (r"(?:(?:public|private|protected)\s+)?(?:(?:static|abstract|final)\s+)*"
+PHP_FUNC = (r"(?:(?:public|private|protected)\s+)?(?:(?:static|abstract|final)\s+){0,40}"
             r"function\s+(\w+)\s*\(([^)]*)\)")
 PHP_CLASS = r"(?:(?:abstract|final)\s+)?(?:class|interface|trait|enum)\s+(\w+)"
 PHP_METHOD = r"\bfunction\s+\w+\s*\("
-PHP_PROPERTY = r"(?:(?:public|private|protected)\s+)?(?:(?:static|readonly)\s+)*\$(\w+)\s*[;=]"
+PHP_PROPERTY = r"(?:(?:public|private|protected)\s+)?(?:(?:static|readonly)\s+){0,40}\$(\w+)\s*[;=]"
 PHP_CONST = r"(?:(?:public|private|protected)\s+)?const\s+(\w+)\s*="
 PHP_CALL = r"(\w+)\s*\("
 PHP_METHOD_CALL = r"(?:\$\w+|self|static|parent|\w+)->(\w+)\s*\("
@@ -385,15 +386,15 @@ def php(x: Line) -> list[Column]:
 # Fixed values
 SWIFT_IMPORT = r"(?:@testable\s+)?import\s+(\w[\w.]*)"
 SWIFT_FUNC = (r"(?:(?:public|private|fileprivate|internal|open)\s+)?"
-              r"(?:(?:static|class|override|mutating|final)\s+)*func\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)")
+              r"(?:(?:static|class|override|mutating|final)\s+){0,40}func\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)")
 SWIFT_INIT = (r"(?:(?:public|private|fileprivate|internal|open)\s+)?"
-              r"(?:(?:required|convenience|override)\s+)*(init)\s*(?:\?|!)?\s*\(([^)]*)\)")
+              r"(?:(?:required|convenience|override)\s+){0,40}(init)\s*(?:\?|!)?\s*\(([^)]*)\)")
 SWIFT_DEINIT = r"(?:(?:public|private|fileprivate|internal|open)\s+)?(deinit)\s*\{"
 SWIFT_CLASS = (r"(?:(?:public|private|fileprivate|internal|open)\s+)?(?:(?:final)\s+)?"
                r"(?:class|struct|enum|protocol|actor|extension)\s+(\w+)")
 SWIFT_METHOD = r"\bfunc\s+\w+|(?:required\s+|convenience\s+|override\s+)*init\s*[\((?]"
 SWIFT_PROPERTY = (r"(?:(?:public|private|fileprivate|internal|open)\s+)?"
-                  r"(?:(?:static|class|lazy|weak|unowned)\s+)*(?:var|let)\s+(\w+)")
+                  r"(?:(?:static|class|lazy|weak|unowned)\s+){0,40}(?:var|let)\s+(\w+)")
 SWIFT_PRIVATE = r"(?:^|\s)(?:private|fileprivate)\s"
 SWIFT_NOT_CALLS = [
     "func", "if", "else", "guard", "for", "while", "switch", "case", "return", "throw", "try", "catch",
@@ -441,13 +442,13 @@ def swift(x: Line) -> list[Column]:
 KOTLIN_IMPORT = r"import\s+([\w.]+)(?:\s+as\s+(\w+))?"
 KOTLIN_FUN = (
     r"(?:(?:public|private|protected|internal)\s+)?(?:(?:suspend|inline|infix|operator|tailrec|override|"
-    r"open|abstract|final|external)\s+)*fun\s+(?:<[^>]*>\s+)?(\w+)\s*\(([^)]*)\)")
+    r"open|abstract|final|external)\s+){0,40}fun\s+(?:<[^>]*>\s+)?(\w+)\s*\(([^)]*)\)")
 KOTLIN_CLASS = (
     r"(?:(?:public|private|protected|internal)\s+)?(?:(?:abstract|sealed|open|final|inner|data|value|"
-    r"annotation)\s+)*(?:class|interface|object|enum\s+class)\s+(\w+)")
+    r"annotation)\s+){0,40}(?:class|interface|object|enum\s+class)\s+(\w+)")
 KOTLIN_METHOD = r"\bfun\s+"
 KOTLIN_PROPERTY = (r"(?:(?:public|private|protected|internal)\s+)?"
-                   r"(?:(?:const|lateinit|override|open|abstract)\s+)*(?:val|var)\s+(\w+)")
+                   r"(?:(?:const|lateinit|override|open|abstract)\s+){0,40}(?:val|var)\s+(\w+)")
 KOTLIN_PRIVATE = r"(?:^|\s)(?:private|internal)\s"
 KOTLIN_NOT_CALLS = [
     "fun", "if", "else", "for", "while", "when", "return", "throw", "try", "catch", "finally", "import",
@@ -483,18 +484,18 @@ def kotlin(x: Line) -> list[Column]:
 # Fixed values
 DART_IMPORT = (r"^(?:import|export|part(?:\s+of)?)\s+'([^']+)'(?:\s+as\s+(\w+))?"
                r"(?:\s+(?:show|hide)\s+([\w,\s]+))?\s*;")
-DART_FUNC = (r"^(?:(?:static|external|abstract|override|async)\s+)*(?:(?:[\w<>,\s\?]+)\s+)?"
+DART_FUNC = (r"^(?:(?:static|external|abstract|override|async)\s+){0,40}(?:(?:[\w<>,\s\?]+)\s+)?"
              r"(?:(?:get|set)\s+)?(\w+)\s*\(([^)]*)\)\s*(?:async\s*)?(?:\{|=>|;)")
-DART_GETTER = (r"^(?:(?:static|external|abstract|override)\s+)*(?:(?:[\w<>,\s\?]+)\s+)?"
+DART_GETTER = (r"^(?:(?:static|external|abstract|override)\s+){0,40}(?:(?:[\w<>,\s\?]+)\s+)?"
                r"get\s+(\w+)\s*(?:=>|\{)")
 DART_NOT_FUNCS = [
     "if", "else", "for", "while", "switch", "catch", "return", "throw", "assert", "await", "yield",
     "import", "export", "class", "enum", "mixin", "extension", "typedef",
 ]
-DART_CLASS = (r"^(?:(?:abstract|sealed|base|final|interface)\s+)*(?:class|mixin|enum|extension)\s+(\w+)")
-DART_VAR = (r"^(?:(?:static|late|external)\s+)*(?:(?:final|const|var)\s+)(?:(?:[\w<>,\?\s]+)\s+)?"
+DART_CLASS = (r"^(?:(?:abstract|sealed|base|final|interface)\s+){0,40}(?:class|mixin|enum|extension)\s+(\w+)")
+DART_VAR = (r"^(?:(?:static|late|external)\s+){0,40}(?:(?:final|const|var)\s+)(?:(?:[\w<>,\?\s]+)\s+)?"
             r"(\w+)\s*[=;]")
-DART_TYPED_VAR = r"^(?:(?:static|late|external)\s+)*([\w<>,\?]+)\s+(\w+)\s*[=;]"
+DART_TYPED_VAR = r"^(?:(?:static|late|external)\s+){0,40}([\w<>,\?]+)\s+(\w+)\s*[=;]"
 DART_NOT_VARS = [
     "class", "enum", "mixin", "extension", "import", "export", "if", "else", "for", "while", "switch",
     "return", "void", "abstract", "sealed", "base", "final", "interface", "part", "typedef", "throw",
@@ -891,12 +892,12 @@ def nim(x: Line) -> list[Column]:
 # Fixed values
 SCALA_IMPORT = r"^import\s+([\w.]+)\.(\{[^}]+\}|_|\w+)"
 SCALA_RENAME = r"^(\w+)\s*=>\s*(\w+)"
-SCALA_DEF = (r"^(?:(?:private|protected|override|final|abstract|implicit|inline)\s+)*"
+SCALA_DEF = (r"^(?:(?:private|protected|override|final|abstract|implicit|inline)\s+){0,40}"
              r"def\s+(\w+)\s*(?:\[.*?\])?\s*(?:\((.*?)\))?")
-SCALA_CLASS = (r"^(?:(?:private|protected|sealed|abstract|final|implicit|lazy|case)\s+)*"
+SCALA_CLASS = (r"^(?:(?:private|protected|sealed|abstract|final|implicit|lazy|case)\s+){0,40}"
                r"(class|object|trait|enum)\s+(\w+)")
-SCALA_METHOD = (r"^\s+(?:(?:private|protected|override|final|abstract|implicit|inline)\s+)*def\s+\w+")
-SCALA_VAR = r"^(?:(?:private|protected|override|final|implicit|lazy)\s+)*(val|var)\s+(\w+)"
+SCALA_METHOD = (r"^\s+(?:(?:private|protected|override|final|abstract|implicit|inline)\s+){0,40}def\s+\w+")
+SCALA_VAR = r"^(?:(?:private|protected|override|final|implicit|lazy)\s+){0,40}(val|var)\s+(\w+)"
 SCALA_CALL = r"(?:new\s+)?([\w.]+)\s*\("
 SCALA_INFIX = r"\w+\s+(::|\+:|\+\+|::\:)\s+\w+"
 SCALA_NOT_CALLS = [
@@ -944,15 +945,12 @@ def scala(x: Line) -> list[Column]:
 OBJC_ANGLE = r"^#(?:import|include)\s+<([^>]+)>"
 OBJC_QUOTE = r'^#(?:import|include)\s+"([^"]+)"'
 OBJC_AT = r"^@import\s+([\w.]+)\s*;"
-OBJC_METHOD = r"^[+-]\s*\([^)]*\)\s*(\w[\w:]*(?:\s*\([^)]*\)\s*\w+\s*\w*[\w:]*)*)"
+OBJC_METHOD = r"^[+-]\s*\([^)]*\)\s*(\w[\w:]*+(?:\s*+\([^)]*+\)\s*+\w++\s*+\w*+[\w:]*+)*+)"
 OBJC_AFTER_RETURN = r"^[+-]\s*\([^)]*\)\s*(.*)"
 OBJC_C_FUNC = (
     r"^(?:(?:static|inline|extern|void|int|float|double|char|long|short|unsigned|signed|NSInteger|"
-    r"NSUInteger|CGFloat|BOOL|id|instancetype|NSString|NSArray|NSDictionary|__attribute__\([^)]*\))\s+)*"
-    r"(?:\w+\s*\*?\s+)*(\w+)\s*\(([^)]*)\)\s*\{")
-# the same shape without nested repetition, for lines long enough to exhaust the matcher's stack
-OBJC_C_FUNC_LONG = r"^(?:\w[\w\s*]*\s\*?\s*)?(\w+)\s*\(([^)]*)\)\s*\{"
-OBJC_LONG_LINE = 4000
+    r"NSUInteger|CGFloat|BOOL|id|instancetype|NSString|NSArray|NSDictionary|__attribute__\([^)]*+\))\s++(?=\w))*+"
+    r"(?:\w++(?:\s*+\*\s++|\s++)(?=\w))*+(\w++)\s*+\(([^)]*+)\)\s*+\{")
 OBJC_NOT_FUNCS = ["if", "for", "while", "switch", "return", "sizeof"]
 OBJC_INTERFACE = r"^@(?:interface|implementation)\s+(\w+)\s*(?:\((\w*)\))?"
 OBJC_PROTOCOL = r"^@protocol\s+(\w+)"
@@ -979,11 +977,8 @@ def objc(x: Line) -> list[Column]:
         .when(i == 0, w).otherwise(F.lit("")))), "")
     colons = F.length(selector) - F.length(F.replace(selector, F.lit(":"), F.lit("")))
     is_method = has(x.s, OBJC_METHOD)
-    long = F.length(x.s) > OBJC_LONG_LINE
-    by_length = lambda use: F.when(long, use(x.s, OBJC_C_FUNC_LONG)).otherwise(use(x.s, OBJC_C_FUNC))
-    c_name = by_length(grab)
-    c_params = by_length(lambda text, pattern: grab(text, pattern, 2))
-    is_c = F.contains(x.s, F.lit("(")) & F.contains(x.s, F.lit("{")) & by_length(has)
+    c_name, c_params = grab(x.s, OBJC_C_FUNC), grab(x.s, OBJC_C_FUNC, 2)
+    is_c = F.contains(x.s, F.lit("(")) & F.contains(x.s, F.lit("{")) & has(x.s, OBJC_C_FUNC)
     c_count = F.when(strip(c_params) == "void", 0).otherwise(comma_count(c_params))
     is_interface = has(x.s, OBJC_INTERFACE)
     category = grab(x.s, OBJC_INTERFACE, 2)
@@ -1076,12 +1071,12 @@ SOL_CONTRACT = r"^(?:abstract\s+)?(?:contract|interface|library)\s+(\w+)"
 SOL_FUNCTION = r"^(\s*)function\s+(\w+)\s*\(([^)]*)\)"
 SOL_SPECIAL = r"^\s*(constructor|fallback|receive)\s*\(([^)]*)\)"
 SOL_VAR = (r"^\s+(?:mapping\s*\([^)]*\)|[a-zA-Z_]\w*(?:\[\])*)\s+"
-           r"(?:(?:public|private|internal|constant|immutable|override)\s+)*(\w+)\s*[;=]")
+           r"(?:(?:public|private|internal|constant|immutable|override)\s+){0,40}(\w+)\s*[;=]")
 SOL_NOT_VARS = [
     "returns", "return", "public", "private", "internal", "external", "view", "pure", "payable",
     "override", "virtual", "memory", "storage", "calldata", "true", "false",
 ]
-SOL_CALL = r"(?:emit\s+)?(\b[a-zA-Z_]\w*(?:\.\w+)*)\s*\("
+SOL_CALL = r"(?:emit\s+)?(\b[a-zA-Z_]\w*+(?:\.\w++)*+)\s*+\("
 SOL_NOT_CALLS = [
     "if", "for", "while", "require", "assert", "revert", "function", "contract", "interface", "library",
     "mapping", "returns", "return", "new", "delete", "type", "catch", "try",
@@ -1135,17 +1130,17 @@ JS_BOUND = (rf"^(?:export\s+)?(?:const|let|var)\s+({JS_NAME})\s*(?::[^=]*(?:=>[^
 JS_ARROW = r"=>"
 JS_CLASS = rf"^(?:export\s+(?:default\s+)?)?class\s+({JS_NAME})"
 JS_VARIABLE = rf"^(?:export\s+)?(?:const|let|var)\s+({JS_NAME}|\{{[^}}]*\}}|\[[^\]]*\])"
-JS_METHOD = (rf"^(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?\s*"
+JS_METHOD = (rf"^(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+){{0,40}}\*?\s*"
              rf"(#?{JS_NAME})\s*(?:<[^(]*>)?\s*\(")
-JS_METHOD_HEAD = (rf"^(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?\s*"
+JS_METHOD_HEAD = (rf"^(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+){{0,40}}\*?\s*"
                   rf"#?{JS_NAME}\s*(?:<[^(]*>)?\s*(?::[^{{]*)?\{{")
-JS_PARAMS = r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)"
+JS_PARAMS = r"\(([^()]*+(?:\([^()]*+\)[^()]*+)*+)\)"
 JS_IMPORT = r"""^import\s+(?:type\s+)?([^"']*?)\s*\bfrom\s*["']([^"']*)["']"""
 JS_IMPORT_BARE = r"""^import\s*["']([^"']*)["']"""
 JS_REQUIRE = rf"""^(?:const|let|var)\s+({JS_NAME}|\{{[^}}]*\}})\s*=\s*require\s*\(\s*["']([^"']*)["']"""
-JS_CALL = rf"(?<![\w$.#])((?:{JS_NAME})(?:(?:\?\.|\.)#?[\w$]+)*)\s*(?:<[\w\s,.\[\]|]*>)?\("
-JS_CHAINED_CALL = r"(?:(?<=[)\]\"])\s*|^\s*)(?:\?\.|\.)([\w$]+(?:\.[\w$]+)*)\s*\("
-JS_NEW = rf"\bnew\s+({JS_NAME}(?:\.[\w$]+)*)\s*(?:<[^()]*>)?\("
+JS_CALL = rf"(?<![\w$.#])((?:{JS_NAME}+)(?:(?:\?\.|\.)#?[\w$]++)*+)\s*+(?:<[\w\s,.\[\]|]*+>)?+\("
+JS_CHAINED_CALL = r"(?:(?<=[)\]\"])\s*|^\s*)(?:\?\.|\.)([\w$]++(?:\.[\w$]++)*+)\s*+\("
+JS_NEW = rf"\bnew\s+({JS_NAME}+(?:\.[\w$]++)*+)\s*+(?:<[^()]*>)?\("
 JS_NOT_CALLS = [
     "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "async", "super",
     "import", "constructor", "with", "void", "delete", "throw", "yield", "in", "of", "do", "else", "case", "new",
@@ -1195,11 +1190,12 @@ def javascript(x: Line) -> list[Column]:
                     lambda p: F.regexp_extract(strip(p), r"^(?!default\b)([\w$]+)", 1)), lambda p: p != "")
     kind = F.when(has(s, r"^export\s+default\b"), "default")
     default_name = F.regexp_extract(s, rf"^export\s+default\s+({JS_NAME})\s*;?\s*$", 1)
-    is_new = grab_all(x.t, JS_NEW)
+    # what every call of a line is compared with, once for the line
+    own = F.struct(F.array_distinct(grab_all(x.t, JS_NEW)).alias("made"), not_method_call.alias("method"), fn.alias("fn"))
 
-    def callable_(c):
-        return (~c.isin(*JS_NOT_CALLS) & (c != not_method_call) & (c != fn)
-                & ~F.array_contains(is_new, c) & ~c.rlike(r"^super$"))
+    def called(k):
+        return calls(grab_all(x.t, JS_CALL), lambda c: (
+            ~c.isin(*JS_NOT_CALLS) & (c != k["method"]) & (c != k["fn"]) & ~F.array_contains(k["made"], c)), spelled)
 
     def spelled(c):
         return F.regexp_replace(F.replace(c, F.lit("?."), F.lit(".")), r"^(this|super)\.", "")
@@ -1228,7 +1224,7 @@ def javascript(x: Line) -> list[Column]:
              F.array(ev("export", default_name, "default", own="top"))),
         ),
         hit(s.rlike(r"^\)"), ev("stop", pos=AT_LINE)),
-        calls(grab_all(x.t, JS_CALL), callable_, spelled),
+        let(own, called),
         calls(grab_all(x.t, JS_CHAINED_CALL)),
         brackets(flat),
     ]

@@ -58,9 +58,7 @@ WITH lines AS (
 )""" % _DOC_LINES
 ORACLE["duplicate_bodies"] = _BODIES + " SELECT doc_id, copies FROM sized WHERE copies >= 3"
 ORACLE["duplicate_others"] = _BODIES + """
-SELECT a.doc_id, string_agg(CAST(b.doc_id AS VARCHAR), '|' ORDER BY b.doc_id) AS others
-FROM sized a JOIN sized b ON a.body = b.body AND a.doc_id <> b.doc_id
-WHERE a.copies >= 3 GROUP BY a.doc_id"""
+SELECT doc_id, copies, min(doc_id) OVER (PARTITION BY body) AS first_doc FROM sized WHERE copies >= 3"""
 
 _SECRET_RULES = [
     ("private_key", r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)"),
@@ -76,7 +74,7 @@ _SECRET_RULES = [
 
 def _secrets(table: str, key: str, text: str) -> str:
     parts = " UNION ALL ".join(
-        "SELECT k, line, '{c}' AS category, regexp_extract(l, '{p}', 1) AS secret, l FROM lines "
+        "SELECT k, line, '{c}' AS category, unnest(regexp_extract_all(l, '{p}', 1)) AS secret, l FROM lines "
         "WHERE regexp_matches(l, '{p}')".format(c=c, p=p.replace("'", "''")) for c, p in _SECRET_RULES)
     return f"""WITH lines AS (
   SELECT {key} AS k, unnest(string_split({text}, chr(10))) AS l,
@@ -84,17 +82,19 @@ def _secrets(table: str, key: str, text: str) -> str:
   FROM {table}) , found AS ({parts})"""
 
 
+# two keys of one kind and a password on one line, made from the whole row
+_KEY_LINE = ("({0} || chr(10) || 'token = \"' || md5({0}) || '\"; token: \"' || md5(md5({0})) || '\" PASSWORD=\"pw' || length({0}) || '!secret\"')")
 ORACLE["secret_documents"] = _secrets("documents", "doc_id", "text") + \
     " SELECT k AS doc_id, line, category, secret FROM found"
-ORACLE["secret_pages"] = _secrets("pages", "page_id", "html") + \
+ORACLE["secret_pages"] = _secrets("pages", "page_id", _KEY_LINE.format("html")) + \
     " SELECT k AS page_id, line, category, secret FROM found"
-ORACLE["secret_conversations"] = _secrets("conversations", "conv_id || '/' || turn", "text") + \
+ORACLE["secret_conversations"] = _secrets("conversations", "conv_id || '/' || turn", _KEY_LINE.format("text")) + \
     " SELECT k AS file, line, category, secret FROM found"
 ORACLE["secret_findings"] = _secrets("documents", _DOC_PATH, "text") + f"""
 SELECT file, line, category, message, {_HASH} AS hash FROM (
   SELECT k AS file, line, category, 'secrets' AS detector,
-         'Possible ' || replace(category, '_', ' ') || ' in source: ' || substr(secret, 1, 4)
-         || repeat('*', length(secret) - 4) AS message FROM found)"""
+         'Possible ' || replace(category, '_', ' ') || ' in source: ' || substr(secret, 1, least(4, length(secret) // 4))
+         || repeat('*', length(secret) - least(4, length(secret) // 4)) AS message FROM found)"""
 
 
 # ----------------------------------------------------------------------------- paths
@@ -194,7 +194,7 @@ ORACLE["large_function"] = f"{_BASE} {_rows(_PY, *_PY_LONG)}"
 ORACLE["god_class"] = f"{_BASE} {_rows(_PY, *_PY_GOD)}"
 ORACLE["decorated_exempt"] = f"{_BASE} SELECT {_PY} AS file, '_deco' || i || 'x' AS name, CAST(k + 10 AS INTEGER) AS line FROM base"
 ORACLE["duplicated_function"] = f"""{_BASE}
-SELECT {_PY} AS file, CAST(k + 20 AS INTEGER) AS line, count(*) OVER () AS copies FROM base WHERE i % 11 = 0"""
+SELECT {_PY} AS file, 'dup' AS name, CAST(k + 20 AS INTEGER) AS line, count(*) OVER () AS copies FROM base WHERE i % 11 = 0"""
 _TS_IMPORTS = [
     ("unused_import", _unused("'a' || i || 'x'"), "1", "i % 3 <> 0"),
     ("unused_import", _unused("'c' || i || 'x'"), "1", "i % 3 = 0"),

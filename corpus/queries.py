@@ -12,9 +12,9 @@ from codevitals.findings import (
 )
 from codevitals.functions import names
 from codevitals.functions.text import raw_lines, split_lines
-from codevitals.operators.cycles import cycles, large_cycles
+from codevitals.operators.cycles import cycles, import_cycles
 from codevitals.operators.dead_code import candidates, dead_code
-from codevitals.operators.duplication import duplicate_members, with_others
+from codevitals.operators.duplication import duplicate_members
 from codevitals.operators.import_graph import import_edges
 from codevitals.operators.secrets import secret_lines, secrets
 from codevitals.operators.size import god_classes, large_files, large_functions
@@ -107,9 +107,10 @@ def duplicate_bodies(spark, sf_dir):
 
 @query
 def duplicate_others(spark, sf_dir):
-    others = with_others(_document_bodies(spark, sf_dir))
-    ids = F.transform("others", lambda o: F.regexp_extract(o["file"], r"(\d+)\.txt$", 1).cast("bigint"))
-    return others.select(_doc_id(), F.array_join(F.array_sort(ids), "|").alias("others"))
+    """Each member's group, by its first member: what a reader looks the others up with."""
+    members = _document_bodies(spark, sf_dir).withColumn("doc_id", _doc_id())
+    first = members.groupBy("group_id").agg(F.min("doc_id").alias("first_doc"))
+    return members.join(first, "group_id").select("doc_id", "copies", "first_doc")
 
 
 @query
@@ -122,10 +123,17 @@ def secret_findings(spark, sf_dir):
     return with_hash(secrets(text_files(spark, sf_dir))).select("file", "line", "category", "message", "hash")
 
 
+def _with_keys(text):
+    """A text and a line with two keys and a password made from all of it."""
+    key = F.md5(text)
+    return F.concat(F.col(text), F.lit("\ntoken = \""), key, F.lit("\"; token: \""), F.md5(key),
+                    F.lit("\" PASSWORD=\"pw"), F.length(text).cast("string"), F.lit("!secret\""))
+
+
 @query
 def secret_pages(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
-    files = from_documents(pages, F.concat(F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))
+    files = from_documents(pages, F.concat(F.col("page_id").cast("string"), F.lit(".html")), _with_keys("html"))
     return secret_lines(files).select(
         F.regexp_extract("file", r"^(\d+)", 1).cast("bigint").alias("page_id"), "line", "category", "secret")
 
@@ -134,7 +142,7 @@ def secret_pages(spark, sf_dir):
 def secret_conversations(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
     path = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return secret_lines(from_documents(turns, path, F.col("text"))).select("file", "line", "category", "secret")
+    return secret_lines(from_documents(turns, path, _with_keys("text"))).select("file", "line", "category", "secret")
 
 
 # ----------------------------------------------------------------------------- paths
@@ -300,8 +308,7 @@ def god_class(spark, sf_dir):
 def duplicated_function(spark, sf_dir):
     files = stored(_python(spark, sf_dir), "files")
     table = stored(symbols(files, ["python"], ["function"]), "symbols")
-    members = duplicate_members(files, table, 3).filter("name = 'dup'")
-    return members.select("file", "line", "copies")
+    return duplicate_members(files, table, 3).select("file", "name", "line", "copies")
 
 
 def _edges(spark, sf_dir):
@@ -321,8 +328,10 @@ def import_cycle(spark, sf_dir):
 
 @query
 def import_cycle_components(spark, sf_dir):
-    """The route for repositories too large for one task."""
-    return large_cycles(_edges(spark, sf_dir)).select(F.array_join("cycle", " -> ").alias("cycle"))
+    """Cycles as the findings report them."""
+    found = import_cycles(_edges(spark, sf_dir))
+    cycle = F.concat(F.array("file"), F.col("related"))
+    return found.select(F.array_join(cycle, " -> ").alias("cycle"))
 
 
 # ----------------------------------------------------------- whole scans and commands
@@ -446,15 +455,15 @@ def incremental_stale(spark, sf_dir):
 
 @query
 def fix_preview(spark, sf_dir):
-    found = with_hash(unused_imports(symbols(_typescript(spark, sf_dir), ["javascript"])))
-    return fix.fixable(found).select("file", "line", "several")
+    table = stored(symbols(_typescript(spark, sf_dir), ["javascript"]), "symbols")
+    return fix.fixable(with_hash(unused_imports(table)), table).select("file", "line", "several")
 
 
 @query
 def fix_rewrite(spark, sf_dir):
     files = stored(_python(spark, sf_dir), "files")
-    found = with_hash(unused_imports(symbols(files, ["python"])))
-    out = fix.rewritten(files, found)
+    table = stored(symbols(files, ["python"]), "symbols")
+    out = fix.rewritten(files, with_hash(unused_imports(table)), table)
     return out.select("file", F.col("removed").cast("int").alias("removed"),
                       raw_lines(F.col("text")).alias("lines"))
 

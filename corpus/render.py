@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codevitals.schema import LANGUAGE_SUFFIXES
-from codevitals.session import spread
 
 from .templates import COMMENT, TEMPLATES
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; a table of few row groups is spread over the cores."""
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    """The documents, dealt out by doc_id: a small table has fewer row groups than there are cores."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").repartition("doc_id")
 
 
 def prose(text: Column, prefix: str) -> Column:

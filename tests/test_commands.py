@@ -89,8 +89,8 @@ def test_store(spark, make_files, tmp_path):
 def test_fix(spark, make_files):
     text = "import re\nfrom a import b\nfrom a import c, d\nimport { e }\nx = 1\n"
     files = make_files({"a.py": text.replace("import { e }\n", ""), "k.c": "#include <q.h>\n"})
-    found = stored(with_hash(unused_imports(symbols(files, ["python", "cpp"]))), "found")
-    out = fix.rewritten(files, found).collect()
+    table = stored(symbols(files, ["python", "cpp"]), "symbols")
+    out = fix.rewritten(files, with_hash(unused_imports(table)), table).collect()
     assert [(r.file, r.text, r.removed) for r in out] == [("a.py", "from a import c, d\nx = 1\n", 2)]
     lines = {"import os": False, "import os, sys": True, "from a import b as c": False, "from a import b, c": True,
              "from a import b # x, y": False, "import { a, b } from 'x'": True, "import { a } from 'x'": False,
@@ -99,6 +99,22 @@ def test_fix(spark, make_files):
     assert [r[0] for r in df.select(fix.names_several(F.col("t"))).collect()] == list(lines.values())
 
 
+def test_fix_keeps_lines_that_hold_more(make_files):
+    """Groups of names, code after a semicolon, and statements that go on in the next line."""
+    texts = {
+        "g.rs": "use a::{bee, cee};\nuse d::eee;\nfn main() {\n  cee();\n}\n", "s.py": "import zed; setup()\nimport gone\n",
+        "o.py": "from x import (\n    why,\n)\nimport gone\n", "m.js": "import {\n  aaa\n} from 'x';\nimport gone from 'y';\n",
+        "r.js": "const { one, two } = require('x');\nimport gone from 'y';\ntwo();\n", "e.ex": "alias A.{Bee, Cee}\nalias D.Eee\nCee.run()\n"}
+    files = make_files(texts)
+    table = stored(symbols(files), "symbols")
+    out = {r.file: r.text for r in fix.rewritten(files, with_hash(unused_imports(table)), table).collect()}
+    for name in texts:
+        kept = out.get(name, texts[name])
+        first = texts[name].split("\n")[0]
+        assert kept.startswith(first), (name, kept)
+    assert "gone" not in out["s.py"] and "gone" not in out["o.py"] and "setup()" in out["s.py"]
+
+
 def test_changed_paths(tmp_path):
     def git(*args):
         subprocess.run(["git", "-c", "user.email=a@b", "-c", "user.name=n", *args], cwd=tmp_path, check=True,

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from codevitals.parsing.pyast import file_symbols
+from codevitals.parsing.pyast import file_symbols, parse_errors
 from codevitals.parsing.symbols import symbols
 from codevitals.schema import LANGUAGE_SUFFIXES
 from corpus.templates import TEMPLATES
@@ -101,8 +101,11 @@ def test_javascript_calls_and_classes(parsed):
     assert ("A", 1, 7, 1) in short(only(rows, "class"), "name", "line", "end_line", "n")
 
 
-def test_python_syntax_error_gives_no_rows():
-    assert file_symbols("def f(:\n") == []
+def test_python_syntax_errors_are_reported(make_files):
+    assert [r["kind"] for r in file_symbols("def f(:\n")] == ["parse_error"]
+    files = make_files({"bad.py": "x = 1\ndef f(:\n", "good.py": "x = 1\n", "bad.go": "func {"})
+    assert symbols(files, ["python"]).filter("file = 'bad.py'").count() == 0
+    assert [(r.file, r.error, r.line) for r in parse_errors(files).collect()] == [("bad.py", "SyntaxError", 2)]
 
 
 def test_invalid_utf8_has_no_text_search(spark):
@@ -123,3 +126,23 @@ def test_crlf_and_exotic_line_breaks(spark, make_files):
         plain = text.replace("\r\n", "\n").replace("\r", "\n")
         assert row.l == plain.splitlines()
         assert row.n == plain.count("\n") + (1 if plain and not plain.endswith("\n") else 0)
+
+
+LONG_CALLS = {"A.java": "class A {\n void f() {\n  %s();\n }\n}\n", "a.cpp": "void f() {\n  %s();\n}\n", "a.js": "function f() {\n  %s();\n}\n",
+              "a.sol": "contract A {\n function f() public {\n  %s();\n }\n}\n", "a.rb": "def f\n  %s()\nend\n"}
+
+
+def test_long_chains(make_files):
+    """Ten thousand names in a call."""
+    chain = ".".join(f"n{i}" for i in range(10_000))
+    files = make_files({name: text % chain for name, text in LONG_CALLS.items()})
+    names = {r.file: r.name for r in symbols(files, kinds=["call"]).filter("length(name) > 1000").collect()}
+    assert set(names) == set(LONG_CALLS) and set(names.values()) == {chain}
+
+
+def test_objc_functions_of_any_length(make_files):
+    head = "static __attribute__(always_inline) int run(int a) {"
+    files = make_files({"short.m": head + " }\n", "long.m": head + " " + "a = 1; " * 15_000 + "}\n"})
+    rows = symbols(files, ["objc"], ["function", "export"]).collect()
+    assert sorted((r.file, r.kind, r.name) for r in rows) == [
+        ("long.m", "export", "run"), ("long.m", "function", "run"), ("short.m", "export", "run"), ("short.m", "function", "run")]
