@@ -61,7 +61,7 @@ _word_marks = re.compile(rf"( ?[{_LETTER}]+)([!-&(-/:-@\[-`{{-~]*)").fullmatch
 _line_feed = re.compile(rf"\n[^{_WIDE}]").match
 # Characters on which libraries differ whether they are white space: such texts are encoded in one piece.
 _odd = re.compile("[\x1c-\x1f\u180e\u200b\u2060\ufeff]").search
-_CACHE_ENTRIES, _CACHE_CHARS = 300_000, 40
+_CACHE_ENTRIES, _CACHE_CHARS = 150_000, 40
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 

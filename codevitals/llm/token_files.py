@@ -144,34 +144,46 @@ def unpack_segment(code: Code, blob: bytes) -> tuple[list[int | None], np.ndarra
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (16-bit little-endian while the vocabulary allows, with the end id)."""
+    """doc_id, ids (16-bit little-endian, with the end id), counts.
+
+    After a task's documents comes one row that holds ``counts`` alone: how often each id of the vocabulary occurs among them.
+    """
+    from tokenizers import Tokenizer
+
+    size = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+    if size > 1 << 16:
+        raise ValueError("vocabularies over 65,536 ids aren't supported")
+    names = ["doc_id", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, "H")
+        enc, total = encoder(path, "H"), np.zeros(size, dtype="<i8")
         end = end_id.to_bytes(2, "little")
         for batch in batches:
             out = [enc.encode(text or "") + end for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    from tokenizers import Tokenizer
+            for begin in range(0, len(out), 200):
+                total += np.bincount(np.frombuffer(b"".join(out[begin: begin + 200]), dtype="<u2"), minlength=size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()])], names)
 
-    if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) > 1 << 16:
-        raise ValueError("vocabularies over 65,536 ids aren't supported")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def count_ids(encoded: DataFrame) -> DataFrame:
     """id, n: how often each id occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, dtype=np.int64)
+        total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for part in np.array_split(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2"), 8):
-                total += np.bincount(part, minlength=1 << 16)
+            for x in batch.column(0):
+                total = total + np.frombuffer(x.as_buffer(), dtype="<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.where(F.col("counts").isNotNull()).select("counts")
+    return counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2) -> None:
@@ -203,9 +215,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             yield flush()
 
     schema = pa.schema([("seg", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
-    ranged = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
+    ranged = encoded.where(F.col("ids").isNotNull()).select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
     segments = ranged.mapInArrow(run, "seg int, start long, n_ids long, data binary")
-    segments.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{folder}/segments")
+    segments.select(F.spark_partition_id().alias("part"), "*").write.option("compression", "none").parquet(f"{folder}/segments")
 
 
 def read_token_files(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
