@@ -232,7 +232,10 @@ _PY_COPIES = ("(SELECT 'duplication' AS detector, {p} AS file FROM base WHERE i
               "AND (SELECT count(*) FROM base WHERE i % 11 = 0) >= 3)").format(p=_PY)
 _ALL_FILES = f"(SELECT detector, file FROM found UNION ALL SELECT * FROM {_PY_COPIES})"
 ORACLE["scan_by_detector"] = f"{_PY_ALL} SELECT detector, count(*) AS findings FROM {_ALL_FILES} GROUP BY detector"
-ORACLE["union_findings"] = f"{_PY_ALL} SELECT detector, category, file, line, {_HASH} AS hash FROM found"
+ORACLE["union_findings"] = f"""{_PY_ALL} SELECT detector, category, file, line, {_HASH} AS hash FROM (
+  SELECT detector, category, file, line FROM found
+  UNION ALL SELECT 'duplication', 'duplicated_function', {_PY}, CAST(k + 20 AS INTEGER) FROM base
+  WHERE i % 11 = 0 AND (SELECT count(*) FROM base WHERE i % 11 = 0) >= 3)"""
 ORACLE["allowlist"] = f"""{_PY_ALL} SELECT detector, count(*) AS findings FROM {_ALL_FILES}
 WHERE NOT (detector = 'dead_code' AND file LIKE 'src/m1/%')
   AND NOT (detector = 'size' AND (file LIKE 'src/m2/%' OR file LIKE '%/f7.py')) GROUP BY detector"""

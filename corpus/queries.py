@@ -349,7 +349,7 @@ def scan_by_detector(spark, sf_dir):
 
 @query
 def union_findings(spark, sf_dir):
-    return _scan(spark, sf_dir).filter("detector <> 'duplication'").select(
+    return _scan(spark, sf_dir).select(
         "detector", "category", "file", "line", "hash")
 
 
