@@ -34,7 +34,7 @@ def refresh(files: DataFrame, cached_files: DataFrame, cached_symbols: DataFrame
     """
     listing = files.select(*KEY, "mtime")
     same = hits(listing, cached_files)
-    changed = files.join(misses(listing, cached_files), [*KEY, "mtime"], "left_semi")
+    changed = misses(files, cached_files)
     langs = present_languages(changed) if langs is None else langs
     kept = cached_symbols.join(same.select(*KEY), KEY, "left_semi")
     return listing, kept.unionByName(symbols(changed, langs)) if langs else kept

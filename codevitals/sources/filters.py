@@ -22,7 +22,10 @@ def supported(path: Column) -> Column:
 
 
 def skipped_ending(path: Column) -> Column:
-    return path.rlike(r"(\.d\.ts|\.d\.tsx|\.min\.js|\.min\.css)$")
+    found = F.lit(False)
+    for ending in SKIPPED_ENDINGS:
+        found = found | F.endswith(path, F.lit(ending))
+    return found
 
 
 def path_prefixes(path: Column) -> Column:

@@ -33,6 +33,12 @@ def merge_batch(store: str, langs: list[str] | None = None,
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         files = latest(batch)
+        if batch_id:
+            # a version that comes late doesn't replace a newer one
+            known = spark.read.schema(files.schema).parquet(f"{store}/files/{batch_id - 1}")
+            newer = known.select("repo_id", "file", F.col("mtime").alias("stored")).join(
+                files.select("repo_id", "file", "mtime"), ["repo_id", "file"]).filter("stored > mtime")
+            files = files.join(newer.select("repo_id", "file"), ["repo_id", "file"], "left_anti")
         fresh = symbols(files, langs)
         keys = files.select("repo_id", "file")
         merged = {}

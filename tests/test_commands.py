@@ -145,4 +145,7 @@ def test_stream(spark, make_files, tmp_path):
     query()
     make_files({"a.py": "import z\n"}).withColumn("mtime", F.lit(1.0)).write.mode("append").parquet(inbox)
     query()
-    assert seen == {0: {("a.py", "x"), ("b.py", "y")}, 1: {("a.py", "z"), ("b.py", "y")}}
+    make_files({"a.py": "import late\n"}).withColumn("mtime", F.lit(0.5)).write.mode("append").parquet(inbox)
+    query()
+    newest = {("a.py", "z"), ("b.py", "y")}
+    assert seen == {0: {("a.py", "x"), ("b.py", "y")}, 1: newest, 2: newest}
