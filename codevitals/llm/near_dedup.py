@@ -43,10 +43,12 @@ _MULTIPLIER, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF5847
 
 
 def needed(n: int, k: int = K) -> int:
-    """Retained values that a set of ``n`` shares with any set of similarity ``LIMIT``."""
-    if n * 100 <= k * LIMIT:  # both sets are retained whole
-        return max(1, math.ceil(n * LIMIT / 100))
-    return max(SURE, k - math.ceil(n * (100 - LIMIT) / LIMIT))
+    """Retained values that a set of ``n`` shares with any set of similarity ``LIMIT``.
+
+    A union of at most ``k`` values is retained whole; of a larger one, at most ``n * (100 - LIMIT) / LIMIT`` aren't shared.
+    """
+    whole, part = math.ceil(n * LIMIT / 100), k - n * (100 - LIMIT) // LIMIT
+    return max(1, min(whole, part)) if n <= k else max(SURE, part)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -96,9 +98,10 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = (values.join(common, "value").groupBy("doc_id", "n_shingles")
             .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"), F.sum("df").alias("weight")))  # K values at most
-    small = F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * LIMIT / 100))
-    large = F.greatest(F.lit(SURE), K - F.ceil(F.col("n_shingles") * (100 - LIMIT) / LIMIT))
-    need = F.when(F.col("n_shingles") * 100 <= K * LIMIT, small).otherwise(large).cast("int")
+    # needed() as a column
+    whole = F.ceil(F.col("n_shingles") * LIMIT / 100)
+    part = K - F.floor(F.col("n_shingles") * (100 - LIMIT) / LIMIT)
+    need = F.when(F.col("n_shingles") <= K, F.greatest(F.lit(1), F.least(whole, part))).otherwise(F.greatest(F.lit(SURE), part)).cast("int")
     held = held.withColumn("spare", F.size("v") - need).where("spare >= 0")
     rare = held.withColumn("v", F.slice("v", F.lit(1), F.col("spare") + 1))
     return rare.select(F.explode("v.value").alias("value"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "weight")

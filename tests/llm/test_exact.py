@@ -176,6 +176,31 @@ def test_near_dedup_on_large_loose_groups(spark, monkeypatch):
     assert [r.component_id for r in got] == want
 
 
+def test_near_dedup_around_the_sketch_size(spark):
+    """Pairs just above and below the limit for every set size around ``K``: cut at an end, or with other words at both ends."""
+    word = iter(range(10**6))
+    texts = []
+    for n in range(40, 71):
+        for least in range(math.ceil(0.85 * n) - 1, n):
+            t = [f"w{next(word)}" for _ in range(n + 4)]
+            texts += [t, t[: least + 4]]
+        for other in range(1, 8):
+            t = [f"w{next(word)}" for _ in range(n + 4)]
+            front = other // 2
+            texts += [t, [f"w{next(word)}" for _ in range(front)] + t[front: len(t) - other + front]]
+            texts[-1] += [f"w{next(word)}" for _ in range(other - front)]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(near_dedup.groups(docs).collect())
+    sets = [set(s.tolist()) for s in near_dedup.shingle_sets(texts)]
+    want = list(range(len(texts)))
+    for a in range(0, len(texts), 2):  # pairs have no words in common with others
+        near = 100 * len(sets[a] & sets[a + 1]) >= 85 * len(sets[a] | sets[a + 1])
+        want[a + 1] = a if near else a + 1
+    assert [r.n_shingles for r in got] == [len(s) for s in sets]
+    assert [r.component_id for r in got] == want
+
+
 def test_op9(spark, documents):
     keys = sorted(documents)
     sizes, want = brute_near([documents[k].text or "" for k in keys])
