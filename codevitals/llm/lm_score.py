@@ -4,8 +4,8 @@ Words are counted over all training documents (held in a table by 64-bit hash).
 every worker; the counts of all other words are joined, so both scores are exact sums over all tokens. The network knows the ``VOCABULARY`` most frequent
 words; another word costs the network's probability of an unknown word times the word's smoothed share of the unknown words' counts.
 
-The network learns from a fixed share of the training documents, which grows with them: in each round, replicas
-learn from different documents and their weights are averaged.
+The network learns from every training document once. In each round, replicas learn from different documents and their
+weights are averaged; the rounds grow with the logarithm of the documents, the replicas of a round with the rest.
 
 A null text is empty: its end is its only token. A null doc_id is not held out and keeps its row; repeated rows are
 counted and scored each. Other columns are not looked at. An empty table gives no rows.
@@ -29,8 +29,8 @@ from codevitals.session import stored
 
 VOCABULARY = 2046
 HEAD = 200_000
-#: One in so many training documents teaches the network, in ``ROUNDS`` disjoint parts.
-SHARE, ROUNDS = 16, 3
+#: Rounds of a small table; one more each time that the training documents double.
+ROUNDS = 3
 #: Documents that a replica learns from in a round, about.
 REPLICA_DOCS = 1500
 _END_KEY = 0
@@ -111,25 +111,38 @@ def _tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]
     return list(index), code, np.array(lengths, dtype=np.int64)
 
 
-def train(docs: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> recurrent.Weights:
-    """The network, from one in ``SHARE`` of the training documents."""
+def lessons(docs: DataFrame, head: Head, rounds: int) -> DataFrame:
+    """part (the round, from 0), symbols (16 bits each): every training document once."""
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = shared.value
+        for batch in batches:
+            words, code, lengths = _tokens(batch.column(1).to_pylist())
+            symbols = head.symbol[head.find(_keys(words))][code]
+            ends = np.cumsum(lengths)
+            rows = [symbols[end - n: end].tobytes() for n, end in zip(lengths, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["part", "symbols"])
+
+    part = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.length("text")), F.lit(rounds).cast("long"))
+    return docs.where(~held_out(F.col("doc_id"))).select(part.alias("part"), "text").mapInArrow(run, "part long, symbols binary")
+
+
+def train(docs: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> tuple[recurrent.Weights, int]:
+    """The network, and the tokens that it has learned from: those of all training documents."""
     spark = docs.sparkSession
-    weights = recurrent.initial(counts)
-    replicas = max(1, round(n_docs / SHARE / ROUNDS / REPLICA_DOCS))
-    part = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.length("text")), F.lit(SHARE * ROUNDS))
-    train_docs = docs.where(~held_out(F.col("doc_id")))
-    for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((head, weights.pack()))
+    weights, taught = recurrent.initial(counts), 0
+    rounds = ROUNDS + int(np.log2(max(1, n_docs / REPLICA_DOCS)))
+    replicas = max(1, round(n_docs / rounds / REPLICA_DOCS))
+    every = stored(lessons(docs, head, rounds), "lm-lessons")
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast(weights.pack())
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            head, data = shared.value
-            symbols = []
-            for batch in batches:
-                words, code, _ = _tokens(batch.column(0).to_pylist())
-                symbols.append(head.symbol[head.find(_keys(words))][code])
+            symbols = [np.frombuffer(x.as_buffer(), np.int16) for batch in batches for x in batch.column(0)]
             if symbols:
                 stream = np.concatenate(symbols)
-                out = recurrent.train(recurrent.initial(counts).unpack(data), stream)
+                out = recurrent.train(recurrent.initial(counts).unpack(shared.value), stream)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([TaskContext.get().partitionId() % 16]), pa.array([len(stream)]), pa.array([out.pack()])],
                     ["g", "n", "data"])
@@ -140,13 +153,14 @@ def train(docs: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> recur
             return pa.table({"g": rows.column("g")[:1], "n": pa.array([int(n.sum())]), "data": pa.array([mean.astype("<f4").tobytes()])})
 
         schema = "g long, n long, data binary"
-        learned = train_docs.where(part == r).select("text").coalesce(replicas).mapInArrow(learn, schema)
+        learned = every.where(F.col("part") == r).select("symbols").coalesce(replicas).mapInArrow(learn, schema)
         means = learned.groupBy("g").applyInArrow(average, schema).collect()  # 16 rows at most
         if means:
             total = sum(m.n for m in means)
+            taught += total
             mean = sum(m.n / total * np.frombuffer(m.data, "<f4").astype(np.float64) for m in sorted(means))
             weights = weights.unpack(mean.astype("<f4").tobytes())
-    return weights
+    return weights, taught
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -169,7 +183,7 @@ def score(docs: DataFrame) -> DataFrame:
     n_end = int(head.counts[head.keys == _END_KEY].sum())
     n_unknown = n_all - n_end - int(head.vocabulary.sum())
     v_unknown = v_all - min(1, n_end) - len(head.vocabulary)
-    weights = train(docs, head, np.concatenate([[n_end, n_unknown], head.vocabulary]), n_end)
+    weights, _ = train(docs, head, np.concatenate([[n_end, n_unknown], head.vocabulary]), n_end)
     shared = spark.sparkContext.broadcast((head, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ import numpy as np
 HIDDEN = 16
 CLASS = 64
 END, UNKNOWN = 0, 1
-LANES, WINDOW = 32, 16
+#: Documents side by side: more of them where there is much to learn from.
+LEAST_LANES, LANES, WINDOW = 32, 256, 16
 _CHUNK = 60_000  # tokens whose output probabilities are made at a time
 
 
@@ -185,7 +186,7 @@ class Trainer:
 
 def train(weights: Weights, symbols: np.ndarray, least_updates: int = 30) -> Weights:
     """Learn from ``symbols``, documents one after the other each with its end, once or until ``least_updates``."""
-    lanes = max(1, min(LANES, len(symbols) // WINDOW))
+    lanes = max(1, min(LANES, max(LEAST_LANES, len(symbols) // (64 * WINDOW)), len(symbols) // WINDOW))
     steps = len(symbols) // lanes
     y = symbols[: lanes * steps].reshape(lanes, steps).T.astype(np.int64)
     x = np.concatenate([np.full((1, lanes), END), y[:-1]]) if steps else y

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from codevitals.llm import near_dedup, quality, recurrent, secret_scan, vector_links
+from codevitals.llm import lm_score, near_dedup, quality, recurrent, secret_scan, vector_links
 from codevitals.llm.common import Encoder, encoder, table, tokenizer_path
 from codevitals.llm.mixing import quotas, route
 from codevitals.llm.packing import cut
@@ -242,6 +242,17 @@ def test_op6(spark, documents):
     assert sum(s for s, _ in held) > 1.1 * sum(b for _, b in held)
 
 
+def test_network_learns_from_every_training_document(spark, documents):
+    docs = table(spark, SF, "documents")
+    counts = lm_score.count_words(docs).toPandas()
+    head = lm_score.Head(counts["key"].to_numpy(np.int64), counts["c"].to_numpy(np.int64))
+    lengths = [len(WORD.findall(lower(r.text or ""))) + 1 for k, r in documents.items() if zlib.crc32(str(k).encode()) % 10]
+    rows = lm_score.lessons(docs, head, 5).collect()
+    assert sorted(len(r.symbols) // 2 for r in rows) == sorted(lengths) and {r.part for r in rows} == set(range(5))
+    start = np.concatenate([[len(lengths), 1], head.vocabulary])
+    assert lm_score.train(docs, head, start, len(lengths))[1] == sum(lengths)
+
+
 def test_network_is_a_distribution_and_learns():
     rng = np.random.default_rng(1)
     w = recurrent.initial(rng.integers(1, 50, 200).astype(float))
