@@ -87,7 +87,8 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned bytes: 32-bit ("I") or 16-bit ("H").
 
     Merges never cross the boundaries of the tokenizer's pattern, so chunks between such boundaries are encoded once
-    and looked up afterwards.
+    and looked up afterwards. Texts that hold an added token's content (such as ``<|endoftext|>``) are encoded in one
+    piece, as that content is one token wherever it stands.
     """
 
     def __init__(self, path: str, kind: str = "I"):
@@ -96,7 +97,8 @@ class Encoder:
 
         self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.known = _Memo(self._chunk, {})
@@ -114,6 +116,8 @@ class Encoder:
         return array(self.kind, [t.id for t in self.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.has_added(text):
+            return self.whole(text)
         if not _not_plain(text):
             chunks = _plain_chunks(text)
         elif _odd(text):

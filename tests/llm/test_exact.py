@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from codevitals.llm import lm_score, near_dedup, quality, recurrent, secret_scan, vector_links
 from codevitals.llm.common import Encoder, encoder, table, tokenizer_path
@@ -40,6 +41,16 @@ def test_encoder_equals_whole_texts():
             assert enc.encode(text) == enc.whole(text)
 
 
+def test_encoder_equals_the_tokenizers_own_call():
+    fresh, rng = Tokenizer.from_file(tokenizer_path()), random.Random(7)
+    pieces = ["<|endoftext|>", "<|endoftext|", "|>", " ", "\n", "word", " the", "é", "\u3000", "\u200b", "12", "'s", "<", "日"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(2000))]
+    for kind in "IH":
+        enc = Encoder(tokenizer_path(), kind)
+        for text in texts:
+            assert np.frombuffer(enc.encode(text), enc.kind).tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 def test_huffman_round_trip_and_lengths():
     rng = np.random.default_rng(2)
     for n, limit in ((1, 16), (2, 16), (5, 3), (300, 9), (5000, 16)):
