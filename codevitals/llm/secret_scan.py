@@ -1,9 +1,10 @@
 """Secrets in texts: three fixed patterns, and strings that look random to character Markov models.
 
 Two first-order models over the characters of keys are compared by their log-likelihood ratio: one of ordinary text,
-counted over all documents, and one of random strings, counted from the values that the fixed patterns label as
-secrets together with uniform strings over the usual key alphabets. A run of ``MIN_RUN`` or more key characters
-with digits and letters whose mean ratio is above ``MIN_RATIO`` is added as kind ``random``, unless a base span covers part of it.
+counted over all documents outside the fixed patterns' matches, and one of random strings, counted from the values that
+these label as secrets together with uniform strings over the usual key alphabets. A run of ``MIN_RUN`` or more key characters
+whose mean ratio is above ``least_ratio`` of its length is added as kind ``random``, or else those of its parts between
+separators that are, neighbours above ``MIN_RATIO`` taken together. Numbers, and what a base span covers part of, are not added.
 
 A null text is empty and has no spans. Null and repeated doc_ids are scanned like others; other columns are passed on
 by ``redact``. An empty table trains on the uniform strings alone and gives no rows.
@@ -28,6 +29,7 @@ _assign = re.compile(
 _access = re.compile(r"AKIA[A-Z0-9]{16,}")
 _hex = re.compile(r"[0-9a-f]{24,}")
 _run = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+_part = re.compile(r"[A-Za-z0-9+]+")
 _hints = ("passw", "secret", "token", "api")
 
 #: Characters of the models; all others are one class, the last.
@@ -35,6 +37,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _N = len(ALPHABET) + 1
 _CODE = np.full(256, _N - 1, dtype=np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(_N - 1)
+_NEVER = -1000.0
 _KEY_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64])
 
 
@@ -56,15 +59,20 @@ def transitions(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    """Log-likelihood ratios of the transitions, random against ordinary, from all documents."""
+    """Log-likelihood ratios of the transitions, random against ordinary, from all documents.
+
+    The first matrix is of all random strings. Strings of hexadecimal digits are a small part of these, so each case
+    has a matrix of its own, in which other characters count ``_NEVER``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, _N * _N), dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    total[0] += transitions(text)
-                    for start, kind, end in base_spans(text):
+                    spans = base_spans(text)
+                    total[0] += transitions(masked(text, spans, "\n"))
+                    for start, kind, end in spans:
                         value = _assign.match(text, start)[2] if kind == 0 else text[start:end]
                         total[1] += transitions(value)
         label, at = np.nonzero(total)
@@ -85,7 +93,38 @@ def train(docs: DataFrame) -> np.ndarray:
     shares = counts / np.maximum(counts.sum(axis=2, keepdims=True), 1e-9)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.log(shares[1]) - np.log(shares[0])
-    return np.nan_to_num(ratio, nan=0.0, posinf=0.0, neginf=0.0)
+    out = [np.nan_to_num(ratio, nan=0.0, posinf=0.0, neginf=0.0)]
+    for keys in _KEY_ALPHABETS[:2]:
+        at = np.ix_(*[_CODE[np.frombuffer(keys.encode(), np.uint8)]] * 2)
+        own = np.full((_N, _N), _NEVER)
+        own[at] = -np.log(len(keys)) - np.log(shares[0][at])
+        out.append(own)
+    return np.stack(out)
+
+
+def least_ratio(n: int) -> float:
+    """The mean ratio that a run of ``n`` characters must exceed: long random strings vary less."""
+    return MIN_RATIO + min(0.4, 0.03 * (n - MIN_RUN))
+
+
+def random_parts(run: str, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of what looks random: the whole run, or parts of it between separators."""
+    code = _CODE[np.frombuffer(run.encode(), np.uint8)]
+    total = np.pad(np.cumsum(ratio[:, code[:-1], code[1:]], axis=1), ((0, 0), (1, 0)))
+
+    def mean(start: int, end: int) -> float:
+        return (total[:, end - 1] - total[:, start]).max() / max(1, end - start - 1)
+
+    if mean(0, len(run)) > least_ratio(len(run)):
+        return [(0, len(run))]
+    joined: list[tuple[int, int]] = []
+    for m in _part.finditer(run):
+        start, end = m.span()
+        if mean(start, end) > MIN_RATIO:
+            if joined and joined[-1][1] + 1 == start:
+                start = joined.pop()[0]
+            joined.append((start, end))
+    return [(s, e) for s, e in joined if e - s >= MIN_RUN and mean(s, e) > least_ratio(e - s)]
 
 
 def find_spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
@@ -93,12 +132,12 @@ def find_spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     added = []
     for m in _run.finditer(text):
-        run = m[0]
-        if run.isalpha() or run.isdigit() or any(s < m.end() and m.start() < e for s, _, e in base):
+        if m[0].isdigit():
             continue
-        code = _CODE[np.frombuffer(run.encode(), np.uint8)]
-        if sum(c.isdigit() for c in run) >= 2 and ratio[code[:-1], code[1:]].mean() > MIN_RATIO:
-            added.append((m.start(), 3, m.end()))
+        for start, end in random_parts(m[0], ratio):
+            start, end = start + m.start(), end + m.start()
+            if not text[start:end].isdigit() and not any(s < end and start < e for s, _, e in base):
+                added.append((start, 3, end))
     return sorted(base + added)
 
 

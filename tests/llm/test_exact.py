@@ -305,6 +305,21 @@ def test_secret_texts(spark, documents):
         assert secret_scan.find_spans(plain, ratio) == []
 
 
+def test_random_keys_without_digits_and_inside_paths(spark):
+    rng, letters = random.Random(8), secret_scan.ALPHABET[:52]
+    ratio = secret_scan.train(table(spark, SF, "documents"))
+    keys = ["".join(rng.choices(letters, k=n)) for n in (20, 24, 32, 40) for _ in range(250)]
+    found = [secret_scan.find_spans(f"see {k} there", ratio) == [(4, 3, 4 + len(k))] for k in keys]
+    assert sum(found) >= 0.99 * len(found)
+    for n in (24, 32, 40):
+        keys_of_hex = ["".join(rng.choices("0123456789ABCDEF", k=n)) for _ in range(200)]
+        assert sum([k for _, k, _ in secret_scan.find_spans(f"see {x} there", ratio)] == [3] for x in keys_of_hex) >= 190
+    path = "/the/long/name/of/the/page/on/the/site/and/then/some/more/of/it/"
+    inside = [any(s <= len(path) and e >= len(path) + len(k) for s, _, e in secret_scan.find_spans(path + k + path, ratio)) for k in keys]
+    assert sum(inside) >= 0.95 * len(inside)
+    assert secret_scan.find_spans(path, ratio) == []
+
+
 def brute_statistics(text):
     words = WORD.findall(text)
     windows = Counter(tuple(words[i: i + 3]) for i in range(len(words) - 2))
