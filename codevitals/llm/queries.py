@@ -1,4 +1,4 @@
-"""The operators' queries over the given tables, and SQL where SQL can express them."""
+"""The operators' queries over the given tables; their SQL, where SQL can express them, is in ``oracle``."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codevitals.llm import language, lm_score, near_dedup, quality, secret_scan, vector_links, warc
+from codevitals.llm import language, lm_score, near_dedup, prefix_trie, quality, reversed_search, secret_scan, substring_dedup, vector_links, warc
 from codevitals.llm.common import table
 from codevitals.llm.mixing import mix, n_words, with_pattern
+from codevitals.llm.oracle import ORACLE
 from codevitals.llm.packing import pack
 from codevitals.llm.token_files import token_file_digests
 from codevitals.session import stored
@@ -66,7 +67,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(docs))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.paths(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_packing, op2_language, op3_mixing, op4_token_files, op5_vector_links, op6_lm_score, op7_quality,
-    op8_warc, op9_near_dedup, op10_secrets)}
-ORACLE: dict[str, str] = {}
+    op8_warc, op9_near_dedup, op10_secrets, op11_substring_dedup, op12_reversed_search, op13_prefix_trie)}
