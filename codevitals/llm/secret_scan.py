@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -130,13 +132,16 @@ def random_parts(run: str, ratio: np.ndarray) -> list[tuple[int, int]]:
 def find_spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
     """Base spans and the runs that the models add."""
     base = base_spans(text)
+    starts, last = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     added = []
     for m in _run.finditer(text):
-        if m[0].isdigit():
+        before = bisect_left(starts, m.start() + 1)
+        if m[0].isdigit() or before and last[before - 1] >= m.end():  # a base span covers it
             continue
         for start, end in random_parts(m[0], ratio):
             start, end = start + m.start(), end + m.start()
-            if not text[start:end].isdigit() and not any(s < end and start < e for s, _, e in base):
+            before = bisect_left(starts, end)  # base spans that begin before this one ends
+            if not text[start:end].isdigit() and not (before and last[before - 1] > start):
                 added.append((start, 3, end))
     return sorted(base + added)
 
