@@ -4,33 +4,36 @@ Letters' scripts narrow the languages a word can be of; each word's scores are l
 every language; a Viterbi pass with a penalty for each switch labels the words, so spans of one language come out whole.
 The document's language is that of the most letters.
 
-The trigram counts come from at most about ``FIT_DOCS`` documents of each language, chosen by a hash of doc_id, whole texts each.
+The trigram counts come from at most about ``FIT_DOCS`` documents of each language, chosen by a hash of doc_id, whole texts each. Every language of
+which one of these has a letter is in the model.
 
-A null text, or one without letters, is ``und`` with score 0. Rows with a null lang or doc_id teach nothing and are predicted like others;
+A null text, or one without letters (Unicode category L; numerals such as ``½ ² Ⅷ`` are none), is ``und`` with score 0. Rows with a null lang or doc_id teach nothing and are predicted like others;
 repeated rows count as often as they occur. Without anything to learn from, every text is ``und``. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codevitals.llm.common import slices
 
 #: Documents of each language that the counts are taken from, about, at most.
 FIT_DOCS = 4000
-#: Trigrams of the model at most: the most frequent.
-MAX_GRAMS = 400_000
+#: Trigrams of each language in the model at most: its most frequent.
+LANGUAGE_GRAMS = 200_000
 SWITCH = 12.0  # nats
 ABSENT = 30.0  # nats that a language loses on a word of a script it isn't written in
-_words = re.compile(r"[^\W\d_]+").findall
+#: A letter, then letters and the marks that belong to them; numerals that look like letters are none.
+_word = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+_words = _word.findall
 
 # First and last code point of the scripts' main ranges.
 SCRIPTS = [
@@ -114,14 +117,15 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
 
     counts = sample.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     scripts = counts.where("key < 0").collect()  # a few rows for each language
-    top = counts.where("key >= 0").orderBy(F.desc("n"), "key", "lang").limit(MAX_GRAMS).collect()
-    if not top:
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    top = counts.where("key >= 0").withColumn("nth", nth).where(F.col("nth") <= LANGUAGE_GRAMS).select("lang", "key", "n").toPandas()
+    if not len(top):
         return None
-    languages = sorted({r.lang for r in top})
+    languages = sorted(set(top["lang"]))  # all whose texts have letters
     number = {k: i for i, k in enumerate(languages)}
-    keys = np.unique(np.array([r.key for r in top], dtype=np.int64))
+    keys = np.unique(top["key"].to_numpy(np.int64))
     table = np.zeros((len(keys) + 1, len(languages)))
-    table[np.searchsorted(keys, [r.key for r in top]), [number[r.lang] for r in top]] = [r.n for r in top]
+    table[np.searchsorted(keys, top["key"].to_numpy(np.int64)), top["lang"].map(number).to_numpy(np.int64)] = top["n"].to_numpy()
     log_p = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
     written = np.zeros((len(_NAMES), len(languages)))
     for r in scripts:
@@ -188,7 +192,7 @@ def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     low = text.lower()
     if len(low) != len(text):  # a few capitals have longer lower-case forms
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    places = [m.span() for m in re.finditer(r"[^\W\d_]+", low)]
+    places = [m.span() for m in _word.finditer(low)]
     out: list[tuple[int, int, str]] = []
     for _, label in labelled([low], model):
         for (start, end), k in zip(places, label, strict=True):
