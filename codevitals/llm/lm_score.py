@@ -4,7 +4,7 @@ Words are counted over all training documents (held in a table by 64-bit hash).
 every worker; the counts of all other words are joined, so both scores are exact sums over all tokens. The network knows the ``VOCABULARY`` most frequent
 words; another word costs the network's probability of an unknown word times the word's smoothed share of the unknown words' counts.
 
-The network learns from every training document once. In each round, replicas learn from different documents and their
+Texts are read and split once, into a table of token numbers. The network learns from every training document once. In each round, replicas learn from different documents and their
 weights are averaged; the rounds grow with the logarithm of the documents, the replicas of a round with the rest.
 
 A null text is empty: its end is its only token. A null doc_id is not held out and keeps its row; repeated rows are
@@ -13,7 +13,6 @@ counted and scored each. Other columns are not looked at. An empty table gives n
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,27 +53,57 @@ class _Index(dict):
         return n
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """key, c: the tokens of the training documents."""
+def tokens(docs: DataFrame) -> DataFrame:
+    """The tokens of the documents, read and split once: a row for each batch of documents.
+
+    ids, taught (whether it is a training document), mark (a hash that deals it to a round), lengths, keys (distinct tokens, 64 bits
+    each), codes (the tokens of all these documents as places in ``keys``, 16 bits each where that is enough, else 32).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: Counter, ends: int) -> pa.RecordBatch:
-            counts[""] = ends
-            return pa.RecordBatch.from_arrays([pa.array(_keys(list(counts))), pa.array([*counts.values()], pa.int64())], ["key", "c"])
+        for batch in batches:
+            words, code, lengths = _tokens(batch.column(3).to_pylist())
+            codes = code.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), c) for c in (*batch.columns[:3], pa.array(lengths))]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([_keys(words).tobytes()]), pa.array([codes])],
+                                             ["ids", "taught", "mark", "lengths", "keys", "codes"])
+
+    mark = F.xxhash64(F.lit("lm"), "doc_id", F.length("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out(F.col("doc_id"))).alias("taught"), mark.alias("mark"), "text")
+    return rows.mapInArrow(run, "ids array<long>, taught array<boolean>, mark array<long>, lengths array<long>, keys binary, codes binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, taught, mark, lengths, keys, codes of each row of ``tokens``."""
+    for i in range(len(batch)):
+        ids, taught, mark, lengths = (batch.column(k)[i].values for k in range(4))
+        keys = np.frombuffer(batch.column(4)[i].as_buffer(), np.int64)
+        codes = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint16 if len(keys) <= 1 << 16 else np.uint32)
+        yield ids, taught.to_numpy(zero_copy_only=False), mark.to_numpy(), lengths.to_numpy(), keys, codes
+
+
+def count_words(said: DataFrame) -> DataFrame:
+    """key, c: the tokens of the training documents of ``tokens``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            c = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)  # far below 2^53
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], ["key", "c"])
 
-        counts, ends = Counter(), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(find_words(lower_ascii(text or "")))
-                ends += 1
-            if len(counts) > 300_000:
-                yield rows(counts, ends)
-                counts, ends = Counter(), 0
-        if ends:
-            yield rows(counts, ends)
+            for _, taught, _, lengths, keys, codes in _unpacked(batch):
+                c = np.bincount(codes[np.repeat(taught, lengths)], minlength=len(keys))
+                held.append((keys[c > 0], c[c > 0]))
+                if sum(len(k) for k, _ in held) > 2_000_000:
+                    yield rows()
+                    held = []
+        if held:
+            yield rows()
 
-    train = docs.where(~held_out(F.col("doc_id"))).select("text")
-    return train.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return said.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 class Head:
@@ -111,30 +140,30 @@ def _tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]
     return list(index), code, np.array(lengths, dtype=np.int64)
 
 
-def lessons(docs: DataFrame, head: Head, rounds: int) -> DataFrame:
-    """part (the round, from 0), symbols (16 bits each): every training document once."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
+def lessons(said: DataFrame, head: Head, rounds: int) -> DataFrame:
+    """part (the round, from 0), symbols (16 bits each): every training document of ``tokens`` once, those of a row and round together."""
+    shared = said.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
         for batch in batches:
-            words, code, lengths = _tokens(batch.column(1).to_pylist())
-            symbols = head.symbol[head.find(_keys(words))][code]
-            ends = np.cumsum(lengths)
-            rows = [symbols[end - n: end].tobytes() for n, end in zip(lengths, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["part", "symbols"])
+            for _, taught, mark, lengths, keys, codes in _unpacked(batch):
+                symbols, part = head.symbol[head.find(keys)][codes], np.where(taught, mark % rounds, -1)
+                of = np.repeat(part, lengths)
+                parts = np.unique(part[part >= 0])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([symbols[of == p].tobytes() for p in parts], pa.binary())],
+                                                 ["part", "symbols"])
 
-    part = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.length("text")), F.lit(rounds).cast("long"))
-    return docs.where(~held_out(F.col("doc_id"))).select(part.alias("part"), "text").mapInArrow(run, "part long, symbols binary")
+    return said.mapInArrow(run, "part long, symbols binary")
 
 
-def train(docs: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> tuple[recurrent.Weights, int]:
+def train(said: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> tuple[recurrent.Weights, int]:
     """The network, and the tokens that it has learned from: those of all training documents."""
-    spark = docs.sparkSession
+    spark = said.sparkSession
     weights, taught = recurrent.initial(counts), 0
     rounds = ROUNDS + int(np.log2(max(1, n_docs / REPLICA_DOCS)))
     replicas = max(1, round(n_docs / rounds / REPLICA_DOCS))
-    every = stored(lessons(docs, head, rounds), "lm-lessons")
+    every = stored(lessons(said, head, rounds), "lm-lessons", partition_by=["part"])  # a round reads its own part alone
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(weights.pack())
 
@@ -143,18 +172,18 @@ def train(docs: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> tuple
             if symbols:
                 stream = np.concatenate(symbols)
                 out = recurrent.train(recurrent.initial(counts).unpack(shared.value), stream)
+                part = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([TaskContext.get().partitionId() % 16]), pa.array([len(stream)]), pa.array([out.pack()])],
-                    ["g", "n", "data"])
+                    [pa.array([part % 16]), pa.array([part]), pa.array([len(stream)]), pa.array([out.pack()])], ["g", "part", "n", "data"])
 
         def average(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("part")  # sums of one order, whatever order the shuffle brings
             n = np.array(rows.column("n").to_pylist(), dtype=np.float64)
             mean = sum(k / n.sum() * np.frombuffer(x.as_buffer(), "<f4") for k, x in zip(n, rows.column("data"), strict=True))
             return pa.table({"g": rows.column("g")[:1], "n": pa.array([int(n.sum())]), "data": pa.array([mean.astype("<f4").tobytes()])})
 
-        schema = "g long, n long, data binary"
-        learned = every.where(F.col("part") == r).select("symbols").coalesce(replicas).mapInArrow(learn, schema)
-        means = learned.groupBy("g").applyInArrow(average, schema).collect()  # 16 rows at most
+        learned = every.where(F.col("part") == r).select("symbols").coalesce(replicas).mapInArrow(learn, "g long, part long, n long, data binary")
+        means = learned.groupBy("g").applyInArrow(average, "g long, n long, data binary").collect()  # 16 rows at most
         if means:
             total = sum(m.n for m in means)
             taught += total
@@ -166,7 +195,8 @@ def train(docs: DataFrame, head: Head, counts: np.ndarray, n_docs: int) -> tuple
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    counts = stored(count_words(docs), "word-counts")
+    said = stored(tokens(docs), "lm-tokens")
+    counts = stored(count_words(said), "word-counts")
     total = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, v_all = total[0] or 0, total[1]
     # The least count of the head: the smallest that no more than HEAD words reach.
@@ -183,7 +213,7 @@ def score(docs: DataFrame) -> DataFrame:
     n_end = int(head.counts[head.keys == _END_KEY].sum())
     n_unknown = n_all - n_end - int(head.vocabulary.sum())
     v_unknown = v_all - min(1, n_end) - len(head.vocabulary)
-    weights, _ = train(docs, head, np.concatenate([[n_end, n_unknown], head.vocabulary]), n_end)
+    weights, _ = train(said, head, np.concatenate([[n_end, n_unknown], head.vocabulary]), n_end)
     shared = spark.sparkContext.broadcast((head, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,30 +234,29 @@ def score(docs: DataFrame) -> DataFrame:
                 ["row", "doc_id", "n_tokens", "n_head", "head_sum", "n_unknown", "unknown_sum", "log_p", "tail"])
 
         for batch in batches:
-            words, code, lengths = _tokens(batch.column(1).to_pylist())
-            keys = _keys(words)
-            at = head.find(keys)[code]
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            in_head = at < len(head.keys)
-            known_rare = in_head & unknown[at]
-            sums = [np.bincount(doc, weights=m * v, minlength=len(lengths)) for m, v in (
-                (in_head, 1.0), (in_head, log_c[at]), (~in_head | known_rare, 1.0), (known_rare, log_c[at]))]
-            outs.append([sums[0].astype(np.int64), sums[1], sums[2].astype(np.int64), sums[3]])
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[~in_head], minlength=len(lengths)))])
-            tails.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[code[~in_head]])))
-            ids.append(batch.column(0))
-            symbols.append(head.symbol[at])
-            sizes.append(lengths)
-            if sum(len(s) for s in symbols) >= 4_000_000:
-                yield from flush()
-                n_rows += sum(len(s) for s in sizes)
-                ids, outs, symbols, sizes, tails = [], [], [], [], []
+            for doc_ids, _, _, lengths, keys, codes in _unpacked(batch):
+                at = head.find(keys)[codes]
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                in_head = at < len(head.keys)
+                known_rare = in_head & unknown[at]
+                sums = [np.bincount(doc, weights=m * v, minlength=len(lengths)) for m, v in (
+                    (in_head, 1.0), (in_head, log_c[at]), (~in_head | known_rare, 1.0), (known_rare, log_c[at]))]
+                outs.append([sums[0].astype(np.int64), sums[1], sums[2].astype(np.int64), sums[3]])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[~in_head], minlength=len(lengths)))])
+                tails.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[codes[~in_head]])))
+                ids.append(doc_ids)
+                symbols.append(head.symbol[at])
+                sizes.append(lengths)
+                if sum(len(s) for s in symbols) >= 4_000_000:
+                    yield from flush()
+                    n_rows += sum(len(s) for s in sizes)
+                    ids, outs, symbols, sizes, tails = [], [], [], [], []
         if ids:
             yield from flush()
 
     schema = ("row long, doc_id long, n_tokens long, n_head long, head_sum double, n_unknown long, unknown_sum double, "
               "log_p double, tail array<long>")
-    scored = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "lm-scores")
+    scored = stored(said.mapInArrow(run, schema), "lm-scores")
     rare = counts.where(~frequent)
     tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))

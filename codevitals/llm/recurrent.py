@@ -70,8 +70,11 @@ def _step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    """In place; logits above 60 count as 60, so that sums stay finite."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
+    return x
 
 
 def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -134,66 +137,100 @@ class Trainer:
         self.w, self.rate = weights, rate
         self.square = [np.full(a.shape, 0.05, dtype=np.float32) for a in weights.arrays()]
 
-    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One update from steps by lanes of symbols before (``x``) and after (``y``); returns the last state."""
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+        """One update from steps by lanes of symbols before (``x``) and after (``y``); returns the last state.
+
+        ``real`` tells which cells hold symbols, where not all do.
+        """
         w, steps, kept, outs = self.w, len(x), [], []
+        goes_on = (x != END).astype(np.float32)[:, :, None]
         for t in range(steps):
-            h = h * (x[t] != END)[:, None]  # a document begins
+            h = h * goes_on[t]  # a document begins
             new, z, r, m, un = _step(w, x[t], h)
             kept.append((h, z, r, m, un))
             outs.append(new)
             h = new
-        grads = [np.zeros_like(a) for a in w.arrays()]
-        d_out = self._outputs(np.concatenate(outs), y.reshape(-1), grads).reshape(steps, -1, HIDDEN)
+        grads = [np.zeros_like(a) for a in w.arrays()[1:]]
+        states, cells = np.concatenate(outs), slice(None) if real is None else np.flatnonzero(real)
+        d_out = np.zeros_like(states)
+        d_out[cells] = self._outputs(states[cells], y.reshape(-1)[cells], grads)
+        d_out = d_out.reshape(steps, -1, HIDDEN)
         d_h = np.zeros_like(h)
-        d_in = np.zeros((steps, x.shape[1], 3 * HIDDEN), dtype=np.float32)
+        d_in = np.empty((steps, x.shape[1], 3 * HIDDEN), dtype=np.float32)
+        back = w.recurrent.T.copy()
         for t in reversed(range(steps)):
             before, z, r, m, un = kept[t]
             d = d_out[t] + d_h
             d_m = d * (1 - z) * (1 - m * m)
-            d_z = d * (before - m) * z * (1 - z)
-            d_r = d_m * un * r * (1 - r)
-            d_in[t] = np.concatenate([d_z, d_r, d_m], axis=1)
-            d_u = np.concatenate([d_z, d_r, d_m * r], axis=1)
-            grads[1] += before.T @ d_u
-            d_h = (d * z + d_u @ w.recurrent.T) * (x[t] != END)[:, None]
-        np.add.at(grads[0], x.reshape(-1), d_in.reshape(-1, 3 * HIDDEN))
-        for a, g, s in zip(w.arrays(), grads, self.square, strict=True):
-            np.clip(g, -5, 5, out=g)
-            s += g * g
-            a -= self.rate * g / np.sqrt(s)
+            d_in[t, :, :HIDDEN] = d * (before - m) * z * (1 - z)
+            d_in[t, :, HIDDEN: 2 * HIDDEN] = d_m * un * r * (1 - r)
+            d_in[t, :, 2 * HIDDEN:] = d_m * r
+            grads[0] += before.T @ d_in[t]
+            d_h = (d * z + d_in[t] @ back) * goes_on[t]
+            d_in[t, :, 2 * HIDDEN:] = d_m
+        for a, g, s in zip(w.arrays()[1:], grads, self.square[1:], strict=True):
+            self._update(a, g, s)
+        # Rows of the inputs that this window has: gradients of one symbol are neighbours once they are sorted.
+        symbol = x.reshape(-1)
+        order = np.argsort(symbol.astype(np.int16), kind="stable")
+        rows, begin = np.unique(symbol[order], return_index=True)
+        own, square = w.inputs[rows], self.square[0][rows]
+        self._update(own, np.add.reduceat(d_in.reshape(-1, 3 * HIDDEN)[order], begin, axis=0), square)
+        w.inputs[rows], self.square[0][rows] = own, square
         return h
 
+    def _update(self, a: np.ndarray, g: np.ndarray, square: np.ndarray) -> None:
+        np.clip(g, -5, 5, out=g)
+        square += g * g
+        g /= np.sqrt(square)
+        g *= self.rate
+        a -= g
+
     def _outputs(self, states: np.ndarray, y: np.ndarray, grads: list[np.ndarray]) -> np.ndarray:
-        w, scale = self.w, 1 / len(y) ** 0.5
+        """Gradients of the states; those of the output weights are added to ``grads`` (all weights but the inputs)."""
+        w, scale = self.w, np.float32(1 / max(1, len(y)) ** 0.5)
+        order = np.argsort(y.astype(np.int16), kind="stable")  # so that a class's rows are neighbours
+        states, y = states[order], y[order]
         kind, place = y // CLASS, y % CLASS
         p = _softmax(states @ w.to_class + w.class_bias)
         p[np.arange(len(y)), kind] -= 1
         p *= scale
-        grads[2] += states.T @ p
-        grads[3] += p.sum(axis=0)
+        grads[1] += states.T @ p
+        grads[2] += p.sum(axis=0)
         d = p @ w.to_class.T
-        for c in np.unique(kind):
-            rows = np.flatnonzero(kind == c)
-            q = _softmax(states[rows] @ w.to_symbol[c] + w.symbol_bias[c])
-            q[np.arange(len(rows)), place[rows]] -= 1
-            q *= scale
-            grads[4][c] += states[rows].T @ q
-            grads[5][c] += q.sum(axis=0)
-            d[rows] += q @ w.to_symbol[c].T
-        return d
+        ends = np.cumsum(np.bincount(kind, minlength=len(w.class_bias)))
+        begin = 0
+        for c, end in enumerate(ends.tolist()):
+            if begin < end:
+                mine = states[begin:end]
+                q = _softmax(mine @ w.to_symbol[c] + w.symbol_bias[c])
+                q[np.arange(end - begin), place[begin:end]] -= 1
+                q *= scale
+                grads[3][c] = mine.T @ q
+                grads[4][c] = q.sum(axis=0)
+                d[begin:end] += q @ w.to_symbol[c].T
+            begin = end
+        out = np.empty_like(d)
+        out[order] = d
+        return out
 
 
 def train(weights: Weights, symbols: np.ndarray, least_updates: int = 30) -> Weights:
-    """Learn from ``symbols``, documents one after the other each with its end, once or until ``least_updates``."""
+    """Learn from all of ``symbols``, documents one after the other each with its end, once or until ``least_updates``."""
+    if not len(symbols):
+        return weights
     lanes = max(1, min(LANES, max(LEAST_LANES, len(symbols) // (64 * WINDOW)), len(symbols) // WINDOW))
-    steps = len(symbols) // lanes
-    y = symbols[: lanes * steps].reshape(lanes, steps).T.astype(np.int64)
-    x = np.concatenate([np.full((1, lanes), END), y[:-1]]) if steps else y
+    steps = -(-len(symbols) // lanes)
+    y = np.full(lanes * steps, END, dtype=np.int64)
+    y[: len(symbols)] = symbols
+    real = (np.arange(lanes * steps) < len(symbols)).reshape(lanes, steps).T
+    y = y.reshape(lanes, steps).T
+    x = np.concatenate([np.full((1, lanes), END), y[:-1]])
     trainer, done = Trainer(weights), 0
-    while steps and (done == 0 or done < least_updates):
+    while done == 0 or done < least_updates:
         h = np.zeros((lanes, HIDDEN), dtype=np.float32)
         for t in range(0, steps, WINDOW):
-            h = trainer.window(x[t: t + WINDOW], y[t: t + WINDOW], h)
+            some = real[t: t + WINDOW]
+            h = trainer.window(x[t: t + WINDOW], y[t: t + WINDOW], h, None if some.all() else some)
             done += 1
     return weights
