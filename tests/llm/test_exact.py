@@ -254,12 +254,13 @@ def test_op6(spark, documents):
 
 
 def test_network_learns_from_every_training_document(spark, documents):
-    docs = table(spark, SF, "documents")
+    docs = lm_score.tokens(table(spark, SF, "documents")).cache()
     counts = lm_score.count_words(docs).toPandas()
     head = lm_score.Head(counts["key"].to_numpy(np.int64), counts["c"].to_numpy(np.int64))
     lengths = [len(WORD.findall(lower(r.text or ""))) + 1 for k, r in documents.items() if zlib.crc32(str(k).encode()) % 10]
     rows = lm_score.lessons(docs, head, 5).collect()
-    assert sorted(len(r.symbols) // 2 for r in rows) == sorted(lengths) and {r.part for r in rows} == set(range(5))
+    taught = np.concatenate([np.frombuffer(r.symbols, np.int16) for r in rows])
+    assert len(taught) == sum(lengths) and (taught == recurrent.END).sum() == len(lengths) and {r.part for r in rows} == set(range(5))
     start = np.concatenate([[len(lengths), 1], head.vocabulary])
     assert lm_score.train(docs, head, start, len(lengths))[1] == sum(lengths)
 
