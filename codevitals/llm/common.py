@@ -53,8 +53,17 @@ _has_wide = re.compile(rf"[{_WIDE[6:]}]").search
 _LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 # That pattern always splits before white space, after a line feed that stands alone, and between letters or digits and marks.
 _plain_chunks = re.compile(r"[\t-\r ]*[^\t-\r !-&(-/:-@\[-`{-~]+|[\t-\r ]*[!-&(-/:-@\[-`{-~]+|[\t-\r ]+").findall
-# Texts with other characters than white space, marks, digits and Latin-1 letters; the apostrophe is not among the marks.
-_not_plain = re.compile(rf"[^\t-\r -&(-~{_LETTER[6:]}]").search
+# Latin-1 of plain texts: white space, marks, digits and letters; the apostrophe is not among the marks.
+_PLAIN = "".join(re.findall(rf"[\t-\r -&(-~{_LETTER[6:]}]", "".join(map(chr, range(256))))).encode("latin-1")
+
+
+def _is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 _chunks = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
 _wide_chunks = re.compile(rf"[{_WIDE}]*[^{_WIDE}]+|[{_WIDE}]+").findall
 _word_marks = re.compile(rf"( ?[{_LETTER}]+)([!-&(-/:-@\[-`{{-~]*)").fullmatch
@@ -98,7 +107,7 @@ class Encoder:
         self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.added = [t for t in added if t]
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.known = _Memo(self._chunk, {})
@@ -116,9 +125,9 @@ class Encoder:
         return array(self.kind, [t.id for t in self.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.has_added(text):
+        if any(content in text for content in self.added):
             return self.whole(text)
-        if not _not_plain(text):
+        if _is_plain(text):
             chunks = _plain_chunks(text)
         elif _odd(text):
             return self.whole(text)
