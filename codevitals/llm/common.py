@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: The white space of the word definition: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 find_words = re.compile(WORD).findall
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Translates bytes of UTF-8: A-Z become small.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Characters of text that a task works on at a time (one longer text is taken alone).
 SLICE_CHARS = 4_000_000
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.encode().translate(_LOWER).decode()
+    return text.lower() if text.isascii() else text.encode().translate(LOWER).decode()
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:

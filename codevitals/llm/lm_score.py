@@ -13,7 +13,9 @@ counted and scored each. Other columns are not looked at. An empty table gives n
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codevitals.llm import recurrent
-from codevitals.llm.common import find_words, lower_ascii
+from codevitals.llm.byte_words import word_lists
+from codevitals.llm.common import LOWER
 from codevitals.session import stored
 
 VOCABULARY = 2046
@@ -39,18 +42,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def _keys(words: list[str]) -> np.ndarray:
+def _keys(words: list[bytes]) -> np.ndarray:
     """Signed 64-bit hashes of words; the end, written as an empty word, has the key 0."""
-    keys = np.fromiter((xxhash.xxh64_intdigest(w.encode()) if w else 0 for w in words), np.uint64, len(words)).view(np.int64)
-    return np.where((keys == _END_KEY) & np.fromiter(map(bool, words), bool, len(words)), 1, keys)
-
-
-class _Index(dict):
-    """Numbers words as they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    empty = np.fromiter(map(len, words), np.int64, len(words)) == 0
+    return np.where(empty, _END_KEY, np.where(keys == _END_KEY, 1, keys))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -62,7 +58,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, code, lengths = _tokens(batch.column(3).to_pylist())
+            words, code, lengths = _tokens(batch.column(3).cast(pa.binary()).to_pylist())
             codes = code.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()
             lists = [pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), c) for c in (*batch.columns[:3], pa.array(lengths))]
             yield pa.RecordBatch.from_arrays([*lists, pa.array([_keys(words).tobytes()]), pa.array([codes])],
@@ -128,16 +124,17 @@ class Head:
         return np.where(hit, at, len(self.keys))
 
 
-def _tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct tokens, the tokens of all texts as places among them, tokens of each text."""
-    index, tokens, lengths = _Index(), [], []
+def _tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens, the tokens of all texts as places among them, tokens of each text (UTF-8)."""
+    index: defaultdict[bytes, int] = defaultdict(count().__next__)
+    codes, lengths = [], []
     for text in texts:
-        before = len(tokens)
-        tokens += find_words(lower_ascii(text or ""))
-        tokens.append("")
-        lengths.append(len(tokens) - before)
-    code = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-    return list(index), code, np.array(lengths, dtype=np.int64)
+        lengths.append(1)
+        for words in word_lists((text or b"").translate(LOWER)):
+            codes.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+            lengths[-1] += len(words)
+        codes.append(np.array([index[b""]], np.int32))
+    return list(index), np.concatenate(codes) if codes else np.zeros(0, np.int32), np.array(lengths, dtype=np.int64)
 
 
 def lessons(said: DataFrame, head: Head, rounds: int) -> DataFrame:

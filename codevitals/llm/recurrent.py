@@ -69,17 +69,25 @@ def _step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return m + z * (h - m), z, r, m, u[:, 2 * HIDDEN:]
 
 
+def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits of ``states``; above 60 they count as 60, so that sums stay finite."""
+    x = states @ weights
+    x += bias
+    # States lie between -1 and 1, which bounds the logits; seldom is there anything to cut.
+    if (np.abs(weights).sum(axis=0) + bias).max() > 60:
+        np.minimum(x, 60, out=x)
+    return x
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place; logits above 60 count as 60, so that sums stay finite."""
-    np.minimum(x, 60, out=x)
+    """In place."""
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
     return x
 
 
 def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax at ``chosen``; logits above 60 count as 60, so that sums stay finite."""
-    np.minimum(logits, 60, out=logits)
+    """Logarithm of the softmax at ``chosen``."""
     picked = logits[np.arange(len(chosen)), chosen]
     np.exp(logits, out=logits)
     return picked - np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
@@ -88,15 +96,16 @@ def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 def log_probabilities(w: Weights, states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural logarithms of the probabilities of the symbols ``y`` after ``states``."""
     kind, place = y // CLASS, y % CLASS
-    out = _log_share(states @ w.to_class + w.class_bias, kind)
-    order = np.argsort(kind, kind="stable")
+    out = _log_share(_logits(states, w.to_class, w.class_bias), kind)
+    order = np.argsort(kind.astype(np.int16), kind="stable")  # so that a class's rows are neighbours
+    states, place, within = states[order], place[order], np.empty_like(out)
     ends = np.cumsum(np.bincount(kind, minlength=len(w.class_bias)))
     begin = 0
-    for c, end in enumerate(ends):
-        rows = order[begin:end]
+    for c, end in enumerate(ends.tolist()):
+        if begin < end:
+            within[begin:end] = _log_share(_logits(states[begin:end], w.to_symbol[c], w.symbol_bias[c]), place[begin:end])
         begin = end
-        if len(rows):
-            out[rows] += _log_share(states[rows] @ w.to_symbol[c] + w.symbol_bias[c], place[rows])
+    out[order] += within
     return out
 
 
@@ -192,7 +201,7 @@ class Trainer:
         order = np.argsort(y.astype(np.int16), kind="stable")  # so that a class's rows are neighbours
         states, y = states[order], y[order]
         kind, place = y // CLASS, y % CLASS
-        p = _softmax(states @ w.to_class + w.class_bias)
+        p = _softmax(_logits(states, w.to_class, w.class_bias))
         p[np.arange(len(y)), kind] -= 1
         p *= scale
         grads[1] += states.T @ p
@@ -203,7 +212,7 @@ class Trainer:
         for c, end in enumerate(ends.tolist()):
             if begin < end:
                 mine = states[begin:end]
-                q = _softmax(mine @ w.to_symbol[c] + w.symbol_bias[c])
+                q = _softmax(_logits(mine, w.to_symbol[c], w.symbol_bias[c]))
                 q[np.arange(end - begin), place[begin:end]] -= 1
                 q *= scale
                 grads[3][c] = mine.T @ q
