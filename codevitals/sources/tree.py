@@ -1,97 +1,196 @@
-"""A directory tree as a Spark data source.
+"""A directory tree as a Spark data source, in two steps: a listing, and the texts of what is wanted of it.
 
-Spark's own file sources hide names that start with ``_`` or ``.`` (``__init__.py``),
-so the tree is listed here. The listing is split into directories; every reader task
-walks its own share, prunes skipped directories before descending and reads only
-files with a supported suffix. On a cluster the tree must be on storage all executors
-mount.
+Spark's own file sources hide names that start with ``_`` or ``.`` (``__init__.py``), so the tree is listed here. The listing opens no file: skipped
+directories are not descended into, ignored and unsupported names are left out, and filters on ``file``, ``size`` and ``mtime`` are applied where the
+names are read. What is left, joined with a cache or not, is dealt to tasks by number and bytes and read there. A directory or file that can't be read
+gives a row with its path, a null text and the error. On a cluster the tree must be on storage all executors mount.
 """
 
 from __future__ import annotations
 
+import operator
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull,
+    LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith,
+)
 
 from ..config import DEFAULT_IGNORE
+from ..findings import glob_to_regex
 from ..functions.text import unify_newlines
 from ..schema import SUPPORTED_SUFFIXES
-from .filters import is_source_file, skipped_directories, suffix
+from ..session import stored
+from .filters import SKIPPED_ENDINGS, skipped_directories, suffix
 
-_ROW = "file string, raw binary, mtime double"
+LISTING = "file string, size bigint, mtime double, error string"
+#: Directories that the driver looks for before it leaves the rest to tasks.
+SHARES = 256
+#: Bytes and files that a task reads, about.
+TASK_BYTES, TASK_FILES = 64 << 20, 5000
+_MOST_BYTES = (1 << 31) - 1024  # of one value in a batch
+_BATCH_BYTES = 16 << 20
+_COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt,
+            LessThanOrEqual: operator.le, StringStartsWith: str.startswith, StringEndsWith: str.endswith}
 
 
 class _Share(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
+    """Directories (path below the root, whether what is below it belongs to the share)."""
+
+    def __init__(self, folders: list[tuple[str, bool]]):
+        self.folders = folders
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = os.path.realpath(options["path"])
-        self.pruned = set(skipped_directories(options.get("ignore", "\n".join(DEFAULT_IGNORE)).split("\n")))
-        self.split_depth = int(options.get("splitDepth", "2"))
-
-    def _folders(self, folder: str) -> list[str]:
-        with os.scandir(folder) as entries:
-            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False)
-                          and e.name not in self.pruned and not e.name.startswith("."))
+        ignore = [g for g in options.get("ignore", "\n".join(DEFAULT_IGNORE)).split("\n") if g]
+        self.pruned = set(skipped_directories(ignore))
+        self.ignored = [re.compile(glob_to_regex(g)) for g in ignore]
+        self.shares = int(options.get("shares", SHARES))
+        self.tests: list[tuple] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Comparisons of a column with a value are done here, before a row is made."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name not in ("file", "size", "mtime"):
+                yield f
+            elif type(f) in _COMPARE and f.value is not None:
+                self.tests.append((name, _COMPARE[type(f)], f.value))
+            elif type(f) is In and None not in f.value:
+                self.tests.append((name, lambda x, among: x in among, frozenset(f.value)))
+            elif type(f) is IsNotNull:
+                self.tests.append((name, operator.is_not, None))
+            else:
+                yield f
+
+    def _scan(self, folder: str) -> tuple[list[str], list[os.DirEntry]]:
+        """The folders and files of a folder; OSError if it can't be read."""
+        with os.scandir(os.path.join(self.root, folder)) as entries:
+            entries = list(entries)
+        below = [e.name for e in entries if e.is_dir(follow_symlinks=False) and e.name not in self.pruned and not e.name.startswith(".")]
+        return sorted(os.path.join(folder, name) for name in below), [e for e in entries if e.is_file()]
 
     def partitions(self):
-        """Directories down to ``splitDepth``; the deepest are walked whole by their task."""
-        shares, level = [_Share(self.root, False)], [self.root]
-        for depth in range(1, self.split_depth + 1):
-            level = [child for folder in level for child in self._folders(folder)]
-            shares += [_Share(folder, depth == self.split_depth) for folder in level]
-        return shares
+        """Level by level until there are enough directories; the last level's are walked whole by their tasks."""
+        level, inner = [""], []
+        while level and len(level) < self.shares:
+            inner += level
+            below = []
+            for folder in level:
+                try:
+                    below += self._scan(folder)[0]
+                except OSError:  # its task reports it
+                    continue
+            level = below
+        folders = [(f, False) for f in inner] + [(f, True) for f in level]
+        return [_Share(folders[i::self.shares]) for i in range(min(self.shares, len(folders)))]
+
+    def _wanted(self, file: str, stat: os.stat_result | None) -> bool:
+        row = {"file": file, "size": stat and stat.st_size, "mtime": stat and stat.st_mtime}
+        return all(row[name] is not None and test(row[name], value) for name, test, value in self.tests)
+
+    def _ignored(self, file: str) -> bool:
+        prefixes = [file[:m.start()] for m in re.finditer("/", file)] + [file]
+        return any(glob.search(p) for glob in self.ignored for p in prefixes)
 
     def read(self, share: _Share) -> Iterator[tuple]:
-        pending = [share.folder]
+        pending = list(share.folders)
         while pending:
-            folder = pending.pop()
-            if share.deep:
-                pending += self._folders(folder)
-            with os.scandir(folder) as entries:
-                names = sorted(e.name for e in entries if e.is_file())
-            for name in names:
-                if os.path.splitext(name)[1] not in SUPPORTED_SUFFIXES:
+            folder, deep = pending.pop()
+            try:
+                below, files = self._scan(folder)
+            except OSError as error:
+                if self._wanted(folder, None):
+                    yield folder, None, None, str(error)
+                continue
+            if deep:
+                pending += [(f, True) for f in below]
+            for entry in files:
+                file = os.path.join(folder, entry.name).replace(os.sep, "/")
+                if os.path.splitext(entry.name)[1] not in SUPPORTED_SUFFIXES or file.endswith(tuple(SKIPPED_ENDINGS)) or self._ignored(file):
                     continue
-                path = os.path.join(folder, name)
                 try:
-                    mtime = os.stat(path).st_mtime
-                    with open(path, "rb") as handle:
-                        raw = handle.read()
-                except OSError:
+                    stat = entry.stat()
+                except OSError as error:
+                    if self._wanted(file, None):
+                        yield file, None, None, str(error)
                     continue
-                yield os.path.relpath(path, self.root).replace(os.sep, "/"), raw, mtime
+                if self._wanted(file, stat):
+                    yield file, stat.st_size, stat.st_mtime, None
 
 
 class TreeDataSource(DataSource):
-    """``spark.read.format("source_tree").option("path", root).load()``"""
+    """``spark.read.format("source_tree").option("path", root).load()``: the listing."""
 
     @classmethod
     def name(cls):
         return "source_tree"
 
     def schema(self):
-        return _ROW
+        return LISTING
 
     def reader(self, schema):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None,
-              repo_id: str | None = None) -> DataFrame:
-    """The source files below ``root`` as a files table."""
+def list_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, repo_id: str | None = None) -> DataFrame:
+    """repo_id, file, size, mtime, error of the source files below ``root``; no file is opened.
+
+    Filters reach the source only with ``spark.sql.python.filterPushdown.enabled``, which this turns on.
+    """
     ignore = DEFAULT_IGNORE if ignore is None else ignore
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TreeDataSource)
-    listed = (spark.read.format("source_tree").option("path", str(root))
-              .option("ignore", "\n".join(ignore)).load())
-    path = F.col("file")
-    return listed.filter(is_source_file(path, ignore)).select(
-        F.lit(repo_id or os.path.basename(os.path.realpath(root))).alias("repo_id"), "file",
-        suffix(path).alias("suffix"), unify_newlines(F.make_valid_utf8(F.col("raw").cast("string"))).alias("text"),
-        F.is_valid_utf8(F.col("raw").cast("string")).alias("utf8_ok"), "mtime")
+    listed = spark.read.format("source_tree").option("path", str(root)).option("ignore", "\n".join(ignore)).load()
+    return listed.select(F.lit(repo_id or os.path.basename(os.path.realpath(root))).alias("repo_id"), "*")
+
+
+def read_files(listing: DataFrame, root: str) -> DataFrame:
+    """The files of a stored listing as a files table, with the ``error`` of what can't be read (its text is null)."""
+    root = os.path.realpath(root)
+    total = listing.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, total.n // TASK_FILES, total.bytes // TASK_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = {"repo_id": pa.string(), "file": pa.string(), "mtime": pa.float64(), "raw": pa.binary(), "error": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+        rows, held = [], 0
+        for batch in batches:
+            for repo_id, file, size, mtime, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = None
+                if error is None:
+                    try:
+                        if size > _MOST_BYTES:
+                            raise OSError("file too large")
+                        with open(os.path.join(root, file), "rb") as handle:
+                            raw = handle.read()
+                    except OSError as problem:
+                        error = str(problem)
+                rows.append((repo_id, file, mtime, raw, error))
+                held += len(raw or b"")
+                if held >= _BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+    spread = listing.select("repo_id", "file", "size", "mtime", "error").repartition(tasks, "file")
+    read = spread.mapInArrow(run, "repo_id string, file string, mtime double, raw binary, error string")
+    text = F.col("raw").cast("string")
+    return read.select(
+        "repo_id", "file", suffix(F.col("file")).alias("suffix"), unify_newlines(F.make_valid_utf8(text)).alias("text"),
+        F.coalesce(F.is_valid_utf8(text), F.lit(False)).alias("utf8_ok"), "mtime", "error")
+
+
+def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, repo_id: str | None = None) -> DataFrame:
+    """The source files below ``root`` as a files table, and ``error``."""
+    return read_files(stored(list_tree(spark, root, ignore, repo_id), "listing"), root)

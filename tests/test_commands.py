@@ -11,8 +11,9 @@ from codevitals.operators.unused_imports import unused_imports
 from codevitals.parsing.symbols import symbols
 from codevitals.plans import fix, incremental
 from codevitals.session import stored
-from codevitals.sources import read_tree
+from codevitals.sources import list_tree, read_files, read_tree
 from codevitals.sources.changes import changed_paths
+from codevitals.sources.tree import TreeReader, _Share
 from codevitals.store import Store, ensure_gitignore
 from codevitals.streaming.rescan import merge_batch, read_file_stream
 from pyspark.sql import functions as F
@@ -38,6 +39,29 @@ def test_tree_source(spark, tmp_path):
     assert rows["bad.py"].mtime == os.stat(tmp_path / "bad.py").st_mtime
 
 
+def test_listing_filters_and_errors(spark, tmp_path):
+    """Filters reach the listing; what can't be read is listed with its error."""
+    write(tmp_path, {"a/x.py": "1", "a/y.py": "22", "b/c/d/z.go": "333", "b/gone.py": "4", "b/old.py": "5", "gen/i.py": "6"})
+    os.utime(tmp_path / "b/old.py", (1, 1))
+    listing = list_tree(spark, tmp_path, ["gen/**"], "r")
+    got = {r.file: (r.size, r.error) for r in listing.collect()}
+    assert got == {"a/x.py": (1, None), "a/y.py": (2, None), "b/c/d/z.go": (3, None), "b/gone.py": (1, None), "b/old.py": (1, None)}
+    for test, files in (("mtime > 1", {"a/x.py", "a/y.py", "b/c/d/z.go", "b/gone.py"}), ("file like 'a/%'", {"a/x.py", "a/y.py"}),
+                        ("file in ('a/x.py', 'b/old.py') and size = 1", {"a/x.py", "b/old.py"}), ("file like '%.go' and size >= 3", {"b/c/d/z.go"})):
+        rows = listing.filter(test)
+        assert {r.file for r in rows.collect()} == files
+        assert "Filter " not in rows._jdf.queryExecution().executedPlan().toString()
+    kept = stored(listing, "listing")
+    (tmp_path / "b/gone.py").unlink()
+    read = {r.file: r for r in read_files(kept, tmp_path).collect()}
+    assert read["b/gone.py"].text is None and "gone.py" in read["b/gone.py"].error and not read["b/gone.py"].utf8_ok
+    assert read["a/y.py"].text == "22" and read["a/y.py"].error is None and len(read) == 5
+    reader = TreeReader({"path": str(tmp_path), "ignore": "", "shares": "3"})
+    (tmp_path / "b/c").rename(tmp_path / "b/moved")
+    rows = [r for share in [*reader.partitions(), _Share([("b/c", True)])] for r in reader.read(share)]
+    assert {r[0] for r in rows if r[3]} == {"b/c"} and len(rows) == 6  # five files, one folder that is gone
+
+
 def test_config_defaults():
     config = Config.from_mapping({"thresholds": {"max_file_lines": 9}, "ignore": ["x"], "detectors": None})
     assert config.thresholds == Thresholds(max_file_lines=9) and config.ignore[-1] == "x"
