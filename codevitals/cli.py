@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
+import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import __version__, triage
 from .config import STATE_DIR, Config
-from .findings import by_detector, to_json, with_hash, with_seq
+from .findings import apply_allowlist, by_detector, to_json, with_hash, with_seq
 from .operators.unused_imports import unused_imports
-from .parsing.symbols import symbols
+from .parsing.symbols import present_languages, symbols
 from .plans import fix as fixes
-from .plans.incremental import refresh
-from .plans.scan import detect, parse, review
+from .plans.incremental import misses, stale
+from .plans.rescan import first_scan, rescan
+from .plans.scan import review
 from .session import local_session, stored
 from .sources.changes import changed_files, changed_paths
-from .sources.tree import read_tree
+from .sources.tree import list_tree, read_files, read_tree
 from .store import Store, ensure_gitignore
 
 TEMPLATE = """\
@@ -73,16 +76,24 @@ def _show(finding) -> None:
 
 
 def run_scan(spark: SparkSession, path: str, state: str, fresh: bool) -> DataFrame:
-    """Findings of the tree at ``path``, with the parse cache of ``state``; not saved."""
+    """Findings of the tree at ``path``; not saved.
+
+    With the tables of an earlier scan in ``state``, only new and changed files are opened.
+    """
     config, store = Config.load(path), Store(spark, state)
-    files = stored(read_tree(spark, path, config.ignore), "files")
-    if fresh:
-        table = parse(files)
+    settings = hashlib.sha256(repr((config.thresholds, sorted(config.disabled_detectors))).encode()).hexdigest()[:16]
+    listing = stored(list_tree(spark, path, config.ignore), "listing")
+    old = None if fresh else store.scan_state(settings)
+    wanted = listing if old is None else stored(misses(listing, old.listing), "changed-listing")
+    files = stored(read_files(wanted, path), "files")
+    for row in files.filter("error IS NOT NULL").select("file", "error").toLocalIterator():
+        print(f"Not read: {row['file']}: {row['error']}", file=sys.stderr)
+    if old is None:
+        new = first_scan(files, config, present_languages(files))
     else:
-        listing, table = refresh(files, *store.cache())
-        store.save_cache(listing, table)
-        table = store.cache()[1]
-    return with_seq(detect(files, table, config))
+        new = rescan(old, files, stale(listing, old.listing).select("repo_id", "file"), config)
+    store.save_scan_state(new, settings)
+    return with_seq(apply_allowlist(with_hash(store.scan_state(settings).findings), config.allowlist))
 
 
 def cmd_init(args) -> int:

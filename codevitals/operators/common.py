@@ -29,3 +29,8 @@ def finding(df: DataFrame, detector: str, category, message: Column, kind_ord: i
 
 def first_lines(snippet: Column, count: int) -> Column:
     return F.array_join(F.slice(F.split(snippet, "\n"), 1, count), "\n")
+
+
+def finding_columns(findings: DataFrame) -> DataFrame:
+    """Findings with the columns of all of them, in one order."""
+    return findings.select(FINDING_COLUMNS)

@@ -1,20 +1,22 @@
-"""A project's state folder: findings, decisions, cursor and parse cache as tables."""
+"""A project's state folder: findings, decisions, cursor and the last scan's tables."""
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import triage
 from .config import STATE_DIR
+from .plans.rescan import ScanState
 from .schema import SYMBOLS
 
 _FINDINGS = ("repo_id string, detector string, category string, message string, file string, line int, "
              "snippet string, related array<string>, group_id string, confidence string, kind_ord int, "
              "ord int, hash string, finding_id string, seq bigint")
-_LISTING = "repo_id string, file string, mtime double"
+_SCAN = [f.name for f in fields(ScanState)]
 
 
 class Store:
@@ -48,12 +50,23 @@ class Store:
         self._save("findings", findings.select(names))
         return self.findings()
 
-    def cache(self) -> tuple[DataFrame, DataFrame]:
-        return self._load("files", _LISTING), self._load("symbols", SYMBOLS)
-
-    def save_cache(self, listing: DataFrame, symbols: DataFrame) -> None:
-        self._save("symbols", symbols)
-        self._save("files", listing)
+    def scan_state(self, settings: str) -> ScanState | None:
+        """The tables of the last scan, if it had the same settings."""
+        current = self._current("scan")
+        if current is None or current.split()[1] != settings:
+            return None
+        folder = self.root / current.split()[0]
+        read = lambda name: self.spark.read.schema(SYMBOLS) if name == "symbols" else self.spark.read  # noqa: E731  its folders may be none
+        return ScanState(*(read(name).parquet(str(folder / name)) for name in _SCAN))
+
+    def save_scan_state(self, state: ScanState, settings: str) -> None:
+        """All tables of one scan become current at once."""
+        folder = f"scan-{uuid.uuid4().hex}"
+        for name in _SCAN:
+            table = getattr(state, name)
+            writer = table.write.partitionBy("kind") if name == "symbols" else table.write
+            writer.parquet(str(self.root / folder / name))
+        (self.root / "scan.current").write_text(f"{folder} {settings}")
 
     def decisions(self) -> DataFrame:
         folder = self.root / "decisions"
