@@ -222,6 +222,10 @@ ORACLE["import_cycle"] = _LINKS + """
 SELECT DISTINCT least(a.src, a.dst) || ' -> ' || greatest(a.src, a.dst) AS cycle
 FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src"""
 ORACLE["import_cycle_components"] = ORACLE["import_cycle"]
+# The last folder may have fewer files; a cycle is there if its files are.
+ORACLE["import_cycle_shapes"] = "WITH folders AS (SELECT doc_id // 8 AS g, count(*) AS m FROM documents GROUP BY ALL) " + " UNION ALL ".join(
+    "SELECT " + " || ' -> ' || ".join(f"'src/c' || g || '/h{k}.ts'" for k in ring) + f" AS cycle FROM folders WHERE m > {needs}"
+    for ring, needs in (((0, 1, 2), 2), ((2, 3), 3), ((5, 6, 7), 7), ((6, 7), 7)))
 
 # ----------------------------------------------------------- whole scans and commands
 _PY_ALL = _BASE + ", found AS (" + " UNION ALL ".join(
@@ -236,6 +240,7 @@ ORACLE["union_findings"] = f"""{_PY_ALL} SELECT detector, category, file, line,
   SELECT detector, category, file, line FROM found
   UNION ALL SELECT 'duplication', 'duplicated_function', {_PY}, CAST(k + 20 AS INTEGER) FROM base
   WHERE i % 11 = 0 AND (SELECT count(*) FROM base WHERE i % 11 = 0) >= 3)"""
+ORACLE["rescan_findings"] = ORACLE["union_findings"]
 ORACLE["allowlist"] = f"""{_PY_ALL} SELECT detector, count(*) AS findings FROM {_ALL_FILES}
 WHERE NOT (detector = 'dead_code' AND file LIKE 'src/m1/%')
   AND NOT (detector = 'size' AND (file LIKE 'src/m2/%' OR file LIKE '%/f7.py')) GROUP BY detector"""

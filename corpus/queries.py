@@ -21,13 +21,14 @@ from codevitals.operators.size import god_classes, large_files, large_functions
 from codevitals.operators.unused_imports import unused_imports
 from codevitals.parsing.symbols import language, symbols
 from codevitals.plans import fix, incremental
+from codevitals.plans.rescan import first_scan, rescan
 from codevitals.plans.scan import detect, parse, review
 from codevitals.session import stored
 from codevitals.sources import filters, from_documents
 
 from .render import documents, mixed_files, template_files
 from .templates import TEMPLATES
-from .trees import python_tree, typescript_tree
+from .trees import python_tree, ring_tree, typescript_tree
 
 QUERIES: dict = {}
 
@@ -334,6 +335,14 @@ def import_cycle_components(spark, sf_dir):
     return found.select(F.array_join(cycle, " -> ").alias("cycle"))
 
 
+@query
+def import_cycle_shapes(spark, sf_dir):
+    """Cycles of three files, nested and entered ones, and components that lead to each other."""
+    files = ring_tree(documents(spark, sf_dir))
+    edges = stored(import_edges(files, symbols(files, ["javascript"], ["import"])), "edges")
+    return cycles(edges).select(F.array_join("cycle", " -> ").alias("cycle"))
+
+
 # ----------------------------------------------------------- whole scans and commands
 
 def _scan(spark, sf_dir):
@@ -353,6 +362,20 @@ def union_findings(spark, sf_dir):
         "detector", "category", "file", "line", "hash")
 
 
+@query
+def rescan_findings(spark, sf_dir):
+    """A tree is scanned, then files change, come and go: the findings of the re-scan."""
+    now = stored(_python(spark, sf_dir), "files")
+    i = _doc_id()
+    was = now.filter(i % 5 != 1).withColumn("text", F.when(i % 3 == 0, F.replace(
+        F.replace("text", F.lit("_helper"), F.lit("_older")), F.lit("class God"), F.lit("class Small"))).otherwise(F.col("text")))
+    gone = now.filter(i % 4 == 2).withColumn("file", F.replace("file", F.lit("src/"), F.lit("old/")))
+    state = first_scan(stored(was.unionByName(gone), "files"), langs=["python"])
+    changed = stored(now.filter((i % 5 == 1) | (i % 3 == 0)), "changed")
+    state = rescan(state, changed, gone.select("repo_id", "file"), langs=["python"])
+    return with_hash(state.findings).select("detector", "category", "file", "line", "hash")
+
+
 @query
 def allowlist(spark, sf_dir):
     found = _scan(spark, sf_dir)

@@ -112,3 +112,19 @@ def typescript_tree(docs: DataFrame) -> DataFrame:
     text = F.concat(F.substring(prose(F.col("text"), "// "), 2, 2_000_000_000), F.lit("\n"), code)
     file = F.concat(F.lit("src/m"), (i % 16).cast("string"), F.lit("/g"), s, F.lit(".ts"))
     return source_file(rows, "tree", file, ".ts", text)
+
+
+#: What file k of a folder imports: a ring of three with a ring of two on it, entered from outside in the middle, that
+#: leads to another ring of three with a shortcut.
+RINGS = {0: [1], 1: [2], 2: [0, 3], 3: [2, 5], 4: [1], 5: [6], 6: [7], 7: [5, 6]}
+
+
+def ring_tree(docs: DataFrame) -> DataFrame:
+    """Eight documents make a folder of TypeScript files that import each other as in ``RINGS``."""
+    i = F.col("doc_id")
+    lines = F.lit("")
+    for k, targets in RINGS.items():
+        lines = F.when(i % 8 == k, "".join(f"import {{ a{t} }} from './h{t}';\n" for t in targets)).otherwise(lines)
+    text = F.concat(F.substring(prose(F.col("text"), "// "), 2, 2_000_000_000), F.lit("\n"), lines)
+    file = F.concat(F.lit("src/c"), F.floor(i / 8).cast("string"), F.lit("/h"), (i % 8).cast("string"), F.lit(".ts"))
+    return source_file(docs, "rings", file, ".ts", text)

@@ -173,3 +173,20 @@ def test_stream(spark, make_files, tmp_path):
     query()
     newest = {("a.py", "z"), ("b.py", "y")}
     assert seen == {0: {("a.py", "x"), ("b.py", "y")}, 1: newest, 2: newest}
+
+
+def test_stream_batches_rewrite_their_parts_only(spark, make_files, tmp_path):
+    """What a batch writes follows the batch; a replay changes nothing; an emptied file leaves no symbols."""
+    seen = {}
+    run = merge_batch(str(tmp_path), ["python"], lambda files, table, n: seen.update({n: sorted((r.file, r.name) for r in table.collect())}), parts=64)
+    run(make_files({f"f{i}.py": f"import m{i}\n" for i in range(40)}), 0)
+    written = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before = written()
+    edit = make_files({"f7.py": "import other\n", "f9.py": "\n"}).withColumn("mtime", F.lit(1.0))
+    run(edit, 1)
+    changed = set(written()) - set(before)
+    assert 0 < len({p.parent for p in changed}) <= 4  # two parts of two tables
+    assert seen[1] == sorted([(f"f{i}.py", f"m{i}") for i in range(40) if i not in (7, 9)] + [("f7.py", "other")])
+    run(edit, 1)
+    assert seen[1] == sorted([(f"f{i}.py", f"m{i}") for i in range(40) if i not in (7, 9)] + [("f7.py", "other")])
+    assert len({p.parent for p in written()}) == len({p.parent for p in before})
