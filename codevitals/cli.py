@@ -14,12 +14,12 @@ from . import __version__, triage
 from .config import STATE_DIR, Config
 from .findings import apply_allowlist, by_detector, to_json, with_hash, with_seq
 from .operators.unused_imports import unused_imports
-from .parsing.symbols import present_languages, symbols
+from .parsing.symbols import present_languages
 from .plans import fix as fixes
 from .plans.incremental import misses, stale
 from .plans.rescan import first_scan, rescan
-from .plans.scan import review
-from .session import local_session, stored
+from .plans.scan import parse, review
+from .session import command_session, stored
 from .sources.changes import changed_files, changed_paths
 from .sources.tree import list_tree, read_files, read_tree
 from .store import Store, ensure_gitignore
@@ -109,7 +109,7 @@ def cmd_init(args) -> int:
 
 
 def cmd_scan(args) -> int:
-    spark = local_session()
+    spark = command_session()
     found = Store(spark, args.state).save_findings(run_scan(spark, args.path, args.state, args.fresh))
     _print_report(found, args.json)
     ensure_gitignore(args.state)
@@ -117,7 +117,7 @@ def cmd_scan(args) -> int:
 
 
 def cmd_review(args) -> int:
-    spark = local_session()
+    spark = command_session()
     if args.all:
         return cmd_scan(args)
     paths = changed_paths(args.path, args.base)
@@ -131,14 +131,14 @@ def cmd_review(args) -> int:
 
 
 def cmd_next(args) -> int:
-    store = Store(local_session(), args.state)
+    store = Store(command_session(), args.state)
     _show(store.next(args.detector, store.cursor()))
     return 0
 
 
 def _cmd_decide(status: str):
     def run(args) -> int:
-        store = Store(local_session(), args.state)
+        store = Store(command_session(), args.state)
         current = store.cursor()
         if not current:
             print("No current finding. Run `codevitals next` first.")
@@ -151,7 +151,7 @@ def _cmd_decide(status: str):
 
 
 def cmd_list(args) -> int:
-    store = Store(local_session(), args.state)
+    store = Store(command_session(), args.state)
     rows = triage.list_findings(store.findings(), store.decisions(), args.pending, args.detector)
     shown = False
     for r in rows.orderBy("seq").toLocalIterator():
@@ -163,7 +163,7 @@ def cmd_list(args) -> int:
 
 
 def cmd_stats(args) -> int:
-    store = Store(local_session(), args.state)
+    store = Store(command_session(), args.state)
     rows = triage.status_matrix(store.findings(), store.decisions()).orderBy("detector").collect()
     print(f"{'detector':15} {'pending':>8} {'resolved':>8} {'skipped':>8} {'total':>8}")
     for r in rows:
@@ -172,13 +172,13 @@ def cmd_stats(args) -> int:
 
 
 def cmd_fix(args) -> int:
-    spark = local_session()
+    spark = command_session()
     if args.detector not in (None, "unused_imports"):
         print("Nothing to fix.")
         return 0
     config = Config.load(args.path)
     files = stored(read_tree(spark, args.path, config.ignore), "files")
-    table = stored(symbols(files), "symbols")
+    table = parse(files)
     found = stored(with_hash(unused_imports(table)), "findings")
     rewrites = stored(fixes.rewritten(files, found, table), "rewrites")
     lines, count = 0, 0

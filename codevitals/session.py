@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +23,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def command_session() -> SparkSession:
+    """The session that the environment gives (spark-submit, a notebook, spark.master in its settings), else a local one."""
+    if SparkSession.getActiveSession() or SparkConf().get("spark.master", None) or os.environ.get("SPARK_REMOTE"):
+        return SparkSession.builder.appName("codevitals").getOrCreate()
+    return local_session()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session.
 

@@ -1,25 +1,22 @@
 """A directory tree as a Spark data source, in two steps: a listing, and the texts of what is wanted of it.
 
 Spark's own file sources hide names that start with ``_`` or ``.`` (``__init__.py``), so the tree is listed here. The listing opens no file: skipped
-directories are not descended into, ignored and unsupported names are left out, and filters on ``file``, ``size`` and ``mtime`` are applied where the
-names are read. What is left, joined with a cache or not, is dealt to tasks by number and bytes and read there. A directory or file that can't be read
+directories are not descended into, ignored and unsupported names are left out, and so are names outside a wanted folder and files
+that are too old. These two are options, not pushed filters: this Spark keeps what was pushed into a Python source for later uses of the same
+DataFrame, which would then miss rows. What is left, joined with a cache or not, is dealt to tasks by number and bytes and read there. A directory or file that can't be read
 gives a row with its path, a null text and the error. On a cluster the tree must be on storage all executors mount.
 """
 
 from __future__ import annotations
 
-import operator
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull,
-    LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import DEFAULT_IGNORE
 from ..findings import glob_to_regex
@@ -35,8 +32,6 @@ SHARES = 256
 TASK_BYTES, TASK_FILES = 64 << 20, 5000
 _MOST_BYTES = (1 << 31) - 1024  # of one value in a batch
 _BATCH_BYTES = 16 << 20
-_COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt,
-            LessThanOrEqual: operator.le, StringStartsWith: str.startswith, StringEndsWith: str.endswith}
 
 
 class _Share(InputPartition):
@@ -53,29 +48,20 @@ class TreeReader(DataSourceReader):
         self.pruned = set(skipped_directories(ignore))
         self.ignored = [re.compile(glob_to_regex(g)) for g in ignore]
         self.shares = int(options.get("shares", SHARES))
-        self.tests: list[tuple] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Comparisons of a column with a value are done here, before a row is made."""
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name not in ("file", "size", "mtime"):
-                yield f
-            elif type(f) in _COMPARE and f.value is not None:
-                self.tests.append((name, _COMPARE[type(f)], f.value))
-            elif type(f) is In and None not in f.value:
-                self.tests.append((name, lambda x, among: x in among, frozenset(f.value)))
-            elif type(f) is IsNotNull:
-                self.tests.append((name, operator.is_not, None))
-            else:
-                yield f
+        self.under = options.get("under", "").strip("/")
+        self.newer_than = float(options.get("newerThan", "-inf"))
+
+    def _reachable(self, folder: str) -> bool:
+        """A folder that is, holds, or lies in the wanted one."""
+        return f"{folder}/".startswith(f"{self.under}/") or f"{self.under}/".startswith(f"{folder}/") or not self.under
 
     def _scan(self, folder: str) -> tuple[list[str], list[os.DirEntry]]:
         """The folders and files of a folder; OSError if it can't be read."""
         with os.scandir(os.path.join(self.root, folder)) as entries:
             entries = list(entries)
         below = [e.name for e in entries if e.is_dir(follow_symlinks=False) and e.name not in self.pruned and not e.name.startswith(".")]
-        return sorted(os.path.join(folder, name) for name in below), [e for e in entries if e.is_file()]
+        below = [os.path.join(folder, name) for name in below]
+        return sorted(f for f in below if self._reachable(f)), [e for e in entries if e.is_file()]
 
     def partitions(self):
         """Level by level until there are enough directories; the last level's are walked whole by their tasks."""
@@ -92,10 +78,6 @@ class TreeReader(DataSourceReader):
         folders = [(f, False) for f in inner] + [(f, True) for f in level]
         return [_Share(folders[i::self.shares]) for i in range(min(self.shares, len(folders)))]
 
-    def _wanted(self, file: str, stat: os.stat_result | None) -> bool:
-        row = {"file": file, "size": stat and stat.st_size, "mtime": stat and stat.st_mtime}
-        return all(row[name] is not None and test(row[name], value) for name, test, value in self.tests)
-
     def _ignored(self, file: str) -> bool:
         prefixes = [file[:m.start()] for m in re.finditer("/", file)] + [file]
         return any(glob.search(p) for glob in self.ignored for p in prefixes)
@@ -107,8 +89,7 @@ class TreeReader(DataSourceReader):
             try:
                 below, files = self._scan(folder)
             except OSError as error:
-                if self._wanted(folder, None):
-                    yield folder, None, None, str(error)
+                yield folder, None, None, str(error)
                 continue
             if deep:
                 pending += [(f, True) for f in below]
@@ -116,13 +97,14 @@ class TreeReader(DataSourceReader):
                 file = os.path.join(folder, entry.name).replace(os.sep, "/")
                 if os.path.splitext(entry.name)[1] not in SUPPORTED_SUFFIXES or file.endswith(tuple(SKIPPED_ENDINGS)) or self._ignored(file):
                     continue
+                if self.under and not file.startswith(f"{self.under}/"):
+                    continue
                 try:
                     stat = entry.stat()
                 except OSError as error:
-                    if self._wanted(file, None):
-                        yield file, None, None, str(error)
+                    yield file, None, None, str(error)
                     continue
-                if self._wanted(file, stat):
+                if stat.st_mtime > self.newer_than:
                     yield file, stat.st_size, stat.st_mtime, None
 
 
@@ -140,16 +122,18 @@ class TreeDataSource(DataSource):
         return TreeReader(self.options)
 
 
-def list_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, repo_id: str | None = None) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, repo_id: str | None = None,
+              under: str = "", newer_than: float | None = None) -> DataFrame:
     """repo_id, file, size, mtime, error of the source files below ``root``; no file is opened.
 
-    Filters reach the source only with ``spark.sql.python.filterPushdown.enabled``, which this turns on.
+    ``under`` keeps to one folder, whose siblings aren't descended into; ``newer_than`` leaves out files with that or an earlier mtime.
     """
     ignore = DEFAULT_IGNORE if ignore is None else ignore
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TreeDataSource)
-    listed = spark.read.format("source_tree").option("path", str(root)).option("ignore", "\n".join(ignore)).load()
-    return listed.select(F.lit(repo_id or os.path.basename(os.path.realpath(root))).alias("repo_id"), "*")
+    reader = spark.read.format("source_tree").option("path", str(root)).option("ignore", "\n".join(ignore)).option("under", under)
+    if newer_than is not None:
+        reader = reader.option("newerThan", repr(newer_than))
+    return reader.load().select(F.lit(repo_id or os.path.basename(os.path.realpath(root))).alias("repo_id"), "*")
 
 
 def read_files(listing: DataFrame, root: str) -> DataFrame:

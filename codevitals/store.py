@@ -1,12 +1,19 @@
-"""A project's state folder: findings, decisions, cursor and the last scan's tables."""
+"""A project's state: findings, decisions, cursor and the last scan's tables, as append-only Spark tables below any URI that Spark reads and writes.
+
+A save appends its rows under a new version and then appends the version to the table ``versions``; readers take the newest version listed there, so a save that
+did not end is not seen. Nothing is overwritten, so writers don't lose each other's rows.
+"""
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import fields
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import triage
 from .config import STATE_DIR
@@ -16,73 +23,78 @@ from .schema import SYMBOLS
 _FINDINGS = ("repo_id string, detector string, category string, message string, file string, line int, "
              "snippet string, related array<string>, group_id string, confidence string, kind_ord int, "
              "ord int, hash string, finding_id string, seq bigint")
-_SCAN = [f.name for f in fields(ScanState)]
+_KEY = "repo_id string, file string"
+_SCAN = {
+    "listing": f"{_KEY}, mtime double", "symbols": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SYMBOLS),
+    "usage": "repo_id string, name string, calls bigint, importers bigint",
+    "bodies": f"{_KEY}, line int, ord int, name string, snippet string, group_id string",
+    "edges": "repo_id string, src string, dst string", "findings": _FINDINGS.partition(", hash")[0]}
+_VERSIONS = "label string, version string, note string"
 
 
 class Store:
-    """Every save writes a new folder and then moves a one-line pointer to it."""
+    """The state of the project at ``project``, a path or a URI."""
 
     def __init__(self, spark: SparkSession, project: str | Path):
         self.spark = spark
-        self.root = Path(project).resolve() / STATE_DIR
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.root = f"{str(project).rstrip('/')}/{STATE_DIR}/tables"
+
+    def _read(self, label: str, schema: str) -> DataFrame:
+        """All rows of a table; none if nothing was saved yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{label}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
-    def _current(self, label: str) -> str | None:
-        pointer = self.root / f"{label}.current"
-        return pointer.read_text().strip() if pointer.exists() else None
+    def _newest(self, label: str) -> tuple[str, str] | None:
+        """Version and note of the last save."""
+        row = self._read("versions", _VERSIONS).filter(F.col("label") == label).orderBy(F.desc("version")).first()
+        return row and (row.version, row.note)
 
-    def _save(self, label: str, df: DataFrame) -> None:
-        folder = f"{label}-{uuid.uuid4().hex}"
-        df.write.parquet(str(self.root / folder))
-        (self.root / f"{label}.current").write_text(folder)
+    def _save(self, label: str, tables: dict[str, DataFrame], note: str = "") -> None:
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"  # versions sort by time
+        for name, df in tables.items():
+            df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{self.root}/{name}")
+        self.spark.createDataFrame([(label, version, note)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
 
-    def _load(self, label: str, schema) -> DataFrame:
-        folder = self._current(label)
-        if folder is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(self.root / folder))
+    def _load(self, name: str, schema: str, version: str | None) -> DataFrame:
+        rows = self._read(name, f"{schema}, version string")
+        return rows.filter(F.col("version") == version).drop("version")
 
     def findings(self) -> DataFrame:
-        return self._load("findings", _FINDINGS)
+        newest = self._newest("report")
+        return self._load("report", _FINDINGS, newest and newest[0])
 
     def save_findings(self, findings: DataFrame) -> DataFrame:
         names = [part.split()[0] for part in _FINDINGS.split(", ")]
-        self._save("findings", findings.select(names))
+        self._save("report", {"report": findings.select(names)})
         return self.findings()
 
     def scan_state(self, settings: str) -> ScanState | None:
         """The tables of the last scan, if it had the same settings."""
-        current = self._current("scan")
-        if current is None or current.split()[1] != settings:
+        newest = self._newest("scan")
+        if newest is None or newest[1] != settings:
             return None
-        folder = self.root / current.split()[0]
-        read = lambda name: self.spark.read.schema(SYMBOLS) if name == "symbols" else self.spark.read  # noqa: E731  its folders may be none
-        return ScanState(*(read(name).parquet(str(folder / name)) for name in _SCAN))
+        return ScanState(*(self._load(f"scan-{f.name}", _SCAN[f.name], newest[0]) for f in fields(ScanState)))
 
     def save_scan_state(self, state: ScanState, settings: str) -> None:
         """All tables of one scan become current at once."""
-        folder = f"scan-{uuid.uuid4().hex}"
-        for name in _SCAN:
-            table = getattr(state, name)
-            writer = table.write.partitionBy("kind") if name == "symbols" else table.write
-            writer.parquet(str(self.root / folder / name))
-        (self.root / "scan.current").write_text(f"{folder} {settings}")
+        self._save("scan", {f"scan-{f.name}": getattr(state, f.name) for f in fields(ScanState)}, settings)
 
     def decisions(self) -> DataFrame:
-        folder = self.root / "decisions"
-        if not folder.exists():
-            return self.spark.createDataFrame([], triage.DECISIONS)
-        return self.spark.read.schema(triage.DECISIONS).parquet(str(folder))
+        return self._read("decisions", triage.DECISIONS)
 
     def decide(self, hash_: str, status: str) -> None:
-        triage.decision(self.spark, hash_, status).write.mode("append").parquet(str(self.root / "decisions"))
+        triage.decision(self.spark, hash_, status).write.mode("append").parquet(f"{self.root}/decisions")
 
     def cursor(self) -> str | None:
-        path = self.root / "current"
-        return path.read_text().strip() or None if path.exists() else None
+        newest = self._newest("cursor")
+        return newest and newest[1]
 
     def set_cursor(self, hash_: str) -> None:
-        (self.root / "current").write_text(hash_)
+        self._save("cursor", {}, hash_)
 
     def next(self, detector: str | None = None, cursor: str | None = None):
         """The next finding as a Row, or None; moves the cursor."""

@@ -4,6 +4,7 @@ import os
 import subprocess
 
 from codevitals import triage
+from codevitals.cli import main
 from codevitals.config import Config, Thresholds
 from codevitals.findings import with_hash, with_seq
 from codevitals.operators.size import large_files
@@ -40,17 +41,15 @@ def test_tree_source(spark, tmp_path):
 
 
 def test_listing_filters_and_errors(spark, tmp_path):
-    """Filters reach the listing; what can't be read is listed with its error."""
+    """A listing keeps to a folder and to newer files; what can't be read is listed with its error."""
     write(tmp_path, {"a/x.py": "1", "a/y.py": "22", "b/c/d/z.go": "333", "b/gone.py": "4", "b/old.py": "5", "gen/i.py": "6"})
     os.utime(tmp_path / "b/old.py", (1, 1))
     listing = list_tree(spark, tmp_path, ["gen/**"], "r")
     got = {r.file: (r.size, r.error) for r in listing.collect()}
     assert got == {"a/x.py": (1, None), "a/y.py": (2, None), "b/c/d/z.go": (3, None), "b/gone.py": (1, None), "b/old.py": (1, None)}
-    for test, files in (("mtime > 1", {"a/x.py", "a/y.py", "b/c/d/z.go", "b/gone.py"}), ("file like 'a/%'", {"a/x.py", "a/y.py"}),
-                        ("file in ('a/x.py', 'b/old.py') and size = 1", {"a/x.py", "b/old.py"}), ("file like '%.go' and size >= 3", {"b/c/d/z.go"})):
-        rows = listing.filter(test)
-        assert {r.file for r in rows.collect()} == files
-        assert "Filter " not in rows._jdf.queryExecution().executedPlan().toString()
+    for options, files in (({"newer_than": 1.0}, {"a/x.py", "a/y.py", "b/c/d/z.go", "b/gone.py"}), ({"under": "a"}, {"a/x.py", "a/y.py"}),
+                           ({"under": "b/", "newer_than": 1.0}, {"b/c/d/z.go", "b/gone.py"}), ({"under": "b/c"}, {"b/c/d/z.go"}), ({"under": "none"}, set())):
+        assert {r.file for r in list_tree(spark, tmp_path, ["gen/**"], "r", **options).collect()} == files
     kept = stored(listing, "listing")
     (tmp_path / "b/gone.py").unlink()
     read = {r.file: r for r in read_files(kept, tmp_path).collect()}
@@ -110,6 +109,48 @@ def test_store(spark, make_files, tmp_path):
     assert ensure_gitignore(tmp_path) and not ensure_gitignore(tmp_path)
 
 
+def test_store_of_several_writers(spark, make_files, tmp_path):
+    """Two writers at a URI lose no decision; a save that did not end is not seen."""
+    uri = f"file://{tmp_path}"
+    one, two = Store(spark, uri), Store(spark, uri)
+    found = one.save_findings(findings(spark, make_files, 3))
+    hashes = [r.hash for r in found.orderBy("seq").collect()]
+    one.decide(hashes[0], "resolved")
+    two.decide(hashes[1], "skipped")
+    assert {(r.hash, r.status) for r in one.decisions().collect()} == {(hashes[0], "resolved"), (hashes[1], "skipped")}
+    assert one.next()["hash"] == hashes[2] and two.cursor() == hashes[2]
+    found.limit(1).withColumn("version", F.lit("9")).write.mode("append").partitionBy("version").parquet(f"{one.root}/report")
+    assert two.findings().count() == 3
+    two.save_findings(found.limit(2))
+    assert one.findings().count() == 2
+
+
+def test_commands(spark, tmp_path, capsys):
+    """init, scan, next, resolve, skip, list, stats and fix on a small project."""
+    write(tmp_path, {"a.py": "import os\nimport re\nx = 1\n", "b.py": "def _gone():\n    return 1\n"})
+    at = str(tmp_path)
+
+    def run(*args):
+        code = main(list(args))
+        return code, capsys.readouterr().out
+
+    assert run() [1].startswith("usage") and run("init", at)[1].startswith("Created") and run("init", at)[1].startswith("Config already")
+    assert run("resolve", "--state", at) == (1, "No current finding. Run `codevitals next` first.\n")
+    out = run("scan", at, "--state", at)[1]
+    assert "2  unused imports" in out and "1  dead code" in out and "3 findings" in out
+    assert (tmp_path / ".gitignore").read_text().strip()
+    out = run("next", "--state", at)[1]
+    assert "'os' is imported but never used" in out and "a.py:1" in out and "    import os" in out and "3 remaining" in out
+    out = run("resolve", "--state", at)[1]
+    assert out.startswith("Resolved") and "'re' is imported" in out
+    assert "'_gone'" in run("skip", "--state", at)[1]
+    assert len(run("list", "--state", at)[1].splitlines()) == 3 and len(run("list", "--pending", "--state", at)[1].splitlines()) == 1
+    assert run("list", "--detector", "size", "--state", at)[1] == "No findings match your filters.\n"
+    assert [line.split() for line in run("stats", "--state", at)[1].splitlines()[1:]] == [["dead_code", "1", "0", "0", "1"], ["unused_imports", "0", "1", "1", "2"]]
+    assert "Would fix 2 unused imports across 1 files." in run("fix", at, "--dry-run")[1] and "import os" in (tmp_path / "a.py").read_text()
+    assert "Fixed 2" in run("fix", at)[1] and (tmp_path / "a.py").read_text() == "x = 1\n"
+
+
 def test_fix(spark, make_files):
     text = "import re\nfrom a import b\nfrom a import c, d\nimport { e }\nx = 1\n"
     files = make_files({"a.py": text.replace("import { e }\n", ""), "k.c": "#include <q.h>\n"})
