@@ -15,7 +15,7 @@ from codevitals.llm.mixing import mix, n_words, with_pattern
 from codevitals.llm.packing import pack
 from codevitals.session import stored
 
-#: SQL can express neither the trained models nor the seeded choice; tests compare the stages with brute force.
+#: SQL can express neither the trained models nor the seeded choice; tests compare the stages' operators with brute force.
 ORACLE_SQL = None
 
 
