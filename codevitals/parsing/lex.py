@@ -125,12 +125,15 @@ def javascript(text: Column) -> Column:
               r"|[A-Za-z0-9_$]++|[^\"'`/A-Za-z0-9_$]|.")
 
     def change(t: Column) -> Column:
-        inside = F.array_join(F.regexp_extract_all(t, F.lit(r"\$\{([^}]*+)\}"), F.lit(1)), " ; ")
+        # what stands in ${ } stays on its line, between operators
+        held = F.transform(F.regexp_extract_all(t, F.lit(r"\$\{[^}]*+\}|\n"), F.lit(0)),
+                           lambda p: F.regexp_replace(p, r"^\$\{|\}\z", ""))
         return (
             F.when(F.startswith(t, F.lit("//")), F.lit(""))
             .when(F.startswith(t, F.lit("/*")), only_newlines(t))
             .when(F.startswith(t, F.lit("`")),
-                  F.concat(F.lit("\"\" "), F.replace(inside, F.lit("\n"), F.lit(" ")), only_newlines(t)))
+                  F.when(F.size(held) == 0, F.lit('""')).otherwise(
+                      F.concat(F.lit('"" + '), F.array_join(held, " + "), F.lit(' + ""'))))
             .when(t.rlike("^[\"']"), F.lit('""'))
             .when(t.rlike("^[ \\t]*/[^/*]"), F.lit('""'))
             .otherwise(t)
@@ -178,8 +181,34 @@ def mark_decorated(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("@")), marked).otherwise(text)
 
 
+def nested(kinds: str, depth: int, also: str = "") -> str:
+    """Balanced brackets of ``kinds`` up to a depth, and any other character but those in ``also``."""
+    inside = ""
+    for level in range(depth):
+        groups = [rf"\{o}{inside}\{c}" for o, c in ("()", "[]", "{}") if o in kinds] if level else []
+        stops = "".join("\\" + c for o, c in zip("([{([{", "([{)]}") if o in kinds) + (also if level == depth - 1 else "")
+        inside = "(?:" + "|".join([f"[^{stops}]++", *groups]) + ")*+"
+    return inside
+
+
 JS_FOLD = (r"^[ \t]*(?:import|export)\b[^;'\"()=]*?\bfrom\s*['\"][^'\"]*['\"]"
            r"|^[ \t]*export\s*\{[^}]*\}")
+_JS_NAME = r"[A-Za-z_$][\w$]*+"
+_JS_PARAMS = rf"(?:<[^()<>]*+(?:<[^()<>]*+>[^()<>]*+)*+>\s*+)?+\({nested('({', 4, ';')}\)\s*+"
+_JS_TYPE = r"(?::[^={;\n]*+(?:\{[^{}]*+\})?+\s*+)?+"
+_JS_MODIFIERS = r"(?:(?:public|private|protected|static|async|override|readonly|get|set)\s++)*+"
+# one declarator whose value is no function and no class: those keep their lines
+_JS_VALUE = (r"(?:[^,;\n(){}\[\]=fc]++|(?!=>|\bfunction\b|\bclass\b)[=fc]"
+             rf"|\({nested('([{', 4)}\)|\[{nested('([{', 4)}\]|\{{{nested('([{', 4)}\}})*+")
+JS_STATEMENTS = "|".join([
+    # heads of functions, bound functions and methods whose parameters span lines
+    rf"^[ \t]*+(?:export\s++(?:default\s++)?)?+(?:async\s++)?+function\b\s*+\*?+\s*+(?:{_JS_NAME})?+\s*+{_JS_PARAMS}[^\n]*+",
+    rf"^[ \t]*+(?:export\s++)?+(?:const|let|var)\s++{_JS_NAME}\s*+(?::[^=\n;]*+(?:=>[^=\n;]*+)?+)?+=\s*+(?:async\b\s*+)?+"
+    rf"(?:function\b\s*+\*?+\s*+(?:{_JS_NAME})?+\s*+)?+{_JS_PARAMS}{_JS_TYPE}(?:=>|\{{)[^\n]*+",
+    rf"^[ \t]*+(?!(?:if|for|while|switch|catch|with|return|function)\b){_JS_MODIFIERS}\*?+\s*+\#?+{_JS_NAME}\s*+{_JS_PARAMS}{_JS_TYPE}\{{[^\n]*+",
+    # declarations with further declarators, or a value, on later lines
+    rf"^[ \t]*+(?:export\s++)?+(?:const|let|var)\s++{_JS_VALUE}(?:\s*+,\s*+{_JS_VALUE}|(?<=[=+?:&|][ \t]{{0,9}})\n\s*+{_JS_VALUE}|\n\s*+(?=[.?:&|+]){_JS_VALUE})*+[^\n]*+",
+])
 
 
 def clean_lines(lang: str, text: Column) -> Column:

@@ -1134,7 +1134,14 @@ JS_METHOD = (rf"^(?:(?:public|private|protected|static|async|override|readonly|g
              rf"(#?{JS_NAME})\s*(?:<[^(]*>)?\s*\(")
 JS_METHOD_HEAD = (rf"^(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+){{0,40}}\*?\s*"
                   rf"#?{JS_NAME}\s*(?:<[^(]*>)?\s*(?::[^{{]*)?\{{")
-JS_PARAMS = r"\(([^()]*+(?:\([^()]*+\)[^()]*+)*+)\)"
+JS_PARAMS = rf"\(({lex.nested('(', 4)})\)"
+JS_REST = rf"(?:[^,;()\[\]{{}}<]++|<[\w\s,.|\[\]]*+>|<|\({lex.nested('([{', 4)}\)|\[{lex.nested('([{', 4)}\]|\{{{lex.nested('([{', 4)}\}})*+"
+JS_BINDING = rf"({JS_NAME}|\{{[^}}]*\}}|\[[^\]]*\])"
+JS_DECLARATOR = rf"(?:^(?:export\s+)?(?:const|let|var)\b|\G(?!^),)\s*+{JS_BINDING}{JS_REST}"
+JS_FURTHER = rf"^,\s*{JS_BINDING}\s*(?::[^=]*(?:=>[^=]*)?)?=?\s*(.*)$"
+JS_VALUE_FUNCTION = rf"^(?:async\b\s*)?(?:function\b(?!\s*\*)|{JS_NAME}\s*=>|(?:<[^(]*>\s*)?\({lex.nested('(', 4)}\)\s*(?::[^=]*)?=>)"
+JS_VALUE_REQUIRE = r"""^require\s*\(\s*["']([^"']*)["']"""
+JS_LINK = rf"(?:\A[\s)\]}}]*+|\G(?!\A))\s*+(?:\?\.|\.)#?+([\w$]++(?:\??\.[\w$]++)*+)\s*+(\({lex.nested('([{', 4)}\)|\()"
 JS_IMPORT = r"""^import\s+(?:type\s+)?([^"']*?)\s*\bfrom\s*["']([^"']*)["']"""
 JS_IMPORT_BARE = r"""^import\s*["']([^"']*)["']"""
 JS_REQUIRE = rf"""^(?:const|let|var)\s+({JS_NAME}|\{{[^}}]*\}})\s*=\s*require\s*\(\s*["']([^"']*)["']"""
@@ -1148,29 +1155,31 @@ JS_NOT_CALLS = [
 
 
 def javascript(x: Line) -> list[Column]:
-    flat = x.t
+    flat = x.d  # statements over several lines stand on their first one; calls keep their own lines in x.t
     for _ in range(3):
         flat = F.regexp_replace(flat, r"\([^()]*\)", "")
     flat_s = strip(flat)
-    col0 = x.t  # top-level statements may be indented; nesting decides
-    s = x.s
-    params = nested_comma_count(grab(s, JS_PARAMS), "([{", ")]}")
+    s = strip(x.d)  # top-level statements may be indented; nesting decides
+
+    def n_params(listed):
+        return nested_comma_count(F.regexp_replace(listed, r",\s*$", ""), "([{", ")]}")
+
+    params = n_params(grab(s, JS_PARAMS))
     fn = grab(s, JS_FUNCTION)
     bound, klass_name, var = grab(s, JS_BOUND), grab(s, JS_CLASS), grab(s, JS_VARIABLE)
     value = F.regexp_extract(s, r"=\s*((?:async\s+)?(?:function|\(|<|[\w$]+\s*=>).*)$", 1)
     is_bound = has(s, JS_BOUND) & (
         has(s, r"=\s*(?:async\s+)?function\b")
-        | F.regexp_replace(flat_s, r"^.*?[^=!<>]=\s*(?=[^=>])", "").rlike(r"^(?:async\s*)?(?:<[^>]*>\s*)?(?::[^=]*)?(?:[\w$]+\s*)?=>")
-        | s.rlike(r"=\s*(?:async\s*)?\([^)]*$"))
+        | F.regexp_replace(flat_s, r"^.*?[^=!<>]=\s*(?=[^=>])", "").rlike(r"^(?:async\s*)?(?:<[^>]*>\s*)?(?::[^=]*)?(?:[\w$]+\s*)?=>"))
     arrow_params = F.when(
         has(s, rf"=\s*(?:async\s+)?{JS_NAME}\s*=>"), F.lit(0)
-    ).otherwise(nested_comma_count(F.regexp_extract(value, JS_PARAMS, 1), "([{", ")]}"))
-    bound_end = (F.when(s.rlike(r"=>\s*\{|=\s*(?:async\s+)?function\b|=\s*(?:async\s*)?\([^)]*$"), "block")
+    ).otherwise(n_params(F.regexp_extract(value, JS_PARAMS, 1)))
+    bound_end = (F.when(s.rlike(r"=>\s*\{|=\s*(?:async\s+)?function\b"), "block")
                  .when(s.rlike(r"=>\s*\(?\s*$"), "stop").otherwise("line"))
     method = grab(s, JS_METHOD)
     is_method = (has(s, JS_METHOD) & ~method.isin(*[k for k in JS_NOT_CALLS if k != "constructor"])
-                 & (flat_s.rlike(JS_METHOD_HEAD) | (~s.rlike(";\\s*$") & ~F.contains(s, F.lit(")")))))
-    not_method_call = F.when(is_method & flat_s.rlike(JS_METHOD_HEAD), method).otherwise(F.lit(""))
+                 & flat_s.rlike(JS_METHOD_HEAD))
+    not_method_call = F.when(is_method, method).otherwise(F.lit(""))
 
     clause, source = grab(s, JS_IMPORT), grab(s, JS_IMPORT, 2)
     default = F.regexp_extract(clause, rf"^({JS_NAME})\s*(?:,|$)", 1)
@@ -1197,6 +1206,29 @@ def javascript(x: Line) -> list[Column]:
         return calls(grab_all(x.t, JS_CALL), lambda c: (
             ~c.isin(*JS_NOT_CALLS) & (c != k["method"]) & (c != k["fn"]) & ~F.array_contains(k["made"], c)), spelled)
 
+    # ``, b = 2, f = (x) => x`` after the first declarator: name, value and what it is
+    further = F.transform(
+        F.slice(grab_all(s, JS_DECLARATOR, 0), 2, 1_000_000),
+        lambda d: F.struct(grab(d, JS_FURTHER).alias("name"), grab(d, JS_FURTHER, 2).alias("value")))
+    makes_function = lambda d: has(d["value"], JS_VALUE_FUNCTION)
+    more_functions = F.transform(F.filter(further, makes_function), lambda d: function(
+        d["name"], F.when(has(d["value"], rf"^(?:async\s+)?{JS_NAME}\s*=>"), F.lit(0)).otherwise(n_params(grab(d["value"], JS_PARAMS))),
+        # a block left open is the last declarator's, and the match of its value stops before the bracket
+        F.when(d["value"].rlike(r"=>\s*$|^(?:async\s+)?function\b[^=]*\)\s*$"), "block").otherwise("line"), own="top"))
+    more_variables = F.transform(
+        F.filter(further, lambda d: ~makes_function(d) & ~has(d["value"], r"^class\b")), lambda d: ev("variable", d["name"], "module", own="top"))
+    more_imports = F.transform(
+        F.filter(further, lambda d: has(d["value"], JS_VALUE_REQUIRE)),
+        lambda d: ev("import", d["name"], grab(d["value"], JS_VALUE_REQUIRE), own="top"))
+
+    # calls chained to what earlier lines began count where the chain starts
+    linked = x.t.rlike(r"^[\s)\]}]*+(?:\?\.|\.)(?!\.)")
+    closed = F.length(F.regexp_replace(F.regexp_extract(x.t, r"^([\s)\]}]*+)", 1), r"\s+", ""))
+    links = let(closed, lambda n: F.transform(
+        grab_all(x.t, JS_LINK), lambda c: ev("call", F.replace(c, F.lit("?."), F.lit(".")), own="chain", n=n)))
+    rest = F.when(linked, F.regexp_replace(x.t, JS_LINK, "$2")).otherwise(x.t)
+    net = F.length(F.regexp_replace(x.t, r"[^(\[{]+", "")) - F.length(F.regexp_replace(x.t, r"[^)\]}]+", ""))
+
     def spelled(c):
         return F.regexp_replace(F.replace(c, F.lit("?."), F.lit(".")), r"^(this|super)\.", "")
 
@@ -1206,27 +1238,35 @@ def javascript(x: Line) -> list[Column]:
             (has(s, JS_IMPORT), imported),
             (has(s, JS_REQUIRE), F.array(ev("import", grab(s, JS_REQUIRE), grab(s, JS_REQUIRE, 2), own="top"))),
         )),
+        Checked(more_imports),
         hit(has(s, JS_CLASS), klass(klass_name, flag(F.lit(False)), own="top"),),
         first_of(
             (has(s, JS_FUNCTION), F.array(function(fn, params, own="top"))),
             (is_bound, F.array(function(bound, arrow_params, bound_end, own="top"))),
             (is_method, F.array(function(method, params, own="member"))),
         ),
-        Checked(hit(has(s, JS_VARIABLE) & ~is_bound & ~has(s, r"=\s*class\b"), ev("variable", var, "module", own="top"))),
+        Checked(hit(has(s, JS_VARIABLE) & ~is_bound & ~has(s, r"^[^,]*?=\s*class\b"), ev("variable", var, "module", own="top"))),
+        Checked(more_variables),
+        more_functions,
         first_of(
             (has(s, r"^export\b") & has(s, JS_FUNCTION),
              F.array(ev("export", fn, F.coalesce(kind, F.lit("function")), own="top"))),
             (has(s, r"^export\b") & has(s, JS_CLASS),
              F.array(ev("export", klass_name, F.coalesce(kind, F.lit("class")), own="top"))),
-            (has(s, r"^export\s+(?:const|let|var)\b"), F.array(ev("export", var, "variable", own="top"))),
+            (has(s, r"^export\s+(?:const|let|var)\b"), F.concat(
+                F.array(ev("export", var, "variable", own="top")),
+                F.transform(further, lambda d: ev("export", d["name"], "variable", own="top")))),
             (has(s, r"^export\s*(?:type\s*)?\{"), F.transform(exported, lambda n: ev("export", n, "variable", own="top"))),
             ((default_name != "") & ~default_name.isin("function", "class", "async", "null", "true", "false"),
              F.array(ev("export", default_name, "default", own="top"))),
         ),
         hit(s.rlike(r"^\)"), ev("stop", pos=AT_LINE)),
         let(own, called),
-        calls(grab_all(x.t, JS_CHAINED_CALL)),
+        hits(linked, links),
+        calls(grab_all(rest, JS_CHAINED_CALL)),
         brackets(flat),
+        hit(x.s != "", ev("row", a=F.when(~linked & (closed == 0), "start"), n=net, pos=AT_EOL)),
+        hit(net + closed > 0, ev("row", a="start", n=0, pos=AT_EOL + 1)),  # what follows a bracket left open
     ]
 
 

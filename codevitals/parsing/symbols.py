@@ -98,7 +98,8 @@ def line_events(files: DataFrame, langs: list[str]) -> DataFrame:
             pick({"java": raw, "cpp": raw, "nim": F.transform(t, lex.nim_line), "solidity": F.split(text, "\n", -1)}).alias("r"),
             pick({"go": split_lines(rules.go_marked(text)),
                   "nim": split_lines(rules.nim_marked(lex.nim_blocks(text))),
-                  "solidity": F.split(lex.fold(lex.solidity(text), rules.SOL_FOLD_DECL), "\n", -1)}).alias("d"),
+                  "solidity": F.split(lex.fold(lex.solidity(text), rules.SOL_FOLD_DECL), "\n", -1),
+                  "javascript": F.split(lex.fold(F.array_join(t, "\n"), lex.JS_STATEMENTS), "\n", -1)}).alias("d"),
             pick({"solidity": F.split(lex.fold(lex.solidity(text), rules.SOL_FOLD_VAR), "\n", -1)}).alias("v"),
             pick({"shell": rules.shell_functions(t), "lua": rules.lua_module(t),
                   "nim": rules.nim_decl_indents(t)}).alias("names"),
@@ -246,8 +247,15 @@ def resolve(events: DataFrame, langs: list[str]) -> DataFrame:
         class_end = F.max(F.when((lang == "javascript") & _is("class") & (F.col("depth") == 0),
                                  F.coalesce(close, line))).over(ahead)
         df = df.withColumn("in_class", (F.col("depth") == 1) & (F.coalesce(class_end, F.lit(0)) >= line))
+        # where a chain of calls starts: the last line at its bracket depth that begins with something else
+        is_row, n = _is("row"), F.col("n")
+        depth_here = F.sum(F.when(is_row, n).otherwise(0)).over(ahead) - F.when(is_row, n).otherwise(0)
+        df = df.withColumn("chain_depth", depth_here - F.when(own == "chain", n).otherwise(0))
+        per_depth = Window.partitionBy(*FILE, "chain_depth").orderBy(*forward).rowsBetween(Window.unboundedPreceding, 0)
+        start = F.last(F.when(is_row & (a == "start"), line), True).over(per_depth)
+        df = df.withColumn("chain_start", F.when(own == "chain", F.coalesce(start, line)))
     else:
-        df = df.withColumn("in_class", F.lit(False))
+        df = df.withColumn("in_class", F.lit(False)).withColumn("chain_start", F.lit(None).cast("int"))
 
     # 4. facts shared by rows of one name inside a file
     if here & _OWNERS:
@@ -320,7 +328,7 @@ def resolve(events: DataFrame, langs: list[str]) -> DataFrame:
     )
     row = df.select(
         *FILE, "lang", "kind", "name",
-        F.when(place == "once at line 0", 0).otherwise(line).cast("int").alias("line"), "end_line",
+        F.when(place == "once at line 0", 0).when(place == "chain", F.col("chain_start")).otherwise(line).cast("int").alias("line"), "end_line",
         F.when(_is("class"), method_count).when(_is("function"), F.col("n")).cast("int").alias("n"),
         F.when(_is("import"), a).alias("source"), F.when(_is("import"), F.col("b")).alias("alias"),
         tag.alias("tag"), F.col("idx").cast("int").alias("ord"), "in_text", "decorated", "snippet",
@@ -362,7 +370,7 @@ def symbols(files: DataFrame, langs: list[str] | None = None,
     if ruled:
         events = line_events(files, ruled)
         if "call" not in kinds:
-            events = events.filter(F.col("kind") != "call")
+            events = events.filter(~F.col("kind").isin("call", "row"))
         if "import" not in kinds:
             events = events.filter(F.col("kind") != "import")
         parts.append(resolve(events, ruled))

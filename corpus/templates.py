@@ -597,6 +597,42 @@ class Node{i} extends Base {
 function helper{i}() { return /call\\(me\\)/.test(limit{i}); }
 export { helper{i}, arrow{i} as other };
 export class Shape{i} {}
+const one{i} = 1, { left, right: other } = load(one{i}), twice{i} = (p, q) => p * q;
+export let first{i} = [1, 2],
+  second{i} = { a: 1, b: [2] };
+export async function wide{i}(
+  one: string,
+  { two, three } = {},
+  four = load(2),
+): void {
+  load(one)
+    .then((r) => {
+      return keep(r);
+    })
+    .catch(save(1)).finally();
+}
+const late{i} = async (
+  x,
+  y,
+) => {
+  fs.read({
+    x: 1,
+  }).then(y);
+};
+const text{i} = `a ${use(1)}
+  b ${load(2)}`.trim(), rule{i} = /[/(]call(me)/g;
+const os = require('os'), net = require("net");
+const sum{i} = (
+  use(1) + 2
+);
+class Wide{i} {
+  constructor(
+    private a: A,
+    b,
+  ) {
+    this.stop();
+  }
+}
 """, [
     _i("React", 1, "react"), _i("useState", 1, "react", "use"), _i("memo", 1, "react"),
     _i("*", 2, "path", "path"), _i("*", 3, "./style{i}.css"),
@@ -609,4 +645,12 @@ export class Shape{i} {}
     _f("helper{i}", 28, 28, 0), _k("test", 28),
     _x("helper{i}", 29, "variable"), _x("arrow{i}", 29, "variable"),
     _c("Shape{i}", 30, 30, 0), _x("Shape{i}", 30, "class"),
+    _v("one{i}", 31), _v("{ left, right: other }", 31), _k("load", 31), _f("twice{i}", 31, 31, 2),
+    _v("first{i}", 32), _v("second{i}", 32), _x("first{i}", 32, "variable"), _x("second{i}", 32, "variable"),
+    _f("wide{i}", 34, 44, 3), _x("wide{i}", 34, "function"), _k("load", 37), _k("load", 39), _k("then", 39),
+    _k("keep", 41), _k("catch", 39), _k("save", 43), _k("finally", 39),
+    _f("late{i}", 45, 52, 2), _k("fs.read", 49), _k("then", 49),
+    _v("text{i}", 53), _k("use", 53), _k("load", 54), _k("trim", 54), _v("rule{i}", 53),
+    _i("os", 55, "os"), _i("net", 55, "net"), _v("os", 55), _v("net", 55), _k("require", 55), _k("require", 55),
+    _v("sum{i}", 56), _k("use", 57), _c("Wide{i}", 59, 66, 1), _f("constructor", 60, 65, 2), _k("stop", 64),
 ])

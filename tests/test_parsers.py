@@ -101,6 +101,43 @@ def test_javascript_calls_and_classes(parsed):
     assert ("A", 1, 7, 1) in short(only(rows, "class"), "name", "line", "end_line", "n")
 
 
+JS_STATEMENTS = """const a = 1, m: Map<string, number> = new Map<string, number>(), f = x => x + 1, C = class {};
+const b = start(1)
+  .next({
+    k: inner(2),
+  })
+  .last(), c = 2;
+class K {
+  run(a) { return fetch(a)
+    .then(r => {
+      return r.json()
+        .also();
+    });
+  }
+}
+items.map(({ id }) => id)?.filter(Boolean);
+"""
+
+
+def test_javascript_statements(make_files):
+    """Several declarators, chains over lines and where their calls count."""
+    rows = symbols(make_files({"s.ts": JS_STATEMENTS}), ["javascript"]).collect()
+    by = lambda kind: sorted((r.line, r.name) for r in rows if r.kind == kind)
+    assert by("variable") == [(1, "a"), (1, "m"), (2, "b"), (2, "c")]
+    assert by("function") == [(1, "f"), (8, "run")]
+    assert by("call") == sorted([
+        (2, "start"), (2, "next"), (2, "last"), (4, "inner"), (8, "fetch"), (8, "then"), (10, "r.json"), (10, "also"),
+        (15, "items.map"), (15, "filter")])
+
+
+def test_javascript_long_lines(make_files):
+    """A minified megabyte, open brackets and very many declarators, each in one line."""
+    texts = {"calls.js": "f(" * 100_000 + "\n", "min.js": "var a=1;" + "g(x,{y:[1,2]}).h();" * 20_000 + "\n",
+             "many.js": "let " + ", ".join(f"v{i} = {i}" for i in range(2_000)) + ";\n", "dots.js": ".a()" * 50_000 + "\n"}
+    rows = symbols(make_files(texts), ["javascript"], ["variable", "function"])
+    assert {(r.file, r["count"]) for r in rows.groupBy("file").count().collect()} == {("min.js", 1), ("many.js", 2_000)}
+
+
 def test_python_syntax_errors_are_reported(make_files):
     assert [r["kind"] for r in file_symbols("def f(:\n")] == ["parse_error"]
     files = make_files({"bad.py": "x = 1\ndef f(:\n", "good.py": "x = 1\n", "bad.go": "func {"})
