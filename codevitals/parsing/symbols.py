@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import local_name
 from ..functions.text import name_in_other_line, split_lines, strip
 from ..schema import LANGUAGE_SUFFIXES, SYMBOLS
+from ..session import small_parts
 from . import lex, rules
 from .events import Checked, none
 from .pyast import python_symbols
@@ -368,6 +369,7 @@ def symbols(files: DataFrame, langs: list[str] | None = None,
     ruled = [name for name in langs if name in rules.RULES]
     parts = []
     if ruled:
+        small_parts(files.sparkSession)
         events = line_events(files, ruled)
         if "call" not in kinds:
             events = events.filter(~F.col("kind").isin("call", "row"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,6 +31,27 @@ def command_session() -> SparkSession:
     return local_session()
 
 
+#: What a task that sorts is dealt at most, as shuffled bytes, and the parts that a shuffle is cut in before small ones are put together.
+PART_BYTES, PARTS = 4 << 20, 2000
+
+
+def small_parts(spark: SparkSession) -> None:
+    """Shuffles of the session are dealt in parts of ``PART_BYTES``, as many as the rows need.
+
+    Sorts hold a task's rows, which are many times larger than their shuffled bytes. Smaller settings of the session stay.
+    """
+    conf = spark.conf
+    size, count = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    conf.set(size, str(min(PART_BYTES, _bytes(conf.get(size, None)))))
+    conf.set(count, str(max(PARTS, int(conf.get("spark.sql.shuffle.partitions")), int(conf.get(count, None) or 0))))
+
+
+def _bytes(text: str | None) -> int:
+    """A size as Spark writes it (``64MB``, ``8m``, ``8388608b``); none is as large as can be."""
+    found = re.fullmatch(r"(\d+)([kmgtp]?)(i?b)?", (text or "").strip().lower())
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else 1 << 62
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session.
 
