@@ -1154,10 +1154,56 @@ JS_NOT_CALLS = [
 ]
 
 
-def javascript(x: Line) -> list[Column]:
+def _javascript_further(s: Column) -> Column:
+    """``, b = 2, f = (x) => x`` after the first declarator: name and value."""
+    return F.transform(
+        F.slice(grab_all(s, JS_DECLARATOR, 0), 2, 1_000_000),
+        lambda d: F.struct(grab(d, JS_FURTHER).alias("name"), grab(d, JS_FURTHER, 2).alias("value")))
+
+
+def _javascript_imports(s: Column) -> list[Checked]:
+    """The imports of a statement, and those of its further declarators."""
+    clause, source = grab(s, JS_IMPORT), grab(s, JS_IMPORT, 2)
+    default = F.regexp_extract(clause, rf"^({JS_NAME})\s*(?:,|$)", 1)
+    star = F.regexp_extract(clause, rf"\*\s*as\s+({JS_NAME})", 1)
+    specs = F.filter(
+        F.transform(F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ","),
+                    lambda p: strip(F.regexp_replace(p, r"^\s*type\s+", ""))), lambda p: p != "")
+    imported = F.concat(
+        hit(default != "", ev("import", default, source)),
+        hit(star != "", ev("import", "*", source, star)),
+        F.transform(specs, lambda p: ev(
+            "import", F.regexp_extract(p, r"^([\w$]+)", 1), source,
+            F.nullif(F.regexp_extract(p, r"\sas\s+([\w$]+)$", 1), F.lit("")))),
+    )
+    more_imports = F.transform(
+        F.filter(_javascript_further(s), lambda d: has(d["value"], JS_VALUE_REQUIRE)),
+        lambda d: ev("import", d["name"], grab(d["value"], JS_VALUE_REQUIRE), own="top"))
+    return [
+        Checked(first_of(
+            (has(s, JS_IMPORT_BARE), F.array(ev("import", "*", grab(s, JS_IMPORT_BARE), own="top"))),
+            (has(s, JS_IMPORT), imported),
+            (has(s, JS_REQUIRE), F.array(ev("import", grab(s, JS_REQUIRE), grab(s, JS_REQUIRE, 2), own="top"))),
+        )),
+        Checked(more_imports),
+    ]
+
+
+def _javascript_flat(x: Line) -> Column:
+    """A statement without what stands in parentheses."""
     flat = x.d  # statements over several lines stand on their first one; calls keep their own lines in x.t
     for _ in range(3):
         flat = F.regexp_replace(flat, r"\([^()]*\)", "")
+    return flat
+
+
+def javascript_imports(x: Line) -> list[Column]:
+    """The rules that imports need: their own, and the brackets that tell nesting."""
+    return [*_javascript_imports(strip(x.d)), brackets(_javascript_flat(x))]
+
+
+def javascript(x: Line) -> list[Column]:
+    flat = _javascript_flat(x)
     flat_s = strip(flat)
     s = strip(x.d)  # top-level statements may be indented; nesting decides
 
@@ -1181,19 +1227,7 @@ def javascript(x: Line) -> list[Column]:
                  & flat_s.rlike(JS_METHOD_HEAD))
     not_method_call = F.when(is_method, method).otherwise(F.lit(""))
 
-    clause, source = grab(s, JS_IMPORT), grab(s, JS_IMPORT, 2)
-    default = F.regexp_extract(clause, rf"^({JS_NAME})\s*(?:,|$)", 1)
-    star = F.regexp_extract(clause, rf"\*\s*as\s+({JS_NAME})", 1)
-    specs = F.filter(
-        F.transform(F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ","),
-                    lambda p: strip(F.regexp_replace(p, r"^\s*type\s+", ""))), lambda p: p != "")
-    imported = F.concat(
-        hit(default != "", ev("import", default, source)),
-        hit(star != "", ev("import", "*", source, star)),
-        F.transform(specs, lambda p: ev(
-            "import", F.regexp_extract(p, r"^([\w$]+)", 1), source,
-            F.nullif(F.regexp_extract(p, r"\sas\s+([\w$]+)$", 1), F.lit("")))),
-    )
+    imports, more_imports = _javascript_imports(s)
     exported = F.filter(
         F.transform(F.split(F.regexp_extract(s, r"^export\s*(?:type\s*)?\{([^}]*)\}", 1), ","),
                     lambda p: F.regexp_extract(strip(p), r"^(?!default\b)([\w$]+)", 1)), lambda p: p != "")
@@ -1206,10 +1240,7 @@ def javascript(x: Line) -> list[Column]:
         return calls(grab_all(x.t, JS_CALL), lambda c: (
             ~c.isin(*JS_NOT_CALLS) & (c != k["method"]) & (c != k["fn"]) & ~F.array_contains(k["made"], c)), spelled)
 
-    # ``, b = 2, f = (x) => x`` after the first declarator: name, value and what it is
-    further = F.transform(
-        F.slice(grab_all(s, JS_DECLARATOR, 0), 2, 1_000_000),
-        lambda d: F.struct(grab(d, JS_FURTHER).alias("name"), grab(d, JS_FURTHER, 2).alias("value")))
+    further = _javascript_further(s)
     makes_function = lambda d: has(d["value"], JS_VALUE_FUNCTION)
     more_functions = F.transform(F.filter(further, makes_function), lambda d: function(
         d["name"], F.when(has(d["value"], rf"^(?:async\s+)?{JS_NAME}\s*=>"), F.lit(0)).otherwise(n_params(grab(d["value"], JS_PARAMS))),
@@ -1217,9 +1248,6 @@ def javascript(x: Line) -> list[Column]:
         F.when(d["value"].rlike(r"=>\s*$|^(?:async\s+)?function\b[^=]*\)\s*$"), "block").otherwise("line"), own="top"))
     more_variables = F.transform(
         F.filter(further, lambda d: ~makes_function(d) & ~has(d["value"], r"^class\b")), lambda d: ev("variable", d["name"], "module", own="top"))
-    more_imports = F.transform(
-        F.filter(further, lambda d: has(d["value"], JS_VALUE_REQUIRE)),
-        lambda d: ev("import", d["name"], grab(d["value"], JS_VALUE_REQUIRE), own="top"))
 
     # calls chained to what earlier lines began count where the chain starts
     linked = x.t.rlike(r"^[\s)\]}]*+(?:\?\.|\.)(?!\.)")
@@ -1233,12 +1261,8 @@ def javascript(x: Line) -> list[Column]:
         return F.regexp_replace(F.replace(c, F.lit("?."), F.lit(".")), r"^(this|super)\.", "")
 
     return [
-        Checked(first_of(
-            (has(s, JS_IMPORT_BARE), F.array(ev("import", "*", grab(s, JS_IMPORT_BARE), own="top"))),
-            (has(s, JS_IMPORT), imported),
-            (has(s, JS_REQUIRE), F.array(ev("import", grab(s, JS_REQUIRE), grab(s, JS_REQUIRE, 2), own="top"))),
-        )),
-        Checked(more_imports),
+        imports,
+        more_imports,
         hit(has(s, JS_CLASS), klass(klass_name, flag(F.lit(False)), own="top"),),
         first_of(
             (has(s, JS_FUNCTION), F.array(function(fn, params, own="top"))),
@@ -1276,3 +1300,6 @@ RULES = {
     "nim": nim, "scala": scala, "objc": objc, "erlang": erlang, "solidity": solidity,
     "javascript": javascript,
 }
+
+# Languages whose imports need few of their rules.
+IMPORT_RULES = {"javascript": javascript_imports}

@@ -49,8 +49,9 @@ def _by_language(lang: Column, branches: dict[str, Column], default: Column, who
     return default if out is None else out.otherwise(default)
 
 
-def line_events(files: DataFrame, langs: list[str]) -> DataFrame:
-    """One row per event of every line."""
+def line_events(files: DataFrame, langs: list[str], only_imports: bool = False) -> DataFrame:
+    """One row per event of every line; with ``only_imports``, events that imports do not need may be missing."""
+    made = rules.RULES | (rules.IMPORT_RULES if only_imports else {})
     lang, text, t, raw = F.col("lang"), F.col("text"), F.col("t"), F.col("raw")
     no_lines = F.array().cast("array<string>")
 
@@ -61,7 +62,7 @@ def line_events(files: DataFrame, langs: list[str]) -> DataFrame:
     def rule_branches(line: rules.Line, checked: bool) -> Column:
         branches = {}
         for name in langs:
-            arrays = [a for a in rules.RULES[name](line) if isinstance(a, Checked) == checked]
+            arrays = [a for a in made[name](line) if isinstance(a, Checked) == checked]
             branches[name] = F.concat(*[a.column if checked else a for a in arrays])
         return _by_language(lang, branches, none(), whole=len(langs) == 1)
 
@@ -370,7 +371,7 @@ def symbols(files: DataFrame, langs: list[str] | None = None,
     parts = []
     if ruled:
         small_parts(files.sparkSession)
-        events = line_events(files, ruled)
+        events = line_events(files, ruled, kinds == ["import"])
         if "call" not in kinds:
             events = events.filter(~F.col("kind").isin("call", "row"))
         if "import" not in kinds:
