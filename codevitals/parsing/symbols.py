@@ -28,6 +28,9 @@ _BLOCKS = set(rules.RULES) - {"erlang", "nim"}
 _STOPS = {"dart", "objc", "erlang", "javascript"}
 _OWNERS = {"go", "rust", "cpp", "nim"}
 _REGIONS = {"zig", "shell", "nim"}
+# languages that are parsed in one plan: its rows go through all windows that any of them needs
+_TOGETHER = [{"java", "php", "swift", "kotlin", "elixir", "scala", "solidity"}, {"go", "cpp", "rust"}, {"ruby", "lua"},
+             {"zig", "shell", "nim"}, {"dart", "objc", "erlang"}, {"javascript"}]
 _COUNT_INSIDE_ONLY = ["ruby", "php", "swift", "kotlin", "elixir", "zig"]
 
 
@@ -154,25 +157,27 @@ def resolve(events: DataFrame, langs: list[str]) -> DataFrame:
     lang, line, kind, own = F.col("lang"), F.col("line"), F.col("kind"), F.col("own")
     df = events
 
-    # 1. nesting depth and running counts
+    # 1. nesting depth and running counts; what needs nothing of another window is taken in one pass
     bracket = F.when(_is("{"), 1).when(_is("}"), -1).otherwise(0)
-    df = df.withColumn("depth", F.sum(bracket).over(ahead).cast("int"))
-    counted = (_is("method")
-               | (lang.isin("java", "cpp") & _is("function"))
-               | ((lang == "javascript") & _is("function") & (own == "member") & (F.col("depth") == 1)))
-    df = df.withColumn("methods", F.sum(F.when(counted, 1).otherwise(0)).over(ahead).cast("int"))
-    for name, users in (("depth2", {"ruby", "lua"}), ("depth3", {"ruby"})):
-        if here & users:
-            total = F.sum(F.when(_is(name), F.col("n")).otherwise(0)).over(ahead)
-            df = df.withColumn(f"{name}_sum", total)
-            df = df.withColumn(name, F.col(f"{name}_sum") - F.least(
-                F.lit(0), F.min(f"{name}_sum").over(ahead)))
-        else:
-            df = df.withColumn(name, F.lit(0))
-    if "nim" in here:
-        df = df.withColumn("last_nonblank", F.last(F.when(_is("nonblank"), line), True).over(ahead))
-    else:
-        df = df.withColumn("last_nonblank", F.lit(None).cast("int"))
+    counted = _is("method") | (lang.isin("java", "cpp") & _is("function"))
+    running = {"depth": F.sum(bracket).over(ahead).cast("int")}
+    last_nonblank = F.last(F.when(_is("nonblank"), line), True).over(ahead)
+    running["last_nonblank"] = last_nonblank if "nim" in here else F.lit(None).cast("int")
+    if "javascript" in here:
+        running["row_sum"] = F.sum(F.when(_is("row"), F.col("n")).otherwise(0)).over(ahead)
+        counted |= (lang == "javascript") & _is("function") & (own == "member") & (F.col("depth") == 1)
+    methods = {"methods": F.sum(F.when(counted, 1).otherwise(0)).over(ahead).cast("int")}
+    nested = [name for name, users in (("depth2", {"ruby", "lua"}), ("depth3", {"ruby"})) if here & users]
+    for name in nested:
+        running[f"{name}_sum"] = F.sum(F.when(_is(name), F.col("n")).otherwise(0)).over(ahead)
+    if "javascript" not in here:
+        running |= methods
+    df = df.withColumns(running)
+    if "javascript" in here:
+        df = df.withColumns(methods)
+    df = df.withColumns({
+        name: F.col(f"{name}_sum") - F.least(F.lit(0), F.min(f"{name}_sum").over(ahead)) if name in nested else F.lit(0)
+        for name in ("depth2", "depth3")})
     if "ruby" in here:
         state = (F.when(F.col("a") == "private", 1)
                  .when((F.col("a") == "end") & (F.col("depth2") <= 0), None).otherwise(0))
@@ -251,7 +256,7 @@ def resolve(events: DataFrame, langs: list[str]) -> DataFrame:
         df = df.withColumn("in_class", (F.col("depth") == 1) & (F.coalesce(class_end, F.lit(0)) >= line))
         # where a chain of calls starts: the last line at its bracket depth that begins with something else
         is_row, n = _is("row"), F.col("n")
-        depth_here = F.sum(F.when(is_row, n).otherwise(0)).over(ahead) - F.when(is_row, n).otherwise(0)
+        depth_here = F.col("row_sum") - F.when(is_row, n).otherwise(0)
         df = df.withColumn("chain_depth", depth_here - F.when(own == "chain", n).otherwise(0))
         per_depth = Window.partitionBy(*FILE, "chain_depth").orderBy(*forward).rowsBetween(Window.unboundedPreceding, 0)
         start = F.last(F.when(is_row & (a == "start"), line), True).over(per_depth)
@@ -367,9 +372,11 @@ def symbols(files: DataFrame, langs: list[str] | None = None,
     langs = list(LANGUAGE_SUFFIXES) if langs is None else langs
     kinds = KINDS if kinds is None else kinds
     files = files.withColumn("lang", language(F.col("suffix")))
-    ruled = [name for name in langs if name in rules.RULES]
     parts = []
-    if ruled:
+    for together in _TOGETHER:
+        ruled = [name for name in langs if name in together]
+        if not ruled:
+            continue
         small_parts(files.sparkSession)
         events = line_events(files, ruled, kinds == ["import"])
         if "call" not in kinds:

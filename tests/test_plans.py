@@ -28,3 +28,10 @@ def test_stored_symbols_are_pruned(spark, make_files):
     assert "PartitionFilters" in text and "kind" in text.split("PartitionFilters")[1][:80]
     scanned = text.split("ReadSchema: struct<")[1].split(">")[0]
     assert "snippet" not in scanned and "name:string" in scanned
+
+
+def test_languages_go_through_their_own_windows(spark, make_files):
+    files = make_files({"a.java": "class A {\n}\n", "b.nim": "proc f(a: int) =\n  discard\n", "c.rb": "def f\nend\n"})
+    windows = lambda *langs: plan(symbols(files, list(langs))).count("Window [")
+    assert windows("java") == 2  # counts that run ahead in one pass, ends of blocks
+    assert windows("java", "nim", "ruby") == windows("java") + windows("nim") + windows("ruby")
