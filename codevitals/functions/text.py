@@ -55,10 +55,11 @@ def snippet(lines: Column, line: Column, count: int) -> Column:
 
 def name_in_other_line(lines: Column, name: Column, line: Column) -> Column:
     """True when ``name`` is a plain substring of any line except ``line``."""
-    return F.exists(
-        F.filter(lines, lambda text, i: (i + 1) != line),
-        lambda text: F.contains(text, name),
-    )
+    def found(name: Column) -> Column:
+        holds = lambda text: F.contains(text, name)
+        return F.exists(F.slice(lines, 1, line - 1), holds) | F.exists(F.slice(lines, line + 1, F.size(lines)), holds)
+
+    return let(name, found)  # an expression would be worked out anew for each line
 
 
 def retoken(text: Column, pattern: str, change) -> Column:

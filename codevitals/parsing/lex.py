@@ -121,7 +121,9 @@ def javascript(text: Column) -> Column:
     template = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`?"
     regex = r"(?:(?<=[=(,:;!&|?{}\[\n])|(?<=return))[ \t]*+/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
     linked = (r"(?:\bfrom|\bimport|\brequire\s*\()\s*(?:\"[^\"\n]*+\"|'[^'\n]*+')")
-    tokens = (f"(?s){linked}|{_DOUBLE}|{_SINGLE}|{template}|//[^\\n]*+|{_BLOCK}|{regex}"
+    # text in which nothing of the above can begin is one token: names that open no ``linked``, blanks with no slash behind, other characters
+    plain = r"(?:(?!from|import|require)[A-Za-z0-9_$]++|[ \t]++(?!/)|[^\"'`/ \tA-Za-z0-9_$]++)++"
+    tokens = (f"(?s){linked}|{_DOUBLE}|{_SINGLE}|{template}|//[^\\n]*+|{_BLOCK}|{regex}|{plain}"
               r"|[A-Za-z0-9_$]++|[^\"'`/A-Za-z0-9_$]|.")
 
     def change(t: Column) -> Column:
@@ -134,8 +136,8 @@ def javascript(text: Column) -> Column:
             .when(F.startswith(t, F.lit("`")),
                   F.when(F.size(held) == 0, F.lit('""')).otherwise(
                       F.concat(F.lit('"" + '), F.array_join(held, " + "), F.lit(' + ""'))))
-            .when(t.rlike("^[\"']"), F.lit('""'))
-            .when(t.rlike("^[ \\t]*/[^/*]"), F.lit('""'))
+            .when(F.startswith(t, F.lit('"')) | F.startswith(t, F.lit("'")), F.lit('""'))
+            .when(F.contains(t, F.lit("/")) & t.rlike("^[ \\t]*/[^/*]"), F.lit('""'))
             .otherwise(t)
         )
 

@@ -16,7 +16,7 @@ from ..functions.text import (
 from . import lex
 from .events import (
     AT_CLASS, AT_DECL, AT_EOL, AT_LINE, Checked, brackets, calls, ev, export, first_of, flag,
-    function, grab, grab_all, grab_opt, has, hit, hits, klass, last_dotted, none,
+    function, grab, grab_all, grab_opt, has, hit, hits, joined, klass, last_dotted, none,
 )
 
 
@@ -1154,13 +1154,41 @@ JS_NOT_CALLS = [
 ]
 
 
+def _starts(s: Column, *words: str) -> Column:
+    """Whether ``s`` begins with one of ``words``: what a pattern needs to match is looked for before it is tried."""
+    out = F.startswith(s, F.lit(words[0]))
+    for word in words[1:]:
+        out = out | F.startswith(s, F.lit(word))
+    return out
+
+
+def _holds(s: Column, *parts: str) -> Column:
+    """Whether all of ``parts`` occur in ``s``."""
+    out = F.contains(s, F.lit(parts[0]))
+    for part in parts[1:]:
+        out = out & F.contains(s, F.lit(part))
+    return out
+
+
+def javascript_flat(statement: Column) -> Column:
+    """A statement without what stands in parentheses."""
+    flat = statement
+    for _ in range(3):
+        flat = F.regexp_replace(flat, r"\([^()]*\)", "")
+    return F.when(_holds(statement, "(", ")"), flat).otherwise(statement)
+
+
 def _javascript_further(s: Column) -> Column:
-    """``, b = 2, f = (x) => x`` after the first declarator: name and value."""
+    """``, b = 2, f = (x) => x`` after the first declarator: name and value; for statements that ``_declares``."""
     return F.transform(
         F.slice(grab_all(s, JS_DECLARATOR, 0), 2, 1_000_000),
         lambda d: F.struct(grab(d, JS_FURTHER).alias("name"), grab(d, JS_FURTHER, 2).alias("value")))
 
 
+def _declares(s: Column) -> Column:
+    return _starts(s, "const", "let", "var", "export")
+
+
 def _javascript_imports(s: Column) -> list[Checked]:
     """The imports of a statement, and those of its further declarators."""
     clause, source = grab(s, JS_IMPORT), grab(s, JS_IMPORT, 2)
@@ -1180,41 +1208,38 @@ def _javascript_imports(s: Column) -> list[Checked]:
         F.filter(_javascript_further(s), lambda d: has(d["value"], JS_VALUE_REQUIRE)),
         lambda d: ev("import", d["name"], grab(d["value"], JS_VALUE_REQUIRE), own="top"))
     return [
-        Checked(first_of(
+        Checked(hits(_starts(s, "import", "const", "let", "var"), first_of(
             (has(s, JS_IMPORT_BARE), F.array(ev("import", "*", grab(s, JS_IMPORT_BARE), own="top"))),
             (has(s, JS_IMPORT), imported),
             (has(s, JS_REQUIRE), F.array(ev("import", grab(s, JS_REQUIRE), grab(s, JS_REQUIRE, 2), own="top"))),
-        )),
-        Checked(more_imports),
+        ))),
+        Checked(hits(_declares(s) & _holds(s, ",", "require"), more_imports)),
     ]
 
 
-def _javascript_flat(x: Line) -> Column:
-    """A statement without what stands in parentheses."""
-    flat = x.d  # statements over several lines stand on their first one; calls keep their own lines in x.t
-    for _ in range(3):
-        flat = F.regexp_replace(flat, r"\([^()]*\)", "")
-    return flat
+def _javascript_brackets(flat: Column) -> Column:
+    return hits(_holds(flat, "{") | _holds(flat, "}"), brackets(flat))
 
 
 def javascript_imports(x: Line) -> list[Column]:
     """The rules that imports need: their own, and the brackets that tell nesting."""
-    return [*_javascript_imports(strip(x.d)), brackets(_javascript_flat(x))]
+    return [*_javascript_imports(x.v), _javascript_brackets(x.r)]
 
 
 def javascript(x: Line) -> list[Column]:
-    flat = _javascript_flat(x)
+    flat = x.r  # statements over several lines stand on their first one; calls keep their own lines in x.t
     flat_s = strip(flat)
-    s = strip(x.d)  # top-level statements may be indented; nesting decides
+    s = x.v  # top-level statements may be indented; nesting decides
+    declares, names_function = _declares(s), _starts(s, "function", "async", "export")
 
     def n_params(listed):
         return nested_comma_count(F.regexp_replace(listed, r",\s*$", ""), "([{", ")]}")
 
     params = n_params(grab(s, JS_PARAMS))
-    fn = grab(s, JS_FUNCTION)
+    fn = F.when(names_function, grab(s, JS_FUNCTION)).otherwise(F.lit(""))
     bound, klass_name, var = grab(s, JS_BOUND), grab(s, JS_CLASS), grab(s, JS_VARIABLE)
     value = F.regexp_extract(s, r"=\s*((?:async\s+)?(?:function|\(|<|[\w$]+\s*=>).*)$", 1)
-    is_bound = has(s, JS_BOUND) & (
+    is_bound = declares & has(s, JS_BOUND) & (
         has(s, r"=\s*(?:async\s+)?function\b")
         | F.regexp_replace(flat_s, r"^.*?[^=!<>]=\s*(?=[^=>])", "").rlike(r"^(?:async\s*)?(?:<[^>]*>\s*)?(?::[^=]*)?(?:[\w$]+\s*)?=>"))
     arrow_params = F.when(
@@ -1223,7 +1248,7 @@ def javascript(x: Line) -> list[Column]:
     bound_end = (F.when(s.rlike(r"=>\s*\{|=\s*(?:async\s+)?function\b"), "block")
                  .when(s.rlike(r"=>\s*\(?\s*$"), "stop").otherwise("line"))
     method = grab(s, JS_METHOD)
-    is_method = (has(s, JS_METHOD) & ~method.isin(*[k for k in JS_NOT_CALLS if k != "constructor"])
+    is_method = (_holds(s, "(") & _holds(flat, "{") & has(s, JS_METHOD) & ~method.isin(*[k for k in JS_NOT_CALLS if k != "constructor"])
                  & flat_s.rlike(JS_METHOD_HEAD))
     not_method_call = F.when(is_method, method).otherwise(F.lit(""))
 
@@ -1234,7 +1259,8 @@ def javascript(x: Line) -> list[Column]:
     kind = F.when(has(s, r"^export\s+default\b"), "default")
     default_name = F.regexp_extract(s, rf"^export\s+default\s+({JS_NAME})\s*;?\s*$", 1)
     # what every call of a line is compared with, once for the line
-    own = F.struct(F.array_distinct(grab_all(x.t, JS_NEW)).alias("made"), not_method_call.alias("method"), fn.alias("fn"))
+    made = F.when(_holds(x.t, "new"), F.array_distinct(grab_all(x.t, JS_NEW))).otherwise(F.array().cast("array<string>"))
+    own = F.struct(made.alias("made"), not_method_call.alias("method"), fn.alias("fn"))
 
     def called(k):
         return calls(grab_all(x.t, JS_CALL), lambda c: (
@@ -1250,12 +1276,22 @@ def javascript(x: Line) -> list[Column]:
         F.filter(further, lambda d: ~makes_function(d) & ~has(d["value"], r"^class\b")), lambda d: ev("variable", d["name"], "module", own="top"))
 
     # calls chained to what earlier lines began count where the chain starts
-    linked = x.t.rlike(r"^[\s)\]}]*+(?:\?\.|\.)(?!\.)")
-    closed = F.length(F.regexp_replace(F.regexp_extract(x.t, r"^([\s)\]}]*+)", 1), r"\s+", ""))
-    links = let(closed, lambda n: F.transform(
-        grab_all(x.t, JS_LINK), lambda c: ev("call", F.replace(c, F.lit("?."), F.lit(".")), own="chain", n=n)))
-    rest = F.when(linked, F.regexp_replace(x.t, JS_LINK, "$2")).otherwise(x.t)
-    net = F.length(F.regexp_replace(x.t, r"[^(\[{]+", "")) - F.length(F.regexp_replace(x.t, r"[^)\]}]+", ""))
+    linked = _holds(x.t, ".") & x.t.rlike(r"^[\s)\]}]*+(?:\?\.|\.)(?!\.)")
+    closed = F.when(_starts(x.s, ")", "]", "}"), F.length(F.regexp_replace(F.regexp_extract(x.t, r"^([\s)\]}]*+)", 1), r"\s+", ""))).otherwise(0)
+    nested = F.regexp_replace(x.t, r"[^(\[{)\]}]+", "")
+    chain = F.struct(linked.alias("linked"), closed.alias("closed"), nested.alias("nested"))
+
+    def chained(k):
+        net = 2 * F.length(F.translate(k["nested"], ")]}", "")) - F.length(k["nested"])
+        links = F.transform(grab_all(x.t, JS_LINK), lambda c: ev("call", F.replace(c, F.lit("?."), F.lit(".")), own="chain", n=k["closed"]))
+        rest = F.when(k["linked"], F.regexp_replace(x.t, JS_LINK, "$2")).otherwise(x.t)
+        return joined(
+            hits(k["linked"], links),
+            hits(_holds(x.t, ".", "("), calls(grab_all(rest, JS_CHAINED_CALL))),
+            _javascript_brackets(flat),
+            hit(x.s != "", ev("row", a=F.when(~k["linked"] & (k["closed"] == 0), "start"), n=net, pos=AT_EOL)),
+            hit(net + k["closed"] > 0, ev("row", a="start", n=0, pos=AT_EOL + 1)),  # what follows a bracket left open
+        )
 
     def spelled(c):
         return F.regexp_replace(F.replace(c, F.lit("?."), F.lit(".")), r"^(this|super)\.", "")
@@ -1263,16 +1299,16 @@ def javascript(x: Line) -> list[Column]:
     return [
         imports,
         more_imports,
-        hit(has(s, JS_CLASS), klass(klass_name, flag(F.lit(False)), own="top"),),
+        hit(_starts(s, "class", "export") & has(s, JS_CLASS), klass(klass_name, flag(F.lit(False)), own="top"),),
         first_of(
-            (has(s, JS_FUNCTION), F.array(function(fn, params, own="top"))),
+            (names_function & has(s, JS_FUNCTION), F.array(function(fn, params, own="top"))),
             (is_bound, F.array(function(bound, arrow_params, bound_end, own="top"))),
             (is_method, F.array(function(method, params, own="member"))),
         ),
-        Checked(hit(has(s, JS_VARIABLE) & ~is_bound & ~has(s, r"^[^,]*?=\s*class\b"), ev("variable", var, "module", own="top"))),
-        Checked(more_variables),
-        more_functions,
-        first_of(
+        Checked(hit(declares & has(s, JS_VARIABLE) & ~is_bound & ~has(s, r"^[^,]*?=\s*class\b"), ev("variable", var, "module", own="top"))),
+        Checked(hits(declares & _holds(s, ","), more_variables)),
+        hits(declares & _holds(s, ","), more_functions),
+        hits(_starts(s, "export"), first_of(
             (has(s, r"^export\b") & has(s, JS_FUNCTION),
              F.array(ev("export", fn, F.coalesce(kind, F.lit("function")), own="top"))),
             (has(s, r"^export\b") & has(s, JS_CLASS),
@@ -1283,14 +1319,10 @@ def javascript(x: Line) -> list[Column]:
             (has(s, r"^export\s*(?:type\s*)?\{"), F.transform(exported, lambda n: ev("export", n, "variable", own="top"))),
             ((default_name != "") & ~default_name.isin("function", "class", "async", "null", "true", "false"),
              F.array(ev("export", default_name, "default", own="top"))),
-        ),
-        hit(s.rlike(r"^\)"), ev("stop", pos=AT_LINE)),
-        let(own, called),
-        hits(linked, links),
-        calls(grab_all(rest, JS_CHAINED_CALL)),
-        brackets(flat),
-        hit(x.s != "", ev("row", a=F.when(~linked & (closed == 0), "start"), n=net, pos=AT_EOL)),
-        hit(net + closed > 0, ev("row", a="start", n=0, pos=AT_EOL + 1)),  # what follows a bracket left open
+        )),
+        hit(_starts(s, ")"), ev("stop", pos=AT_LINE)),
+        hits(_holds(x.t, "("), let(own, called)),
+        let(chain, chained),
     ]
 
 
@@ -1301,5 +1333,8 @@ RULES = {
     "javascript": javascript,
 }
 
+# Languages whose rules look at cleaned lines alone and find nothing in a blank one.
+NOTHING_IN_BLANK = {"ruby", "php", "swift", "kotlin", "dart", "lua", "elixir", "zig", "shell", "scala", "objc", "erlang"}
+
 # Languages whose imports need few of their rules.
 IMPORT_RULES = {"javascript": javascript_imports}

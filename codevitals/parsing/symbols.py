@@ -16,7 +16,7 @@ from ..functions.text import name_in_other_line, split_lines, strip
 from ..schema import LANGUAGE_SUFFIXES, SYMBOLS
 from ..session import small_parts
 from . import lex, rules
-from .events import Checked, none
+from .events import Checked, either, joined, none
 from .pyast import python_symbols
 
 KINDS = ["import", "export", "function", "class", "variable", "call"]
@@ -66,18 +66,19 @@ def line_events(files: DataFrame, langs: list[str], only_imports: bool = False)
         branches = {}
         for name in langs:
             arrays = [a for a in made[name](line) if isinstance(a, Checked) == checked]
-            branches[name] = F.concat(*[a.column if checked else a for a in arrays])
+            found = joined(*[a.column if checked else a for a in arrays])
+            branches[name] = either(line.s == "", none(), found) if name in rules.NOTHING_IN_BLANK else found
         return _by_language(lang, branches, none(), whole=len(langs) == 1)
 
     def finished(e: Column, line: Column) -> Column:
         """A checked event with its line, the text search and its snippet."""
-        name = F.when(e["kind"] == "import", local_name(e["name"], e["b"])).otherwise(e["name"])
+        name = either(e["kind"] == "import", local_name(e["name"], e["b"]), e["name"])
         looked_up = e["kind"].isin("import", "variable")
-        length = F.when(e["kind"] == "import", 1).when(e["kind"] == "variable", 2).otherwise(4)
+        length = either(e["kind"] == "import", F.lit(1), either(e["kind"] == "variable", F.lit(2), F.lit(4)))
         return F.struct(
             *[e[f].alias(f) for f in ("kind", "name", "a", "b", "own", "n", "pos")],
             line.cast("int").alias("at"),
-            F.when(looked_up & F.col("utf8_ok"), name_in_other_line(raw, name, line)).alias("in_text"),
+            either(looked_up & F.col("utf8_ok"), name_in_other_line(raw, name, line), F.lit(None).cast("boolean")).alias("in_text"),
             F.lit(None).cast("boolean").alias("decorated"),
             F.when(F.col("utf8_ok"), F.array_join(F.slice(raw, line, length), "\n")).alias("snippet"),
         )
@@ -109,6 +110,9 @@ def line_events(files: DataFrame, langs: list[str], only_imports: bool = False)
             pick({"shell": rules.shell_functions(t), "lua": rules.lua_module(t),
                   "nim": rules.nim_decl_indents(t)}).alias("names"),
         )
+        .withColumns({} if "javascript" not in langs else {
+            "r": F.when(lang == "javascript", F.transform("d", rules.javascript_flat)).otherwise(F.col("r")),
+            "v": F.when(lang == "javascript", F.transform("d", strip)).otherwise(F.col("v"))})
         # events of whole files travel with the first line
         .withColumn("whole", F.array(file_events()))
         .withColumns({f"raw{k}": F.slice(raw, k + 1, F.greatest(F.size(raw) - k, F.lit(0))) for k in (1, 2, 3)})

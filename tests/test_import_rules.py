@@ -31,3 +31,9 @@ def test_imports_alone_are_the_same(spark, make_files, monkeypatch):
     alone = symbols(files, ["javascript"], ["import"]).select(columns).collect()
     assert sorted(map(str, alone)) == sorted(map(str, whole))
     assert {"./m", "./bare", "./d", "./f", "./l", "./r"} == {r["source"] for r in alone}
+
+
+def test_statements_are_flattened_once(spark, make_files):
+    """What several rules look at is made once for a line, not again in each rule."""
+    rows = symbols(make_files({"a.ts": "const a = (b) => { c(b); };\n"}), ["javascript"])
+    assert rows._jdf.queryExecution().analyzed().toString().count(r"\([^()]*\)") == 3
