@@ -1,6 +1,7 @@
 """Plans that must not shuffle texts or read more than they need."""
 
 from codevitals.operators.dead_code import usage
+from codevitals.operators.secrets import secret_lines
 from codevitals.operators.unused_imports import unused_imports
 from codevitals.parsing.symbols import symbols
 from codevitals.session import stored
@@ -35,3 +36,10 @@ def test_languages_go_through_their_own_windows(spark, make_files):
     windows = lambda *langs: plan(symbols(files, list(langs))).count("Window [")
     assert windows("java") == 2  # counts that run ahead in one pass, ends of blocks
     assert windows("java", "nim", "ruby") == windows("java") + windows("nim") + windows("ruby")
+
+
+def test_texts_are_turned_to_lower_case_once(spark, make_files):
+    files = stored(make_files({"a.py": "token = \"0123456789abcdef0\"\n"}), "files")
+    reads = plan(secret_lines(files)).split("Scan parquet")[0].split("Generate")[-1]
+    assert reads.count("lower(text") == 1
+    assert secret_lines(files).count() == 1
